@@ -102,7 +102,8 @@ def readability(text: Column) -> Column:
         per_sentence = F.try_divide(F.size(w), sentences)
         per_word = F.try_divide(spoken, F.size(w))
         score = F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * per_word
-        return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+        # greatest and least skip nulls, so an undefined score must be caught first.
+        return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
     return F.coalesce(let(words(text), ease), F.lit(0.0))
 

@@ -62,26 +62,29 @@ def apply_content_changes(new: DataFrame, current: DataFrame,
     seen = new.filter(F.length(text) >= MIN_CONTENT_CHARS).select(
         *keys, F.col("title").alias("n_title"), text.alias("n_text"), F.col("checked_at").alias("n_at"),
         tx.content_hash(text).alias("n_hash"))
-    both = current.join(seen, list(keys), "full_outer")
     fresh, known = F.col("n_hash").isNotNull(), F.col("content_hash").isNotNull()
-    changed = fresh & known & (F.col("n_hash") != F.col("content_hash"))
-    rewritten = changed | ~known
-    stored_text = F.when(rewritten, F.substring("n_text", 1, STORED_TEXT_CHARS)).otherwise(F.col("text_content"))
-    # Readability and keywords are only worked out for texts that moved.
-    moved_text = F.when(rewritten, F.col("n_text"))
+    moved = fresh & known & (F.col("n_hash") != F.col("content_hash"))
+    # Named apart from every output column: inside a lambda Spark would read a
+    # column of the same select list instead of the input column.
+    both = current.join(seen, list(keys), "full_outer").withColumns({
+        "_known": known, "_fresh": fresh, "_changed": moved, "_rewritten": moved | ~known,
+        "_text": F.when(moved | ~known, F.col("n_text")),
+    })
+    rewritten, body = F.col("_rewritten"), F.col("_text")
     return both.select(
         *keys,
-        F.when(~known, F.col("n_title")).otherwise(F.col("title")).alias("title"),
-        F.when(~known, tx.content_category(F.col("url"), F.col("n_title")))
+        F.when(~F.col("_known"), F.col("n_title")).otherwise(F.col("title")).alias("title"),
+        F.when(~F.col("_known"), tx.content_category(F.col("url"), F.col("n_title")))
         .otherwise(F.col("content_type")).alias("content_type"),
-        stored_text.alias("text_content"),
+        F.when(rewritten, F.substring("_text", 1, STORED_TEXT_CHARS)).otherwise(F.col("text_content"))
+        .alias("text_content"),
         F.when(rewritten, F.col("n_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
-        F.when(changed, F.col("content_hash")).alias("previous_hash"),
-        F.when(fresh, changed).otherwise(F.col("has_changed")).alias("has_changed"),
-        F.when(rewritten, tx.word_count(moved_text)).otherwise(F.col("word_count")).alias("word_count"),
-        F.when(rewritten, tx.readability(moved_text)).otherwise(F.col("readability_score"))
-        .alias("readability_score"),
-        F.when(rewritten, F.to_json(tx.top_keywords(moved_text))).otherwise(F.col("keywords")).alias("keywords"),
+        F.when(F.col("_changed"), F.col("content_hash")).alias("previous_hash"),
+        F.when(F.col("_fresh"), F.col("_changed")).otherwise(F.col("has_changed")).alias("has_changed"),
+        # Readability and keywords are only worked out for texts that moved.
+        F.when(rewritten, tx.word_count(body)).otherwise(F.col("word_count")).alias("word_count"),
+        F.when(rewritten, tx.readability(body)).otherwise(F.col("readability_score")).alias("readability_score"),
+        F.when(rewritten, F.to_json(tx.top_keywords(body))).otherwise(F.col("keywords")).alias("keywords"),
         F.coalesce("first_seen", "n_at").alias("first_seen"),
         F.coalesce("n_at", "last_checked").alias("last_checked"),
     )
