@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from marketlens.plans import catalog_prices  # noqa: F401
+from marketlens.plans import catalog_lists, catalog_prices  # noqa: F401
 from marketlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

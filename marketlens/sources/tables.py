@@ -60,9 +60,14 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet files with a stated schema: no inference pass, and unknown columns are never read."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_table(spark: SparkSession, name: str, directory: str) -> DataFrame:
     """One entity table from parquet, with its fixed schema."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory.rstrip('/')}/{name}")
+    return read_parquet(spark, f"{directory.rstrip('/')}/{name}", SCHEMAS[name])
 
 
 def read_jdbc_table(spark: SparkSession, name: str, url: str, *, partition_column: str,
