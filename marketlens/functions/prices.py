@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marketlens.functions.arrays import let
+
 # Price wordings, in the order they are tried (all ignore case).
 PRICE_PATTERNS = [
     r"[\$€£¥₹]\s*(\d{1,3}(?:[,.\s]?\d{3})*(?:[.,]\d{2}))",
@@ -28,34 +30,40 @@ CURRENCIES = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹"
               ("USD", "USD"), ("EUR", "EUR"), ("GBP", "GBP")]
 
 
-def normalize_price(raw: Column) -> Column:
-    """Price text to decimal(12,2); the later of comma and point is the decimal sign."""
-    bare = F.regexp_replace(raw, r"[\$€£¥₹\s]", "")
+def _number(bare: Column) -> Column:
     backwards = F.reverse(bare)
     comma, point = F.instr(backwards, ","), F.instr(backwards, ".")
-    no_commas = F.replace(bare, F.lit(","), F.lit(""))
-    comma_as_point = F.replace(bare, F.lit(","), F.lit("."))
-    number = (
+    return (
         F.when((comma > 0) & (point > 0) & (comma < point),
                F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when((comma == 3) & (point == 0), comma_as_point)
-        .otherwise(no_commas)
+        .when((comma == 3) & (point == 0), F.replace(bare, F.lit(","), F.lit(".")))
+        .otherwise(F.replace(bare, F.lit(","), F.lit("")))
     )
+
+
+def normalize_price(raw: Column) -> Column:
+    """Price text to decimal(12,2); the later of comma and point is the decimal sign."""
+    number = let(F.regexp_replace(raw, r"[\$€£¥₹\s]", ""), _number)
     return F.coalesce(number.try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
 
 
+def first_price_text(text: Column) -> Column:
+    """Hits of the first wording that matches."""
+    return F.coalesce(*[
+        let(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)), lambda h: F.when(F.size(h) > 0, h))
+        for p in PRICE_PATTERNS])
+
+
 def extract_price_values(text: Column, mode: str = "first") -> Column:
     """Positive prices in a text.
 
     ``mode="first"`` reads with the first wording that matches; ``mode="all"``
     keeps the hits of every wording, so one price may appear several times.
     """
-    hits = [F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)) for p in PRICE_PATTERNS]
     if mode == "all":
-        found = F.concat(*hits)
+        found = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)) for p in PRICE_PATTERNS])
     elif mode == "first":
-        found = F.coalesce(*[F.when(F.size(h) > 0, h) for h in hits],
-                           F.expr("cast(array() as array<string>)"))
+        found = F.coalesce(first_price_text(text), F.expr("cast(array() as array<string>)"))
     else:
         raise ValueError(f"unknown mode {mode}")
     return F.filter(F.transform(found, normalize_price), lambda p: p > 0)

@@ -19,7 +19,7 @@ from marketlens.functions import text as tx
 from marketlens.functions import urls
 from marketlens.functions.arrays import let
 from marketlens.functions.prices import (
-    DISCOUNT_PATTERNS, PRICE_PATTERNS, detect_currency, extract_price_values, normalize_price,
+    DISCOUNT_PATTERNS, detect_currency, extract_price_values, first_price_text, normalize_price,
     sale_from_original)
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -355,36 +355,43 @@ def crawl_links(facts: DataFrame, key: str = "page_id", n: int = 100) -> DataFra
     return facts.select(key, F.posexplode(kept).alias("pos", "link"))
 
 
-def schema_items(facts: DataFrame, key: str = "page_id") -> DataFrame:
-    """Structured-data items: JSON-LD (graph, list or single) and microdata.
+def _ld_items(body: Column, pos: Column) -> Column:
+    """Items of one JSON-LD body: its graph, its list, or itself."""
+    def item(v: Column) -> Column:
+        kind = F.coalesce(
+            F.try_variant_get(v, '$["@type"][0]', "string"), F.try_variant_get(v, '$["@type"]', "string"),
+            F.lit("Unknown"))
+        return F.struct(
+            F.lit("json-ld").alias("source"), pos.alias("pos"), kind.alias("type"),
+            F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>")).alias("properties"),
+            F.lit(True).alias("is_valid"))
 
-    A body that is not JSON gives one ``Invalid`` item.
-    """
-    bodies = facts.select(key, F.posexplode(json_ld(F.col("scripts"))).alias("pos", "body")).filter("body <> ''")
-    parsed = bodies.withColumn("v", F.try_parse_json("body"))
-    listed = F.coalesce(
-        F.try_variant_get("v", '$["@graph"]', "array<variant>"), F.try_variant_get("v", "$", "array<variant>"),
-        F.when(F.col("v").isNotNull(), F.array("v")))
-    items = parsed.select(key, "pos", F.col("v").isNull().alias("broken"), F.posexplode_outer(listed).alias(
-        "item_pos", "item")).filter("broken OR item IS NOT NULL")
-    kind = F.coalesce(
-        F.try_variant_get("item", '$["@type"][0]', "string"), F.try_variant_get("item", '$["@type"]', "string"),
-        F.lit("Unknown"))
-    as_json = F.to_json("item")
-    ld = items.select(
-        key, F.lit("json-ld").alias("source"), "pos", F.coalesce("item_pos", F.lit(0)).alias("item_pos"),
-        F.when(F.col("broken"), "Invalid").otherwise(kind).alias("type"),
-        F.coalesce(F.json_object_keys(as_json), F.array().cast("array<string>")).alias("properties"),
-        (~F.col("broken")).alias("is_valid"))
-    return ld.unionByName(microdata_items(facts, key))
+    broken = F.array(F.struct(
+        F.lit("json-ld").alias("source"), pos.alias("pos"), F.lit("Invalid").alias("type"),
+        F.array().cast("array<string>").alias("properties"), F.lit(False).alias("is_valid")))
+    return let(F.try_parse_json(body), lambda v: F.when(v.isNull(), broken).otherwise(F.transform(F.coalesce(
+        F.try_variant_get(v, '$["@graph"]', "array<variant>"), F.try_variant_get(v, "$", "array<variant>"),
+        F.array(v)), item)))
+
+
+def schema_item_array(facts: DataFrame) -> Column:
+    """Structured-data items of a page: JSON-LD in page order, then microdata."""
+    bodies = F.filter(json_ld(F.col("scripts")), lambda b: b != "")
+    micro = F.transform("microdata", lambda m, i: F.struct(
+        F.lit("microdata").alias("source"), i.alias("pos"), m["type"].alias("type"),
+        F.array_distinct(F.transform(m["properties"], lambda p: p["name"])).alias("properties"),
+        F.lit(True).alias("is_valid")))
+    return F.concat(F.flatten(F.transform(bodies, _ld_items)), micro)
+
+
+def schema_items(facts: DataFrame, key: str = "page_id") -> DataFrame:
+    """Structured-data items, one row each. A body that is not JSON gives one ``Invalid`` item."""
+    return facts.select(key, F.posexplode(schema_item_array(facts)).alias("item_pos", "item")).select(
+        key, "item_pos", "item.*")
 
 
 def microdata_items(facts: DataFrame, key: str = "page_id") -> DataFrame:
-    rows = facts.select(key, F.posexplode("microdata").alias("pos", "m"))
-    return rows.select(
-        key, F.lit("microdata").alias("source"), "pos", F.lit(0).alias("item_pos"), F.col("m.type").alias("type"),
-        F.array_distinct(F.transform("m.properties", lambda p: p["name"])).alias("properties"),
-        F.lit(True).alias("is_valid"))
+    return schema_items(facts, key).filter("source = 'microdata'")
 
 
 def microdata_values(facts: DataFrame, key: str = "page_id") -> DataFrame:
@@ -494,11 +501,6 @@ def _product_name(nodes: Column, texts: Column, node: Column) -> Column:
     return dom.first(F.filter(F.transform(_ancestors(nodes, node, 5), name_in), lambda s: s.isNotNull()))
 
 
-def _first_price(text: Column) -> Column:
-    hits = [F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1)) for p in PRICE_PATTERNS]
-    return normalize_price(F.get(F.coalesce(*[F.when(F.size(h) > 0, h) for h in hits]), F.lit(0)))
-
-
 def price_mentions(pages: DataFrame, key: str = "page_id", mode: str = "first",
                    partitions: int | None = None) -> DataFrame:
     """Prices shown on pages with product name, currency, original price and discount.
@@ -530,8 +532,9 @@ def price_mentions(pages: DataFrame, key: str = "page_id", mode: str = "first",
 
     rows = flat.select(key, "url", F.explode(F.transform(priced, context)).alias("m")).select(
         key, "url", "m.*").select("*", F.posexplode("prices").alias("pos", "price"))
-    original = F.when(F.col("struck").isNotNull(), F.nullif(
-        _first_price(F.col("struck")), F.lit(0).cast("decimal(12,2)")))
+    original = F.when(F.col("struck").isNotNull(), normalize_price(
+        F.get(first_price_text(F.col("struck")), F.lit(0))))
+    original = F.nullif(original, F.lit(0).cast("decimal(12,2)"))
     worded = F.coalesce(*[
         F.nullif(F.regexp_extract("around", f"(?i){p}", 1), F.lit("")) for p in DISCOUNT_PATTERNS]).try_cast("int")
     saved = sale_from_original(F.col("price"), F.col("original_price"))
