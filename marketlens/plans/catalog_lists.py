@@ -17,7 +17,7 @@ _AT = f"TIMESTAMP '{ev.AS_OF_EVENTS}'"
 WITH c AS (SELECT count(*) FILTER (detected_at >= {_AT} - INTERVAL 24 HOURS) AS v,
     count(*) FILTER (detected_at < {_AT} - INTERVAL 24 HOURS) AS p
   FROM content_changes WHERE detected_at >= {_AT} - INTERVAL 48 HOURS AND detected_at <= {_AT}),
-d AS (SELECT v, CASE WHEN p > 0 THEN round_even((v - p)::DOUBLE / p * 100, 1)::DOUBLE
+d AS (SELECT v, CASE WHEN p > 0 THEN {ev.sql_round('((v - p)::DOUBLE / p * 100)', 1)}
     WHEN v = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS pct FROM c)
 SELECT 'Total Competitors' AS label, count(*) FILTER (is_active) AS value, NULL::DOUBLE AS change,
   NULL AS change_direction FROM competitors
@@ -209,9 +209,9 @@ def _(spark, sf):
     return li.running_scans(ev.scans(spark, sf), ev.competitors(spark, sf))
 
 
-@query("scan_detail", """
+@query("scan_detail", f"""
 SELECT id, competitor_name, status, pages_crawled, duration_seconds, CASE WHEN duration_seconds > 0
-  THEN round_even(pages_crawled::DOUBLE / (duration_seconds::DOUBLE / 60), 2)::DOUBLE END AS pages_per_minute
+  THEN {ev.sql_round('(pages_crawled::DOUBLE / (duration_seconds::DOUBLE / 60))', 2)} END AS pages_per_minute
 FROM (SELECT s.*, c.name AS competitor_name, date_diff('second', started_at, completed_at) AS duration_seconds
   FROM scans s JOIN competitors c ON c.id = s.competitor_id)""", "scans competitors")
 def _(spark, sf):
@@ -228,12 +228,12 @@ def _(spark, sf):
         "scan_id", "page", "url", "word_count", "crawled_at")
 
 
-@query("scan_stats", """
+@query("scan_stats", f"""
 SELECT count(*) AS total_scans, count(*) FILTER (status = 'completed') AS completed_scans,
   count(*) FILTER (status = 'running') AS running_scans, count(*) FILTER (status = 'failed') AS failed_scans,
   CAST(sum(pages_crawled) AS BIGINT) AS total_pages_crawled,
-  round_even(sum(pages_crawled)::DOUBLE / count(*), 1)::DOUBLE AS avg_pages_per_scan,
-  round_even(avg(date_diff('second', started_at, completed_at)), 1)::DOUBLE AS avg_duration_seconds
+  {ev.sql_round('(sum(pages_crawled)::DOUBLE / count(*))', 1)} AS avg_pages_per_scan,
+  {ev.sql_round("avg(date_diff('second', started_at, completed_at))", 1)} AS avg_duration_seconds
 FROM scans""", "scans")
 def _(spark, sf):
     return li.scan_stats(ev.scans(spark, sf))

@@ -200,6 +200,11 @@ def sql_words(text: str) -> str:
     return f"regexp_extract_all({text}, '[^{SQL_WS}]+')"
 
 
+def sql_round(value: str, digits: int) -> str:
+    """Half-even rounding of a double by its decimal digits; the plain function first scales in binary."""
+    return f"round_even(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18)), {digits})::DOUBLE"
+
+
 def sql_strip(text: str) -> str:
     return f"regexp_replace({text}, '^[{SQL_WS}]+|[{SQL_WS}]+$', '', 'g')"
 
