@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,14 @@ def ngrams(tokens: Column, n: int) -> Column:
         F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)),
                     lambda i: F.array_join(F.slice(t, i, n), " ")),
     ).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+def unnest(df: DataFrame, keep: Sequence[str | Column], array: Column | str, item: str, pos: str = "_pos") -> DataFrame:
+    """One row per array element, with the kept columns, ``item`` and its position.
+
+    Plain ``explode`` makes Spark filter out empty arrays beforehand, which works
+    out the array once more for each test. The outer form works it out once; rows
+    of empty arrays are dropped afterwards.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+    return rows.drop("_pos")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
+from marketlens.functions.arrays import unnest
 from marketlens.operators.compare import seo_history
 from marketlens.sources.tables import read_keywords_json
 
@@ -122,8 +123,8 @@ def content_gaps(contents: DataFrame, competitors: DataFrame, you=None, ids: lis
     mentions = _topics(own).select("competitor_id", F.lower("topic").alias("topic"))
     frequent = mentions.groupBy("topic").agg(F.count(F.lit(1)).alias("mentions")).orderBy(
         F.col("mentions").desc(), "topic").limit(top_topics)
-    titled = own.select("competitor_id", F.explode(F.filter(
-        tx.words(F.lower("title")), lambda w: F.length(w) > 4)).alias("topic"))
+    titled = unnest(own, ["competitor_id"], F.filter(
+        tx.words(F.lower("title")), lambda w: F.length(w) > 4), "topic")
     # The ranked list holds top_topics rows at most.
     covering = mentions.unionByName(titled).join(F.broadcast(frequent), "topic").select(
         "topic", "competitor_id", "mentions").distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import dom
 from marketlens.functions import text as tx
 from marketlens.functions import urls
-from marketlens.functions.arrays import let
+from marketlens.functions.arrays import let, unnest
 from marketlens.functions.prices import (
     DISCOUNT_PATTERNS, detect_currency, extract_price_values, first_price_text, normalize_price,
     sale_from_original)
@@ -339,7 +339,7 @@ def extract_links(facts: DataFrame, key: str = "page_id", same_domain_only: bool
         F.substring(a["text"], 1, 200).alias("text"), a["nofollow"].alias("nofollow")))
     distinct = let(F.array_sort(normal), lambda rows: F.filter(
         rows, lambda r, i: (i == 0) | (r["link"] != F.get(rows, i - 1)["link"])))
-    links = facts.select(key, F.col("url").alias("page_url"), F.explode(distinct).alias("l")).select(
+    links = unnest(facts, [key, F.col("url").alias("page_url")], distinct, "l").select(
         key, "l.pos", F.col("l.link").alias("url"), "l.text", "l.nofollow",
         urls.same_host(F.col("l.link"), F.col("page_url")).alias("is_internal"))
     links = links.filter(~urls.skipped_file(F.col("url"))).withColumns({
@@ -352,7 +352,7 @@ def crawl_links(facts: DataFrame, key: str = "page_id", n: int = 100) -> DataFra
     absolute = F.transform("anchors", lambda a: F.when(
         a["href"].startswith("/"), urls.resolve(a["href"], F.col("url"))).otherwise(a["href"]))
     kept = F.slice(F.filter(absolute, lambda u: u.startswith("http")), 1, n)
-    return facts.select(key, F.posexplode(kept).alias("pos", "link"))
+    return unnest(facts, [key], kept, "link", "pos")
 
 
 def _ld_items(body: Column, pos: Column) -> Column:
@@ -386,7 +386,7 @@ def schema_item_array(facts: DataFrame) -> Column:
 
 def schema_items(facts: DataFrame, key: str = "page_id") -> DataFrame:
     """Structured-data items, one row each. A body that is not JSON gives one ``Invalid`` item."""
-    return facts.select(key, F.posexplode(schema_item_array(facts)).alias("item_pos", "item")).select(
+    return unnest(facts, [key], schema_item_array(facts), "item", "item_pos").select(
         key, "item_pos", "item.*")
 
 
@@ -396,11 +396,11 @@ def microdata_items(facts: DataFrame, key: str = "page_id") -> DataFrame:
 
 def microdata_values(facts: DataFrame, key: str = "page_id") -> DataFrame:
     """Property values of microdata items, one row each; the last value of a name wins."""
-    rows = facts.select(key, F.posexplode("microdata").alias("pos", "m")).select(
+    rows = unnest(facts, [key], "microdata", "m", "pos").select(
         key, "pos", F.col("m.type").alias("type"), "m.properties")
     last = F.filter("properties", lambda p, i: ~F.exists(
         F.slice(F.col("properties"), i + 2, F.size("properties")), lambda q: q["name"] == p["name"]))
-    return rows.select(key, "pos", "type", F.explode(last).alias("p")).select(
+    return unnest(rows, [key, "pos", "type"], last, "p").select(
         key, "pos", "type", F.col("p.name").alias("name"), F.col("p.value").alias("value"))
 
 
@@ -530,8 +530,8 @@ def price_mentions(pages: DataFrame, key: str = "page_id", mode: str = "first",
             _product_name(nodes, texts, c["c"]).alias("name"), shown.alias("around"),
             let(strike, lambda s: F.when(s.isNotNull(), dom.raw_text_of(texts, s))).alias("struck"))
 
-    rows = flat.select(key, "url", F.explode(F.transform(priced, context)).alias("m")).select(
-        key, "url", "m.*").select("*", F.posexplode("prices").alias("pos", "price"))
+    shown = unnest(flat, [key, "url"], F.transform(priced, context), "m").select(key, "url", "m.*")
+    rows = unnest(shown, ["*"], "prices", "price", "pos")
     original = F.when(F.col("struck").isNotNull(), normalize_price(
         F.get(first_price_text(F.col("struck")), F.lit(0))))
     original = F.nullif(original, F.lit(0).cast("decimal(12,2)"))
@@ -606,7 +606,7 @@ def extract_products(pages: DataFrame, key: str = "page_id", partitions: int | N
             F.coalesce(F.nullif(dom.attr(image, "src"), F.lit("")), dom.attr(image, "data-src")).alias("image_url"),
             (~gone).alias("is_available"), _features(nodes, texts, c).alias("features"))
 
-    return flat.select(key, F.explode(F.transform(distinct, details)).alias("p")).select(
+    return unnest(flat, [key], F.transform(distinct, details), "p").select(
         key, "p.element", "p.name", F.col("p.product_url").alias("url"), "p.description",
         F.substring("p.description", 1, 200).alias("short_description"), "p.category", "p.image_url",
         "p.is_available", "p.features")
@@ -614,6 +614,6 @@ def extract_products(pages: DataFrame, key: str = "page_id", partitions: int | N
 
 def extract_product_features(products: DataFrame, *keys: str) -> DataFrame:
     """Features of product cards, one row each, in page order."""
-    return products.select(*keys, F.posexplode("features").alias("pos", "f")).select(
+    return unnest(products, keys, "features", "f", "pos").select(
         *keys, "pos", F.col("f.name").alias("feature_name"), F.col("f.value").alias("feature_value"),
         F.col("f.category").alias("feature_category"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import scores as sc
+from marketlens.functions.arrays import unnest
 from marketlens.operators.compare import latest_analyses
 
 
@@ -59,7 +60,7 @@ def seo_audit_cards(analyses: DataFrame) -> DataFrame:
             (~c("has_canonical"), "Missing canonical tag", "Add canonical tags to prevent duplicate content"),
             (~c("has_schema"), "No schema markup detected", "Implement structured data")]),
     )
-    return latest_analyses(analyses).select("competitor_id", F.posexplode(cards).alias("pos", "card")).select(
+    return unnest(latest_analyses(analyses), ["competitor_id"], cards, "card", "pos").select(
         "competitor_id", "pos", "card.*")
 
 
@@ -211,5 +212,5 @@ def page_insights(analyses: DataFrame) -> DataFrame:
         return F.filter(found, lambda i: i["priority"] == level)
 
     ordered = F.concat(of_priority(1), of_priority(2), of_priority(3))
-    return analyses.select("id", "competitor_id", F.posexplode(ordered).alias("pos", "i")).select(
+    return unnest(analyses, ["id", "competitor_id"], ordered, "i", "pos").select(
         "id", "competitor_id", "pos", "i.*")

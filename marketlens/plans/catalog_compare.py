@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.functions import scores as sc
+from marketlens.functions.arrays import unnest
 from marketlens.operators import compare as co
 from marketlens.operators import gaps as ga
 from marketlens.operators import seo
@@ -203,8 +204,8 @@ WITH {_ITEMS_SQL} SELECT competitor_id, section, pos, item, score, {_status('sco
 FROM items""", "seo_analyses competitors")
 def _(spark, sf):
     report = sr.seo_report(_analyses(spark, sf), ev.competitors(spark, sf))
-    return report.select("competitor_id", F.explode("sections").alias("s")).select(
-        "competitor_id", F.col("s.title").alias("section"), F.posexplode("s.items").alias("pos", "i")).select(
+    return unnest(unnest(report, ["competitor_id"], "sections", "s"), [
+        "competitor_id", F.col("s.title").alias("section")], "s.items", "i", "pos").select(
         "competitor_id", "section", "pos", F.col("i.name").alias("item"), "i.score", "i.status", "i.value",
         "i.recommendation")
 
@@ -221,7 +222,7 @@ WITH {_LATEST}, l AS (SELECT l.* FROM latest l JOIN competitors c ON c.id = l.co
 SELECT competitor_id, title, score, {_status('score')} AS status FROM s""", "seo_analyses competitors")
 def _(spark, sf):
     report = sr.seo_report(_analyses(spark, sf), ev.competitors(spark, sf))
-    return report.select("competitor_id", F.explode("sections").alias("s")).select(
+    return unnest(report, ["competitor_id"], "sections", "s").select(
         "competitor_id", "s.title", "s.score", "s.status")
 
 
@@ -233,7 +234,7 @@ SELECT competitor_id, CAST(rn AS INTEGER) AS pos, section, item, recommendation,
        "seo_analyses competitors")
 def _(spark, sf):
     report = sr.seo_report(_analyses(spark, sf), ev.competitors(spark, sf))
-    return report.select("competitor_id", F.posexplode("priority_fixes").alias("pos", "f")).select(
+    return unnest(report, ["competitor_id"], "priority_fixes", "f", "pos").select(
         "competitor_id", "pos", "f.section", "f.item", "f.recommendation", "f.priority")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.functions import prices as px
+from marketlens.functions.arrays import unnest
 from marketlens.operators import changes as ch
 from marketlens.operators import prices as pr
 from marketlens.plans import entity_views as ev
@@ -200,15 +201,15 @@ def _sql_values(found: str) -> str:
     "CASE " + " ".join(f"WHEN len({_sql_hits(p)}) > 0 THEN {_sql_hits(p)}" for p in px.PRICE_PATTERNS)
     + " ELSE [] END"))
 def _(spark, sf):
-    return _offers(spark, sf).select(
-        "p_partkey", F.posexplode(px.extract_price_values(F.col("offer"))).alias("pos", "price"))
+    return unnest(
+        _offers(spark, sf), ["p_partkey"], px.extract_price_values(F.col("offer")), "price", "pos")
 
 
 @query("extract_price_values_all", "WITH " + _OFFERS_SQL + _sql_values(
     "list_concat(" + ", ".join(_sql_hits(p) for p in px.PRICE_PATTERNS) + ")"))
 def _(spark, sf):
-    return _offers(spark, sf).select(
-        "p_partkey", F.posexplode(px.extract_price_values(F.col("offer"), mode="all")).alias("pos", "price"))
+    return unnest(
+        _offers(spark, sf), ["p_partkey"], px.extract_price_values(F.col("offer"), mode="all"), "price", "pos")
 
 
 @query("normalize_price", f"""

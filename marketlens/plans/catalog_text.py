@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
 from marketlens.functions import urls
-from marketlens.functions.arrays import ngrams
+from marketlens.functions.arrays import ngrams, unnest
 from marketlens.operators import fingerprints as fp
 from marketlens.operators import frontier as fr
 from marketlens.plans import entity_views as ev
@@ -260,7 +260,7 @@ WS = ev.SQL_WS
 
 
 def _docs(spark, sf):
-    return ev.raw(spark, sf, "documents")
+    return ev.heavy(spark, sf, "documents")
 
 
 def sql_normal(text: str) -> str:
@@ -285,7 +285,7 @@ def sql_top(source: str, key: str, tokens: str, n: int) -> str:
 
 
 def _exploded_top(df, key: str, counted):
-    return df.select(key, F.posexplode(counted).alias("pos", "entry")).select(
+    return unnest(df, [key], counted, "entry", "pos").select(
         key, F.col("entry.token").alias("token"), (-F.col("entry.neg_n")).cast("bigint").alias("n"),
         (F.col("pos") + 1).cast("bigint").alias("rank"))
 
@@ -336,7 +336,7 @@ def _(spark, sf):
        + " UNION ALL SELECT doc_id, unnest(w), generate_subscripts(w, 1) FROM worded WHERE len(w) < 3")
 def _(spark, sf):
     phrases = tx.top_phrases(tx.normalize_text(F.col("text")))
-    return _docs(spark, sf).select("doc_id", F.posexplode(phrases).alias("pos", "phrase")).select(
+    return unnest(_docs(spark, sf), ["doc_id"], phrases, "phrase", "pos").select(
         "doc_id", "phrase", (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 

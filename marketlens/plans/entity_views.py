@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
+from marketlens.sources.tables import spread
 
 # Newest instants of the given tables; relative queries are run as of these.
 AS_OF_EVENTS = "2024-01-30 12:00:00"
@@ -21,6 +22,11 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry long texts or become pages."""
+    return spread(raw(spark, sf_dir, name))
+
+
 def competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS id", "c_name AS name",
@@ -118,7 +124,7 @@ def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = raw(spark, sf_dir, "documents").selectExpr(
+    base = heavy(spark, sf_dir, "documents").selectExpr(
         "doc_id AS id", "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) AS url",
         "substring(text, 1, 60) AS title", "text AS text_content", "lang", "lang = 'de' AS has_changed",
@@ -137,7 +143,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def next_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The following crawl: German pages were edited, Spanish pages are seen for the first time."""
-    return raw(spark, sf_dir, "documents").selectExpr(
+    return heavy(spark, sf_dir, "documents").selectExpr(
         "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) AS url",
         "substring(text, 1, 60) AS title",
@@ -179,7 +185,7 @@ def seo_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "pages")
+    return heavy(spark, sf_dir, "pages")
 
 
 # --- the same views for DuckDB -------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions.arrays import unnest
+
 # Column types of each entity table. Files are read with these, never inferred.
 SCHEMAS: dict[str, str] = {
     "competitors": (
@@ -65,6 +67,16 @@ def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain file scan, dealt out over the cores where it has fewer splits than cores.
+
+    Few or unsplittable files would leave heavy per-row work (HTML, text) to few
+    tasks. A scan with enough splits is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_table(spark: SparkSession, name: str, directory: str) -> DataFrame:
     """One entity table from parquet, with its fixed schema."""
     return read_parquet(spark, f"{directory.rstrip('/')}/{name}", SCHEMAS[name])
@@ -97,4 +109,4 @@ def read_keywords_json(df: DataFrame, col: str, out: str = "keyword", n: int | N
     ))
     listed = F.col("_keywords") if n is None else F.slice("_keywords", 1, n)
     kept = [c for c in df.columns]
-    return parsed.select(*kept, F.posexplode(listed).alias("keyword_pos", out))
+    return unnest(parsed, kept, listed, out, "keyword_pos")
