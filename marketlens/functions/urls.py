@@ -132,7 +132,8 @@ def normalize_url(url: Column, base: Column | None = None) -> Column:
             F.when(low == "http", F.regexp_replace(u["host"], ":80$", ""))
             .when(low == "https", F.regexp_replace(u["host"], ":443$", ""))
             .otherwise(u["host"]))
-        tidy = F.when(bare.isin("", "/"), "/").otherwise(F.regexp_replace(bare, "/+$", ""))
+        # A path of slashes only is the root, so that a normal form stays as it is.
+        tidy = F.when(bare.rlike("^/*$"), "/").otherwise(F.regexp_replace(bare, "/+$", ""))
         return F.concat(
             F.when(low != "", F.concat(low, F.lit(":"))).otherwise(F.lit("")),
             F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(F.lit("")),

@@ -19,7 +19,7 @@ class _RememberLast(StatefulProcessor):
         self.time, self.tie, self.value, self.name = time, list(tie), value, name
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, value string")
+        self.last = handle.getValueState("last", "at long, value string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         at, value = self.last.get() or (None, None)
@@ -44,7 +44,9 @@ def with_previous_stream(stream: DataFrame, keys: Sequence[str], time: str, tie:
     (time, tie) order.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    keyed = stream.withColumn("_value", F.col(value).cast("string"))
+    # Microseconds compare alike in rows and in state, whatever the zone.
+    keyed = stream.withColumns({
+        "_value": F.col(value).cast("string"), "_at": F.unix_micros(F.col(time).cast("timestamp"))})
     schema = T.StructType([*keyed.schema.fields, T.StructField(name, T.StringType())])
-    processor = _RememberLast(time, tie, "_value", name)
-    return keyed.groupBy(*keys).transformWithState(processor, schema, "Append", "None").drop("_value")
+    processor = _RememberLast("_at", tie, "_value", name)
+    return keyed.groupBy(*keys).transformWithState(processor, schema, "Append", "None").drop("_value", "_at")
