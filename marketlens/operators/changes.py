@@ -15,9 +15,9 @@ STORED_TEXT_CHARS = 50_000
 CHANGE_TEXT_CHARS = 1_000
 
 
-def content_status(text: Column, new_hash: Column, old_hash: Column, known: Column) -> Column:
+def content_status(chars: Column, new_hash: Column, old_hash: Column, known: Column) -> Column:
     return (
-        F.when(F.length(text) < MIN_CONTENT_CHARS, "skipped")
+        F.when(chars < MIN_CONTENT_CHARS, "skipped")
         .when(~known, "new")
         .when(new_hash != old_hash, "updated")
         .otherwise("unchanged")
@@ -32,19 +32,25 @@ def detect_content_changes(new: DataFrame, current: DataFrame,
     per page. Texts under 100 characters are skipped, as too short to track.
     """
     text = F.col("text_content")
-    fresh = new.withColumns({"new_hash": tx.content_hash(text), "word_count": tx.word_count(text)})
+    # Hash, size and the stored cut are taken before the join: texts are not shuffled.
+    fresh = new.select(
+        *[c for c in new.columns if c != "text_content"], tx.content_hash(text).alias("new_hash"),
+        tx.word_count(text).alias("word_count"), F.length(text).alias("char_count"),
+        F.substring(text, 1, CHANGE_TEXT_CHARS).alias("new_text"))
     stored = current.select(
         *keys, F.col("content_hash").alias("old_hash"), F.col("word_count").alias("old_word_count"),
-        F.substring("text_content", 1, CHANGE_TEXT_CHARS).alias("stored_text"), F.lit(True).alias("known"))
+        F.substring("text_content", 1, CHANGE_TEXT_CHARS).alias("old_text"), F.lit(True).alias("known"))
     joined = fresh.join(stored, list(keys), "left")
     known = F.coalesce("known", F.lit(False))
-    return joined.withColumn(
-        "status", content_status(text, F.col("new_hash"), F.col("old_hash"), known),
-    ).withColumns({
-        "old_value": F.when(F.col("status") == "updated", F.col("stored_text")),
-        "new_value": F.when(F.col("status") == "updated", F.substring(text, 1, CHANGE_TEXT_CHARS)),
-        "word_count_change": F.when(F.col("status") == "updated", F.col("word_count") - F.col("old_word_count")),
-    }).drop("known", "stored_text")
+    status = content_status(F.col("char_count"), F.col("new_hash"), F.col("old_hash"), known)
+
+    def if_updated(value: Column) -> Column:
+        return F.when(F.col("status") == "updated", value)
+
+    return joined.withColumn("status", status).withColumns({
+        "old_value": if_updated(F.col("old_text")), "new_value": if_updated(F.col("new_text")),
+        "word_count_change": if_updated(F.col("word_count") - F.col("old_word_count")),
+    }).drop("known", "old_text", "new_text")
 
 
 def content_change_log(changes: DataFrame) -> DataFrame:

@@ -8,47 +8,51 @@ from pyspark.sql import functions as F
 from marketlens.functions import text as tx
 
 
-def _votes(word: str, bit: int, name: str) -> Column:
-    mark = F.col(word).bitwiseAND(F.lit(1 << bit).cast("long"))
-    # A missing token (empty text) casts no vote.
-    return F.sum(F.when(mark != 0, 1).when(mark == 0, -1)).alias(name)
+def _vote(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Simhash of the tokens (``_token``) of each key, as two 32-bit halves.
+
+    64 conditional sums in one hash aggregate, folded map-side: tokens of a text
+    sit in one input partition, so one row per text is shuffled. Each token adds
+    one to the bits set in its hash and takes one from the others; a bit is set in
+    the result where the sum is not negative. A missing token casts no vote.
+    """
+    halves = tokens.withColumn("_md5", F.md5("_token")).selectExpr(
+        *keys, "cast(conv(substring(_md5, 17, 8), 16, 10) AS BIGINT) AS _hi",
+        "cast(conv(substring(_md5, 25, 8), 16, 10) AS BIGINT) AS _lo")
+    # Written as text: building hundreds of column objects would cost the driver seconds.
+    sums = [F.expr(f"sum(CASE WHEN {half} & {1 << i}L != 0 THEN 1 WHEN {half} IS NOT NULL THEN -1 END) AS {half}{i}")
+            for half in ("_hi", "_lo") for i in range(32)]
+    bits = {half: " | ".join(f"if(coalesce({half}{i}, 0) >= 0, {1 << i}L, 0L)" for i in range(32))
+            for half in ("_hi", "_lo")}
+    return halves.groupBy(*keys).agg(*sums).selectExpr(*keys, *[f"{e} AS {half}" for half, e in bits.items()])
+
+
+def _hex_and_bits(parts: DataFrame, keys: list[str]) -> DataFrame:
+    return parts.selectExpr(
+        *keys, "concat(lower(lpad(hex(_hi), 8, '0')), lower(lpad(hex(_lo), 8, '0'))) AS simhash",
+        "shiftleft(_hi, 32) | _lo AS simhash_bits")
 
 
-def _half(prefix: str) -> Column:
-    bits = [F.when(F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)) >= 0, F.lit(1 << i).cast("long")).otherwise(
-        F.lit(0).cast("long")) for i in range(32)]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return total
+def simhash64(df: DataFrame, key: str, text: str) -> DataFrame:
+    """64-bit simhash of each text, as hex and as a long."""
+    tokens = tx.words(tx.normalize_text(F.coalesce(F.col(text), F.lit(""))))
+    return _hex_and_bits(_vote(df.select(key, F.explode_outer(tokens).alias("_token")), [key]), [key])
 
 
 def fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
     """Per text: full_hash, 64-bit simhash (hex and long), phrase_hash, word and character counts.
 
-    Each text is exploded into tokens and folded back by a map-side aggregate, so
-    one row per text is shuffled, never the tokens.
+    The facts of a text ride along as grouping keys: strings in the aggregate's
+    buffers would turn it from a hash aggregate into a sort of all tokens.
     """
     normal = df.select(key, tx.normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("_normal"))
     facts = normal.select(
         key, F.sha2("_normal", 256).alias("full_hash"), tx.phrase_hash(F.col("_normal")).alias("phrase_hash"),
         tx.word_count(F.col("_normal")).alias("word_count"), F.length("_normal").alias("char_count"),
         tx.words(F.col("_normal")).alias("_tokens"))
-    kept = ["full_hash", "phrase_hash", "word_count", "char_count"]
-    hashed = facts.select(key, *kept, F.explode_outer("_tokens").alias("_token")).select(
-        key, *kept, F.md5("_token").alias("_md5"))
-    halves = hashed.select(
-        key, *kept,
-        F.conv(F.substring("_md5", 17, 8), 16, 10).cast("long").alias("_hi"),
-        F.conv(F.substring("_md5", 25, 8), 16, 10).cast("long").alias("_lo"))
-    votes = halves.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in kept],
-        *[_votes("_hi", i, f"_h{i}") for i in range(32)], *[_votes("_lo", i, f"_l{i}") for i in range(32)])
-    parts = votes.select(key, *kept, _half("_h").alias("_hi"), _half("_l").alias("_lo"))
-    hex8 = [F.lower(F.lpad(F.hex(c), 8, "0")) for c in ("_hi", "_lo")]
-    return parts.select(
-        key, *kept, F.concat(*hex8).alias("simhash"),
-        F.shiftleft("_hi", 32).bitwiseOR(F.col("_lo")).alias("simhash_bits"))
+    keys = [key, "full_hash", "phrase_hash", "word_count", "char_count"]
+    tokens = facts.select(*keys, F.explode_outer("_tokens").alias("_token"))
+    return _hex_and_bits(_vote(tokens, keys), keys)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -101,7 +105,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def near_duplicates(fingerprints: DataFrame, key: str, max_distance: int = 3) -> DataFrame:
+def near_duplicates(simhashes: DataFrame, key: str, max_distance: int = 3) -> DataFrame:
     """Pairs of distinct simhash values at most ``max_distance`` bits apart, none missed.
 
     Texts are first collapsed to one row per simhash value (its texts are at
@@ -110,18 +114,17 @@ def near_duplicates(fingerprints: DataFrame, key: str, max_distance: int = 3) ->
     de-duplicating shuffle. Only longs travel through the join; AQE splits a
     bucket that is still large.
     """
-    values = fingerprints.groupBy("simhash_bits").agg(
+    values = simhashes.groupBy("simhash_bits").agg(
         F.min(key).alias("first_key"), F.count(F.lit(1)).alias("texts"))
-    masks = [F.lit(_signed(m)).cast("long") for m in band_masks(max_distance)]
+    masks = [f"{_signed(m)}L" for m in band_masks(max_distance)]
+    band_keys = ", ".join(f"simhash_bits & {m}" for m in masks)
     keyed = values.select(
-        "simhash_bits", "first_key", "texts",
-        F.posexplode(F.array(*[F.col("simhash_bits").bitwiseAND(m) for m in masks])).alias("band", "band_key"))
+        "simhash_bits", "first_key", "texts", F.posexplode(F.expr(f"array({band_keys})")).alias("band", "band_key"))
     a = keyed.select("band", "band_key", *[F.col(c).alias(f"{c}_a") for c in values.columns])
     b = keyed.select("band", "band_key", *[F.col(c).alias(f"{c}_b") for c in values.columns])
     diff = F.col("simhash_bits_a").bitwiseXOR(F.col("simhash_bits_b"))
-    first = F
-    for i, mask in enumerate(masks):
-        first = first.when(diff.bitwiseAND(mask) == 0, i)
+    first = F.expr("CASE " + " ".join(
+        f"WHEN (simhash_bits_a ^ simhash_bits_b) & {m} = 0 THEN {i}" for i, m in enumerate(masks)) + " END")
     pairs = a.join(b, ["band", "band_key"]).filter(
         (F.col("simhash_bits_a") < F.col("simhash_bits_b")) & (F.bit_count(diff) <= max_distance)
         & (first == F.col("band")))

@@ -193,7 +193,7 @@ def _sql_values(found: str) -> str:
     return (f", hits AS (SELECT p_partkey, unnest(found) AS raw, generate_subscripts(found, 1) AS i "
             f"FROM (SELECT p_partkey, {found} AS found FROM offers)), "
             f"priced AS (SELECT p_partkey, i, {_sql_normalize('raw')} AS price FROM hits) "
-            "SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS pos, price "
+            "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS INTEGER) AS pos, price "
             "FROM priced WHERE price > 0")
 
 

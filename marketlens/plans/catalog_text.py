@@ -148,7 +148,7 @@ used AS (SELECT scan_id, count(*) AS n FROM seen GROUP BY scan_id),
 admitted AS (SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY added, url) AS ord FROM fresh) o
   LEFT JOIN used u ON u.scan_id = o.scan_id WHERE ord <= 300 - coalesce(n, 0))
 SELECT scan_id, url, added, priority, depth,
-  row_number() OVER (PARTITION BY scan_id ORDER BY priority, added, url) AS position FROM admitted""")
+  CAST(row_number() OVER (PARTITION BY scan_id ORDER BY priority, added, url) AS INTEGER) AS position FROM admitted""")
 def _(spark, sf):
     links, seen = _links(spark, sf)
     return fr.plan_frontier(links, seen, max_urls=300)
@@ -381,6 +381,10 @@ def _fingerprints(spark, sf):
     return fp.fingerprint(_docs(spark, sf), "doc_id", "text")
 
 
+def _simhashes(spark, sf):
+    return fp.simhash64(_docs(spark, sf), "doc_id", "text")
+
+
 _PHRASE_HASH_SQL = f""",
 grams AS (SELECT doc_id, {sql_ngrams('w', 3)} AS tokens FROM worded),
 best AS ({sql_top('grams', 'doc_id', 'tokens', 10)}),
@@ -400,7 +404,7 @@ def _(spark, sf):
 
 @query("simhash64", f"WITH {_SIMHASH_SQL} SELECT doc_id, {_SIMHASH_HEX} AS simhash FROM simhashes")
 def _(spark, sf):
-    return _fingerprints(spark, sf).select("doc_id", "simhash")
+    return _simhashes(spark, sf).select("doc_id", "simhash")
 
 
 @query("fingerprint_similarity", f"""
@@ -436,7 +440,7 @@ d AS (SELECT a.first_key AS ka, b.first_key AS kb, a.texts AS ta, b.texts AS tb,
 SELECT ka AS first_key, kb AS other_key, ta AS first_texts, tb AS other_texts, CAST(distance AS INTEGER) AS distance
 FROM d WHERE distance <= 3""")
 def _(spark, sf):
-    pairs = fp.near_duplicates(_fingerprints(spark, sf), "doc_id")
+    pairs = fp.near_duplicates(_simhashes(spark, sf), "doc_id")
     ahead = F.col("first_key_a") < F.col("first_key_b")
 
     def pick(name: str, first: bool):

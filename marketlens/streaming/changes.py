@@ -34,7 +34,7 @@ def stream_content_changes(pages: DataFrame, keys: Sequence[str] = ("competitor_
     linked = with_previous_stream(hashed, keys, time, tie, "new_hash", "old_hash")
     known = F.col("old_hash").isNotNull()
     return linked.withColumn(
-        "status", content_status(F.col("text_content"), F.col("new_hash"), F.col("old_hash"), known))
+        "status", content_status(F.length("text_content"), F.col("new_hash"), F.col("old_hash"), known))
 
 
 def stream_product_changes(cards: DataFrame, keys: Sequence[str] = ("competitor_id", "name"),
