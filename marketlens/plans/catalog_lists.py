@@ -8,6 +8,7 @@ from marketlens.operators import dashboards as da
 from marketlens.operators import listings as li
 from marketlens.plans import entity_views as ev
 from marketlens.plans.registry import query
+from marketlens.session import scratch_dir
 from marketlens.sources import sinks, tables
 
 _AT = f"TIMESTAMP '{ev.AS_OF_EVENTS}'"
@@ -309,3 +310,16 @@ def _(spark, sf):
               "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
               "l_linestatus string, l_shipdate timestamp_ntz")
     return tables.read_parquet(spark, f"{sf}/lineitem.parquet", schema)
+
+
+@query("append_snapshot", """
+SELECT CAST(captured_at AS DATE)::VARCHAR AS snapshot_date, count(*) AS captures, sum(price)::DECIMAL(22,2) AS total
+FROM price_history GROUP BY 1""", "price_history")
+def _(spark, sf):
+    path = scratch_dir(spark, "snapshots")
+    history = ev.price_history(spark, sf).withColumn("month", F.trunc("captured_at", "month"))
+    # Laid out by month here: the given table spans years with few rows a day.
+    sinks.append_snapshot(history.filter("is_on_sale"), path, "month")
+    sinks.append_snapshot(history.filter("NOT is_on_sale"), path, "month")
+    return spark.read.parquet(path).groupBy(F.to_date("captured_at").cast("string").alias("snapshot_date")).agg(
+        F.count(F.lit(1)).alias("captures"), F.sum("price").alias("total"))

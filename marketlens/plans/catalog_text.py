@@ -300,11 +300,15 @@ def _(spark, sf):
     return _docs(spark, sf).select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
 
 
-@query("word_count", f"SELECT doc_id, CAST(len({ev.sql_words('text')}) AS INTEGER) AS word_count, "
-                     f"CAST(ceil(len({ev.sql_words('text')}) / 200.0) AS INTEGER) AS reading_time FROM documents")
+@query("word_count", f"SELECT doc_id, CAST(len({ev.sql_words('text')}) AS INTEGER) AS word_count FROM documents")
 def _(spark, sf):
-    count = tx.word_count(F.col("text"))
-    return _docs(spark, sf).select("doc_id", count.alias("word_count"), tx.reading_time(count).alias("reading_time"))
+    return _docs(spark, sf).select("doc_id", tx.word_count(F.col("text")).alias("word_count"))
+
+
+@query("reading_time", f"SELECT doc_id, CAST(ceil(len({ev.sql_words('text')}) / 200.0) AS INTEGER) AS reading_time "
+                       "FROM documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.reading_time(tx.word_count(F.col("text"))).alias("reading_time"))
 
 
 @query("readability", f"SELECT doc_id, {ev.sql_readability('text')} AS readability FROM documents")

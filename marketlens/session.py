@@ -14,6 +14,8 @@ SETTINGS = {
     # Split a skewed join side even when that costs one more exchange later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site capture per column expression: plans here are large.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # HTML rows are wide; small Arrow batches keep Python workers within memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.streaming.stateStore.providerClass":
