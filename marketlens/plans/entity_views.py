@@ -44,7 +44,7 @@ def competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = raw(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    return raw(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+    return heavy(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "l_suppkey AS competitor_id", "l_partkey AS product_id",
         "concat(p_name, ' ', l_partkey) AS product_name",
         "concat('/products/', l_partkey) AS product_url",
