@@ -132,18 +132,18 @@ def normalize_url(url: Column, base: Column | None = None) -> Column:
             F.when(low == "http", F.regexp_replace(u["host"], ":80$", ""))
             .when(low == "https", F.regexp_replace(u["host"], ":443$", ""))
             .otherwise(u["host"]))
-        # A path of slashes only is the root, so that a normal form stays as it is.
-        tidy = F.when(bare.rlike("^/*$"), "/").otherwise(F.regexp_replace(bare, "/+$", ""))
+        tidy = F.when(bare == "", "/").otherwise(bare)
         return F.concat(
             F.when(low != "", F.concat(low, F.lit(":"))).otherwise(F.lit("")),
             F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(F.lit("")),
             tidy, F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(F.lit("")))
 
     def parts(u: Column) -> Column:
-        # Parameters of the last path segment (";...") are dropped.
+        # Trailing slashes and segment parameters (";...") go together, so that a normal
+        # form stays as it is.
         return F.struct(
             scheme(u).alias("scheme"), host(u).alias("host"),
-            F.regexp_replace(path(u), ";[^/]*$", "").alias("path"), _normal_query(query(u)).alias("query"))
+            F.regexp_replace(path(u), "(?:/|;[^/;]*)+$", "").alias("path"), _normal_query(query(u)).alias("query"))
 
     absolute = url if base is None else resolve(url, base)
     return let(let(absolute, parts), build)

@@ -33,8 +33,8 @@ def sql_normalize(url: str) -> str:
     low = f"lower({_sql_part(url, 1)})"
     authority = (f"CASE {low} WHEN 'http' THEN regexp_replace({sql_host(url)}, ':80$', '') "
                  f"WHEN 'https' THEN regexp_replace({sql_host(url)}, ':443$', '') ELSE {sql_host(url)} END")
-    bare = f"regexp_replace({sql_path(url)}, ';[^/]*$', '')"
-    path = f"CASE WHEN regexp_full_match({bare}, '/*') THEN '/' ELSE regexp_replace({bare}, '/+$', '') END"
+    bare = f"regexp_replace({sql_path(url)}, '(?:/|;[^/;]*)+$', '')"
+    path = f"CASE WHEN {bare} = '' THEN '/' ELSE {bare} END"
     pairs = (f"array_to_string(list_sort(list_filter(string_split({_sql_part(url, 4)}, '&'), "
              f"lambda kv: split_part(kv, '=', 2) <> '' AND NOT list_contains({ev.sql_list(urls.TRACKING_PARAMETERS)}, "
              "lower(split_part(kv, '=', 1))))), '&')")
