@@ -352,12 +352,12 @@ def _(spark, sf):
 
 
 @query("content_category", f"""
-SELECT doc_id, url, {ev.sql_category('url', 'title')} AS category FROM (SELECT doc_id, substring(text, 1, 200) AS title,
+SELECT doc_id, url, {ev.sql_category('url', 'title')} AS category FROM (SELECT doc_id, text AS title,
   'https://' || source || '.example.com/' || CASE lang WHEN 'en' THEN 'blog/' WHEN 'fr' THEN 'Pricing/'
   WHEN 'de' THEN 'x/y/' ELSE '' END || doc_id AS url FROM documents)""")
 def _(spark, sf):
     located = _docs(spark, sf).selectExpr(
-        "doc_id", "substring(text, 1, 200) AS title",
+        "doc_id", "text AS title",
         "concat('https://', source, '.example.com/', CASE lang WHEN 'en' THEN 'blog/' WHEN 'fr' THEN 'Pricing/' "
         "WHEN 'de' THEN 'x/y/' ELSE '' END, doc_id) AS url")
     return located.select("doc_id", "url", tx.content_category(F.col("url"), F.col("title")).alias("category"))
