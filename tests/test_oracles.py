@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from marketlens.plans import catalog
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def con():
 
 def test_names_match():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLES)
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
