@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import exact_dedup, quality, sharding, toxicity
+from marketlens.llm import exact_dedup, packing, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
-        quality.op3_quality_outliers, sharding.op6_jump_shards, exact_dedup.op7_exact_dedup, toxicity.op8_toxicity)
+        packing.op1_pack_windows, quality.op3_quality_outliers, warc.op4_warc_bundles, sharding.op6_jump_shards,
+        exact_dedup.op7_exact_dedup, toxicity.op8_toxicity)
 }
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc_bundles": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
