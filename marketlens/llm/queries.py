@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import exact_dedup, ngram_join, packing, quality, sharding, toxicity, warc
+from marketlens.llm import chat, exact_dedup, ngram_join, packing, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
-        packing.op1_pack_windows, ngram_join.op2_ngram_join, quality.op3_quality_outliers, warc.op4_warc_bundles, sharding.op6_jump_shards,
+        packing.op1_pack_windows, ngram_join.op2_ngram_join, quality.op3_quality_outliers, warc.op4_warc_bundles, chat.op5_chat_trees, sharding.op6_jump_shards,
         exact_dedup.op7_exact_dedup, toxicity.op8_toxicity)
 }
-ORACLES: dict[str, str] = {"op4_warc_bundles": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc_bundles": warc.ORACLE, "op5_chat_trees": chat.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
