@@ -65,28 +65,28 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-class ChunkCache(dict):
+class ChunkCache:
     """Results by chunk, bounded to twice ``limit`` entries.
 
     When ``limit`` new entries have come in, the older half goes; a chunk used
-    since then is kept. ``lookup`` is filled by ``make`` for all unknown chunks of
-    a text at once.
+    since then is kept. ``make`` gives the results of all unknown chunks of a text
+    at once.
     """
 
     def __init__(self, make: Callable[[list[str]], Iterable], limit: int = 300_000) -> None:
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.known, self.older = make, limit, {}, {}
 
-    def fill(self, chunks: set[str]) -> None:
-        missing = chunks.difference(self)
+    def results(self, chunks: set[str]) -> dict:
+        """A dictionary that has all of ``chunks``, valid until the next call."""
+        missing = chunks.difference(self.known)
         if not missing:
-            return
-        if len(self) + len(missing) > self.limit:
-            self.older = dict(self)
-            self.clear()
+            return self.known
+        if len(self.known) + len(missing) > self.limit:
+            self.older, self.known = self.known, {}
             missing = chunks
-        again = [c for c in missing if c in self.older]
-        for c in again:
-            self[c] = self.older[c]
+        again = {c: self.older[c] for c in missing if c in self.older}
+        self.known.update(again)
         new = sorted(missing.difference(again))
         if new:
-            self.update(zip(new, self.make(new)))
+            self.known.update(zip(new, self.make(new)))
+        return self.known

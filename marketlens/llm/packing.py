@@ -65,8 +65,8 @@ class WordEncoder:
         # The four separators that split() takes for white space are text to the tokenizer.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         chunks = [c for c in SEPARATORS.split(text) if c] if odd else text.split()
-        self.cache.fill(set(chunks))
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), "<u4")
+        known = self.cache.results(set(chunks))
+        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
 
 
 def sentence_ends(tokenizer) -> np.ndarray:

@@ -37,8 +37,8 @@ def chunk_terms(chunk: str) -> list[int]:
 def text_terms(cache: ChunkCache, text: str | None) -> np.ndarray:
     """Distinct terms of a whole text, sorted."""
     chunks = set((text or "").split())
-    cache.fill(chunks)
-    return np.unique(np.array([t for c in chunks for t in cache[c]], np.int32))
+    known = cache.results(chunks)
+    return np.unique(np.array([t for c in chunks for t in known[c]], np.int32))
 
 
 class FactorizationMachine:
@@ -146,8 +146,8 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
             values = []
             for text in batch.column(text_col):
                 chunks = set((text.as_py() or "").split())
-                cache.fill(chunks)
-                at = {s for c in chunks for s in cache[c]}
+                known = cache.results(chunks)
+                at = {s for c in chunks for s in known[c]}
                 values.append(model._probability(np.array(sorted(at), np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
                                              [*batch.schema.names, out])
