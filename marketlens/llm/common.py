@@ -86,7 +86,7 @@ class ChunkCache:
             missing = chunks
         again = {c: self.older[c] for c in missing if c in self.older}
         self.known.update(again)
-        new = sorted(missing.difference(again))
+        new = list(missing.difference(again))
         if new:
             self.known.update(zip(new, self.make(new)))
         return self.known

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: A run of markers with what follows it, up to the next run.
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Threads of the library in each Python worker; Spark runs a worker per core.
+THREADS = 2
 _LOADED: dict = {}
 
 
@@ -119,8 +122,11 @@ def merges(model: PieceModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def rebuild(model: PieceModel):
-    """A tokenizers Tokenizer that encodes and decodes like ``model``."""
+def rebuild(model: PieceModel, normalised: bool = False):
+    """A tokenizers Tokenizer that encodes and decodes like ``model``.
+
+    ``normalised`` leaves out normaliser and split, for chunks that have been through both.
+    """
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     unknown = model.unknown()
@@ -132,6 +138,9 @@ def rebuild(model: PieceModel):
     else:
         raise ValueError("only unigram and BPE models can be rebuilt")
     tokenizer = Tokenizer(core)
+    tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER])
+    if normalised:
+        return tokenizer
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.single_spaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -142,7 +151,6 @@ def rebuild(model: PieceModel):
     tokenizer.normalizer = normalizers.Sequence(steps)
     if model.chunked():
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(CHUNK.pattern), "isolated")
-    tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER])
     ends = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
     return tokenizer
@@ -153,47 +161,81 @@ class PieceCodec:
 
     def __init__(self, content: bytes, limit: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
 
         self.model = PieceModel.parse(content)
         self.tokenizer = rebuild(self.model)
+        #: Only spaces change in this model's normal form.
+        self.plain = not self.model.charsmap and not self.model.single_spaces
         self.chunked = self.model.chunked() and self.model.dummy_prefix and self.model.mark_spaces
-        self.bare = rebuild(self.model)
-        from tokenizers import normalizers
-
-        self.bare.normalizer = normalizers.Sequence([])
+        self.bare = rebuild(self.model, True)
+        lead = 1 if self.model.dummy_prefix else 0
+        self.lead = MARK.encode() * lead
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in self.model.pieces]
         self.original = sentencepiece.SentencePieceProcessor()
         self.original.LoadFromSerializedProto(content)
         self.cache = ChunkCache(self._encode_chunks, limit)
 
-    def _encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids of normalised chunks, and whether the original library gives the same."""
-        ours = [np.array(e.ids, "<u4").tobytes() for e in self.bare.encode_batch_fast(chunks, add_special_tokens=False)]
-        # The original puts a marker in front by itself.
-        theirs = self.original.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
-        return [(a, a == np.array(b, "<u4").tobytes()) for a, b in zip(ours, theirs)]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Ids of each text and whether they agree with the original library's."""
+    def _encode_chunks(self, tails: list[str]) -> Iterator[tuple[bytes, bool]]:
+        """Ids of normalised chunks, given without their first marker, and whether the original library agrees."""
+        ours = [e.ids for e in self.bare.encode_batch_fast([MARK + t for t in tails], add_special_tokens=False)]
+        # The original puts a marker in front by itself, but not before an empty text.
+        theirs = self.original.encode([t.replace(MARK, " ") for t in tails], num_threads=1)
+        lone = [self.original.piece_to_id(MARK)]
+        return ((array("I", a).tobytes(), a == (b if t else lone)) for t, a, b in zip(tails, ours, theirs))
+
+    def _tails(self, text: str) -> list[str] | None:
+        """The chunks of a text without their first markers; None where a chunk has none."""
+        if self.plain and "  " not in text and MARK not in text and text[:1] != " ":
+            return text.split(" ") if text else []
+        chunks = CHUNK.findall(self.tokenizer.normalizer.normalize_str(text))
+        return None if chunks and chunks[0][0] != MARK else [c[1:] for c in chunks]
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of each text, packed, and whether they agree with the original library's."""
         if not self.chunked:
             theirs = self.original.encode(texts, num_threads=1)
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return [(np.array(a, "<u4"), a == b) for a, b in zip(ours, theirs)]
+            return [(array("I", a).tobytes(), a == b) for a, b in zip(ours, theirs)]
         out = []
-        for text in texts:
-            chunks = CHUNK.findall(self.tokenizer.normalizer.normalize_str(text))
-            if any(c[0] != MARK for c in chunks):
-                # A text's own markers have no place in chunks: encoded whole.
-                ours = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append((np.array(ours, "<u4"), ours == self.original.encode(text)))
-                continue
-            known = self.cache.results(set(chunks))
-            found = [known[c] for c in chunks]
-            out.append((np.frombuffer(b"".join([ids for ids, _ in found]), "<u4"), all(same for _, same in found)))
+        for group in self._groups(texts):
+            cut = [self._tails(t) for t in group]
+            # One call for the unknown chunks of many texts, which the library's threads share.
+            known = self.cache.results({t for tails in cut for t in tails or ()})
+            for text, tails in zip(group, cut):
+                if tails is None:
+                    # No marker in front: not cut as the original would see it, so encoded whole.
+                    ours = self.tokenizer.encode(text, add_special_tokens=False).ids
+                    out.append((array("I", ours).tobytes(), ours == self.original.encode(text)))
+                    continue
+                found = [known[t] for t in tails]
+                out.append((b"".join([ids for ids, _ in found]), all(same for _, same in found)))
         return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+    @staticmethod
+    def _groups(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+        """The texts in runs of about so many characters, so that a run's chunks stay few."""
+        run, held = [], 0
+        for text in texts:
+            run.append(text)
+            held += len(text)
+            if held >= chars:
+                yield run
+                run, held = [], 0
+        if run:
+            yield run
+
+    def decode(self, packed: list[bytes]) -> list[str]:
+        """Texts of the ids; where their bytes are no whole characters, as the library's decoder has it."""
+        out = []
+        for one in (np.frombuffer(p, "<u4").tolist() for p in packed):
+            data = b"".join(map(self.bytes.__getitem__, one))
+            try:
+                out.append(data.removeprefix(self.lead).decode().replace(MARK, " "))
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(one, skip_special_tokens=False))
+        return out
 
 
 def codec(path: str, content) -> PieceCodec:
@@ -223,8 +265,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
             texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
             found = own.encode(texts)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([i.tobytes() for i, _ in found], pa.binary()),
-                 pa.array([len(i) for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.bool_())],
+                [*batch.columns, pa.array([i for i, _ in found], pa.binary()),
+                 pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.bool_())],
                 [*batch.schema.names, "ids", "n_ids", "parity"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
@@ -237,7 +279,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path, content)
         for batch in batches:
-            ids = [np.frombuffer(i or b"", "<u4") for i in batch.column(batch.schema.names.index(ids_col)).to_pylist()]
+            ids = [i or b"" for i in batch.column(batch.schema.names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.decode(ids), pa.string())],
                                              [*batch.schema.names, out])
 

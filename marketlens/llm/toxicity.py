@@ -155,10 +155,10 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
     return docs.mapInArrow(run, schema)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` scored below ``threshold``, with their own columns only."""
     name, = fresh(docs, "_score")
-    return score(docs, fit(docs, labels), out=name).filter(F.col(name) < threshold).select(*docs.columns)
+    return score(docs, model, out=name).filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
