@@ -345,6 +345,22 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most} rounds")
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose 64-bit hash ``key`` is not in ``wanted``.
+
+    A bitmap of 2^26 bits, at most 2048 rows of 4 KB whatever the corpus, is
+    broadcast. It lets through all rows that are wanted and some others; a corpus
+    that fills it only loses the saving.
+    """
+    spot = F.pmod(F.col(key), F.lit(1 << 26))
+    bitmap = wanted.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    at = F.bitmap_bit_position(spot + 1)
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    joined = rows.withColumn("_at", at).join(F.broadcast(bitmap), F.bitmap_bucket_number(spot + 1) == F.col("part"))
+    return joined.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links and classes of all rows: doc_id, row_high, row_low, node, class_node, class_id, n_links.
 
@@ -370,17 +386,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "node", "at.band", F.xxhash64("at.key", "at.band").alias("bucket"))
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     meeting = saved(bands.select("node", "bucket").join(sizes, "bucket"), "buckets")
-    with_signs = meeting.join(nodes.select("node", "signature"), "node")
+    with_signs = meeting.join(nodes.select("node", "signature").hint("merge"), "node")
     remaining = _block_tasks(with_signs, ["bucket"], ["signature"], "size", BUCKET_BLOCK, _prune_task, "src long, dst long")
     families = saved(components(remaining), "families")
 
     family_size = families.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = saved(families.join(family_size, "root").join(
         nodes.select("node", "copies", "row_high", "row_low"), "node"), "members")
-    texts = base.select("text", high, low).join(members.select("row_high", "row_low"), ["row_high", "row_low"], "left_semi")
+    # Texts are dealt out only where the bitmap has their row; all sides here grow with the corpus.
+    few = maybe_in(base.select("text", high, low), members, "row_high")
+    texts = few.join(members.select("row_high", "row_low").hint("merge"), ["row_high", "row_low"], "left_semi")
     # A repeated row gives the same set again: once per node.
     sets = saved(shingle_sets(texts.select(word_hashes(F.col("text")).alias("words"))), "sets").dropDuplicates(["node"])
-    full = members.join(sets, "node")
+    full = members.join(sets.hint("merge"), "node")
     verified = saved(_block_tasks(full, ["root"], ["copies", "shingles"], "size", FAMILY_BLOCK, _verify_task,
                                   "src long, dst long, links long"), "verified")
     linked = verified.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
