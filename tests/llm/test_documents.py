@@ -135,7 +135,7 @@ def test_factorization_learns_pairs():
     labels = np.array(labels)
     model = toxicity.FactorizationMachine().fit(rows, labels)
     slots = model.slots()
-    p = {k: model._probability(np.array([slots[t] for t in k])) for k in ((), (11,), (22,), (11, 22))}
+    p = {k: model._probability(np.array([slots[t] for t in k], int)) for k in ((), (11,), (22,), (11, 22))}
     assert p[(11, 22)] > 0.9 and max(p[()], p[(11,)], p[(22,)]) < 0.1
     same = toxicity.FactorizationMachine().fit(rows, labels)
     assert (same.weights == model.weights).all() and (same.vectors == model.vectors).all()
