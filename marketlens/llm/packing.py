@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -36,32 +37,34 @@ SEPARATORS = re.compile("[^\x1c-\x1f\\S]+")
 _LOADED: dict = {}
 
 
-def load_tokenizer(name: str, text: Broadcast):
-    """The tokenizer of this worker, parsed once from the broadcast file."""
+def load_encoder(name: str, text: Broadcast) -> tuple[WordEncoder, np.ndarray]:
+    """Encoder and sentence-end flags of this worker, made once from the broadcast file and kept from task to task."""
     if name not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[name] = Tokenizer.from_str(text.value)
-        _LOADED[name].encode_special_tokens = True
+        tokenizer = Tokenizer.from_str(text.value)
+        tokenizer.encode_special_tokens = True
+        _LOADED[name] = WordEncoder(tokenizer), sentence_ends(tokenizer)
     return _LOADED[name]
 
 
 class WordEncoder:
-    """Token ids by white-space chunk, for tokenizers that drop white space.
+    """Token ids by white-space chunk, for tokenizers that drop white space and case.
 
     Such a tokenizer never joins characters across white space, so a text's ids are
     those of its chunks one after another, and most chunks have been seen before.
     """
 
-    def __init__(self, tokenizer, limit: int = 300_000) -> None:
-        def make(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes()
-                    for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def __init__(self, tokenizer, limit: int = 500_000) -> None:
+        def make(chunks: list[str]) -> Iterator[bytes]:
+            return (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
 
         self.cache = ChunkCache(make, limit)
 
     def __call__(self, text: str) -> np.ndarray:
+        if text.isascii():
+            text = text.lower()
         # The four separators that split() takes for white space are text to the tokenizer.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         chunks = [c for c in SEPARATORS.split(text) if c] if odd else text.split()
@@ -186,9 +189,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         shared = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(tokenizer_path, shared)
-        encode = WordEncoder(tokenizer)
-        packer = Packer(sentence_ends(tokenizer), window, horizon, TaskContext.get().partitionId() << 40)
+        encode, ends = load_encoder(tokenizer_path, shared)
+        packer = Packer(ends, window, horizon, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], "<u4")
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
