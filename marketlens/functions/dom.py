@@ -1,8 +1,9 @@
 """Columns over a flattened page: ``nodes`` and ``texts`` arrays in document order.
 
-A node covers every position from its ``id`` to ``last``; a text or node belongs
-to it when its own position falls in that range. ``zones`` lists the enclosing
-structural tags (nav, footer, script and so on).
+A node covers every position from its ``id`` to ``last``. What it holds stands
+together in both arrays: texts ``text_from`` to ``text_to`` and nodes up to
+``node_to`` (both ends outside), so what is under a node is a slice. ``zones``
+lists the enclosing structural tags (nav, footer, script and so on).
 """
 
 from __future__ import annotations
@@ -49,19 +50,31 @@ def joined(texts: Column, separator: str) -> Column:
     return F.array_join(F.filter(F.transform(texts, lambda t: strip(t["text"])), lambda s: s != ""), separator)
 
 
+def texts_under(texts: Column, node: Column) -> Column:
+    """The texts of a node, none of a missing node; the cost is that of what is found."""
+    return F.slice(texts, F.coalesce(node["text_from"], F.lit(0)) + 1,
+                   F.coalesce(node["text_to"] - node["text_from"], F.lit(0)))
+
+
 def text_of(texts: Column, node: Column, separator: str = "") -> Column:
     """Stripped text under a node; script and style bodies are not text."""
-    return joined(F.filter(texts, lambda t: covers(node, t["pos"]) & ~in_zone(t, *RAW_TEXT)), separator)
+    return joined(F.filter(texts_under(texts, node), lambda t: ~in_zone(t, *RAW_TEXT)), separator)
 
 
 def raw_text_of(texts: Column, node: Column) -> Column:
     """Unstripped strings under a node, script bodies included when asked for on the script itself."""
-    return F.array_join(F.transform(F.filter(texts, lambda t: covers(node, t["pos"])), lambda t: t["text"]), "")
+    return F.array_join(F.transform(texts_under(texts, node), lambda t: t["text"]), "")
+
+
+def below(nodes: Column, node: Column) -> Column:
+    """All nodes below ``node``, none for a missing node."""
+    return F.slice(nodes, F.coalesce(node["index"], F.lit(0)) + 2,
+                   F.coalesce(node["node_to"] - node["index"] - 1, F.lit(0)))
 
 
 def under(nodes: Column, node: Column, condition) -> Column:
     """Nodes below ``node`` that meet the condition, in document order."""
-    return F.filter(nodes, lambda n: covers(node, n["id"]) & condition(n))
+    return F.filter(below(nodes, node), condition)
 
 
 def first_under(nodes: Column, node: Column, *conditions) -> Column:

@@ -34,10 +34,12 @@ _BLOCKS = {"p", "div", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5",
 _P_LIMITS = {"div", "td", "th", "li", "section", "article", "main", "body", "button"}
 
 DOM_SCHEMA = (
-    "nodes array<struct<id:int,last:int,parent:int,tag:string,attrs:map<string,string>,zones:array<string>>>, "
+    "nodes array<struct<id:int,last:int,parent:int,index:int,node_to:int,text_from:int,text_to:int,tag:string,"
+    "attrs:map<string,string>,zones:array<string>>>, "
     "texts array<struct<pos:int,text:string,zones:array<string>>>")
 _NODES = pa.list_(pa.struct([
-    ("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
+    ("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("index", pa.int32()), ("node_to", pa.int32()),
+    ("text_from", pa.int32()), ("text_to", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("zones", pa.list_(pa.string()))]))
 _TEXTS = pa.list_(pa.struct([("pos", pa.int32()), ("text", pa.string()), ("zones", pa.list_(pa.string()))]))
 
@@ -57,7 +59,7 @@ class _Flattener(HTMLParser):
 
     def _close(self, depth: int) -> None:
         for index in self.open[depth:]:
-            self.nodes[index]["last"] = self.position
+            self.nodes[index].update(last=self.position, node_to=len(self.nodes), text_to=len(self.texts))
         del self.open[depth:]
 
     def _end_open(self, tags: set[str], limits: set[str]) -> None:
@@ -80,7 +82,9 @@ class _Flattener(HTMLParser):
         for name, value in attrs:
             values.setdefault(name, value or "")
         self.nodes.append({
-            "id": self.position, "last": self.position, "parent": self.open[-1] if self.open else -1, "tag": tag,
+            "id": self.position, "last": self.position, "parent": self.open[-1] if self.open else -1,
+            "index": len(self.nodes), "node_to": len(self.nodes) + 1, "text_from": len(self.texts),
+            "text_to": len(self.texts), "tag": tag,
             "attrs": list(values.items()), "zones": zones,
             "inner": zones + [tag] if tag in _ZONES and tag not in zones else zones})
         if tag not in _VOID:
@@ -106,14 +110,32 @@ class _Flattener(HTMLParser):
         return self.nodes, self.texts
 
 
+# Characters of markup whose nodes are held at once; a longer page is held alone.
+_MARKUP_AT_ONCE = 4_000_000
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` characters each, one row at least."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat = [_Flattener().flatten(html or "") for html in batch.column("html").to_pylist()]
-        kept = [batch.column(name) for name in batch.schema.names if name != "html"]
         names = [name for name in batch.schema.names if name != "html"]
-        yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array([n for n, _ in flat], _NODES), pa.array([t for _, t in flat], _TEXTS)],
-            names=[*names, "nodes", "texts"])
+        markup = batch.column("html").to_pylist()
+        for start, stop in _runs([len(html or "") for html in markup], _MARKUP_AT_ONCE):
+            flat = [_Flattener().flatten(html or "") for html in markup[start:stop]]
+            kept = [batch.column(name).slice(start, stop - start) for name in names]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array([n for n, _ in flat], _NODES), pa.array([t for _, t in flat], _TEXTS)],
+                names=[*names, "nodes", "texts"])
 
 
 def flatten_pages(pages: DataFrame, html: str = "html", partitions: int | None = None) -> DataFrame:
@@ -177,10 +199,13 @@ def _headings(nodes: Column, texts: Column) -> Column:
         n["tag"].alias("tag"), dom.text_of(texts, n).alias("text")))
 
 
-def _anchors(nodes: Column, texts: Column) -> Column:
-    linked = F.filter(nodes, lambda n: (n["tag"] == "a") & dom.attr(n, "href").isNotNull())
-    return F.transform(linked, lambda n: F.struct(
-        dom.attr(n, "href").alias("href"), dom.text_of(texts, n).alias("text"),
+def _linked(nodes: Column) -> Column:
+    return F.filter(nodes, lambda n: (n["tag"] == "a") & dom.attr(n, "href").isNotNull())
+
+
+def _anchors(nodes: Column) -> Column:
+    return F.transform(_linked(nodes), lambda n: F.struct(
+        dom.attr(n, "href").alias("href"),
         dom.has_token(dom.attr(n, "rel"), "nofollow").alias("nofollow"),
         dom.in_zone(n, *_REMOVED_FOR_SEO).alias("in_chrome")))
 
@@ -192,14 +217,14 @@ def _images(nodes: Column) -> Column:
         dom.in_zone(n, *_REMOVED_FOR_SEO).alias("in_chrome")))
 
 
-def _scripts(nodes: Column, texts: Column) -> Column:
+def _scripts(nodes: Column) -> Column:
     def given(n: Column, name: str) -> Column:
         # An attribute without a value does not count, as in the results to match.
         return F.coalesce(dom.attr(n, name) != "", F.lit(False))
 
     return F.transform(dom.tagged(nodes, "script"), lambda n: F.struct(
         given(n, "src").alias("external"), (given(n, "async") | given(n, "defer")).alias("deferred"),
-        F.coalesce(dom.attr(n, "type"), F.lit("")).alias("type"), dom.raw_text_of(texts, n).alias("body")))
+        F.coalesce(dom.attr(n, "type"), F.lit("")).alias("type")))
 
 
 def _microdata(nodes: Column, texts: Column) -> Column:
@@ -216,8 +241,10 @@ def _microdata(nodes: Column, texts: Column) -> Column:
 def extract_page_facts(pages: DataFrame, html: str = "html", partitions: int | None = None) -> DataFrame:
     """One row per page with every fact the scoring operators read.
 
-    Unused facts are pruned by Catalyst. Save the result when several operators
-    follow, so that markup is parsed once.
+    Unused facts are pruned by Catalyst; texts of links and bodies of scripts stand in
+    columns of their own (``anchor_texts``, ``script_bodies``, in the order of
+    ``anchors`` and ``scripts``), so they are only built when read. Save the result
+    when several operators follow, so that markup is parsed once.
     """
     sized = pages.withColumn("page_bytes", F.octet_length(html))
     flat = flatten_pages(sized, html, partitions)
@@ -228,9 +255,11 @@ def extract_page_facts(pages: DataFrame, html: str = "html", partitions: int | N
         F.coalesce(let(title, lambda n: F.when(n.isNotNull(), dom.raw_text_of(texts, n))), F.lit("")).alias("title"),
         _meta(nodes).alias("meta"),
         _headings(nodes, texts).alias("headings"),
-        _anchors(nodes, texts).alias("anchors"),
+        _anchors(nodes).alias("anchors"),
+        F.transform(_linked(nodes), lambda n: dom.text_of(texts, n)).alias("anchor_texts"),
         _images(nodes).alias("images"),
-        _scripts(nodes, texts).alias("scripts"),
+        _scripts(nodes).alias("scripts"),
+        F.transform(dom.tagged(nodes, "script"), lambda n: dom.raw_text_of(texts, n)).alias("script_bodies"),
         F.transform(dom.tagged(nodes, "link"), lambda n: F.coalesce(dom.attr(n, "rel"), F.lit(""))).alias("link_rels"),
         F.size(dom.tagged(nodes, "style")).alias("inline_styles"),
         _microdata(nodes, texts).alias("microdata"),
@@ -306,8 +335,8 @@ def has_rel(rels: Column, token: str) -> Column:
     return F.exists(rels, lambda r: dom.has_token(r, token))
 
 
-def json_ld(scripts: Column) -> Column:
-    return F.transform(F.filter(scripts, lambda s: s["type"] == "application/ld+json"), lambda s: s["body"])
+def json_ld(scripts: Column, bodies: Column) -> Column:
+    return F.filter(bodies, lambda b, i: F.get(scripts, i)["type"] == "application/ld+json")
 
 
 def technical_flags(facts: DataFrame, site_files: DataFrame) -> DataFrame:
@@ -332,7 +361,9 @@ def extract_links(facts: DataFrame, key: str = "page_id", same_domain_only: bool
 
     All inside the page's own row: no shuffle.
     """
-    usable = F.filter("anchors", lambda a: (dom.strip(a["href"]) != "") & ~dom.strip(a["href"]).rlike(
+    named = F.transform("anchors", lambda a, i: F.struct(
+        a["href"].alias("href"), a["nofollow"].alias("nofollow"), F.get("anchor_texts", i).alias("text")))
+    usable = F.filter(named, lambda a: (dom.strip(a["href"]) != "") & ~dom.strip(a["href"]).rlike(
         r"^(?:javascript:|mailto:|tel:|#)"))
     normal = F.transform(usable, lambda a, i: F.struct(
         urls.normalize_url(dom.strip(a["href"]), F.col("url")).alias("link"), i.alias("pos"),
@@ -347,11 +378,15 @@ def extract_links(facts: DataFrame, key: str = "page_id", same_domain_only: bool
     return links.filter("is_internal") if same_domain_only else links
 
 
-def crawl_links(facts: DataFrame, key: str = "page_id", n: int = 100) -> DataFrame:
-    """The crawler's loose link list: absolute http links in page order, first ``n``."""
+def _first(array: Column, n: int | None) -> Column:
+    return array if n is None else F.slice(array, 1, n)
+
+
+def crawl_links(facts: DataFrame, key: str = "page_id", n: int | None = None) -> DataFrame:
+    """The crawler's loose link list: absolute http links in page order, all or the first ``n``."""
     absolute = F.transform("anchors", lambda a: F.when(
         a["href"].startswith("/"), urls.resolve(a["href"], F.col("url"))).otherwise(a["href"]))
-    kept = F.slice(F.filter(absolute, lambda u: u.startswith("http")), 1, n)
+    kept = _first(F.filter(absolute, lambda u: u.startswith("http")), n)
     return unnest(facts, [key], kept, "link", "pos")
 
 
@@ -376,7 +411,7 @@ def _ld_items(body: Column, pos: Column) -> Column:
 
 def schema_item_array(facts: DataFrame) -> Column:
     """Structured-data items of a page: JSON-LD in page order, then microdata."""
-    bodies = F.filter(json_ld(F.col("scripts")), lambda b: b != "")
+    bodies = F.filter(json_ld(F.col("scripts"), F.col("script_bodies")), lambda b: b != "")
     micro = F.transform("microdata", lambda m, i: F.struct(
         F.lit("microdata").alias("source"), i.alias("pos"), m["type"].alias("type"),
         F.array_distinct(F.transform(m["properties"], lambda p: p["name"])).alias("properties"),
@@ -431,7 +466,7 @@ def page_resources(facts: DataFrame) -> DataFrame:
     external = F.filter("scripts", lambda s: s["external"])
     return facts.withColumns({
         "external_scripts": F.size(external),
-        "inline_scripts": _count(F.col("scripts"), lambda s: F.length(s["body"]) > 100),
+        "inline_scripts": _count(F.col("script_bodies"), lambda b: F.length(b) > 100),
         "stylesheets": _count(F.col("link_rels"), lambda r: dom.has_token(r, "stylesheet")),
         "page_images": F.size("images"), "lazy_images": _count(F.col("images"), lambda i: i["lazy"]),
         "has_async_scripts": F.exists(external, lambda s: s["deferred"]),
@@ -439,9 +474,15 @@ def page_resources(facts: DataFrame) -> DataFrame:
         "has_preconnect": has_rel(F.col("link_rels"), "preconnect")})
 
 
-def ingest_page_snapshots(fetches: DataFrame, html: str = "html") -> DataFrame:
-    """Fetched pages as snapshot rows: title, text hash and size, stored markup, first 100 links."""
-    stored = fetches.withColumn("html_content", F.substring(html, 1, 100_000))
+def ingest_page_snapshots(fetches: DataFrame, html: str = "html", markup_chars: int | None = None,
+                          links: int | None = None) -> DataFrame:
+    """Fetched pages as snapshot rows: title, text hash and size, stored markup, links.
+
+    ``markup_chars`` and ``links`` keep so much of each page's markup and so many of
+    its links; by default all.
+    """
+    markup = F.col(html) if markup_chars is None else F.substring(html, 1, markup_chars)
+    stored = fetches.withColumn("html_content", markup)
     facts = extract_page_facts(stored, html)
     absolute = F.transform("anchors", lambda a: F.when(
         a["href"].startswith("/"), urls.resolve(a["href"], F.col("url"))).otherwise(a["href"]))
@@ -449,7 +490,7 @@ def ingest_page_snapshots(fetches: DataFrame, html: str = "html") -> DataFrame:
         *[c for c in fetches.columns if c != html], F.nullif(F.substring("title", 1, 500), F.lit("")).alias("title"),
         F.lit("text/html").alias("content_type"), F.sha2("visible_text", 256).alias("content_hash"),
         tx.word_count(F.col("visible_text")).alias("word_count"), "html_content",
-        F.slice(F.filter(absolute, lambda u: u.startswith("http")), 1, 100).alias("links"))
+        _first(F.filter(absolute, lambda u: u.startswith("http")), links).alias("links"))
 
 
 # --- prices and products on pages ------------------------------------------------------------
@@ -488,17 +529,31 @@ def _ancestors(nodes: Column, node: Column, n: int) -> Column:
     return F.transform(walked["found"], lambda i: F.get(nodes, i))
 
 
-def _product_name(nodes: Column, texts: Column, node: Column) -> Column:
-    """Nearest heading, else product-like class, within five enclosing elements."""
+_RANGE = ("id", "last", "index", "node_to", "text_from", "text_to")
+
+
+def _ranged(n: Column) -> list[Column]:
+    """The fields of a node that say what it covers."""
+    return [n[f].alias(f) for f in _RANGE]
+
+
+def _product_name(nodes: Column, texts: Column, headings: Column, titled: Column, node: Column) -> Column:
+    """Nearest heading, else product-like class, within five enclosing elements.
+
+    ``headings`` and ``titled`` are the page's few candidates. Enclosing elements
+    are tried one after another, and the first with a name ends the search.
+    """
     def name_in(a: Column) -> Column:
-        heading = dom.first(dom.under(nodes, a, dom.tag_in("h1", "h2", "h3", "h4", "h5")))
-        titled = dom.first(dom.under(nodes, a, dom.class_like("title|name|product")))
-        return let(F.struct(heading.alias("h"), titled.alias("t")), lambda c: F.when(
-            c["h"].isNotNull(), F.substring(dom.text_of(texts, c["h"]), 1, 200)).otherwise(
-            let(dom.text_of(texts, c["t"]), lambda s: F.when(
-                c["t"].isNotNull() & (F.length(s) > 2) & (F.length(s) < 200), s))))
+        def within(candidates: Column) -> Column:
+            return dom.first(F.filter(candidates, lambda n: dom.covers(a, n["id"])))
+
+        return let(within(headings), lambda h: F.when(
+            h.isNotNull(), F.substring(dom.text_of(texts, h), 1, 200)).otherwise(
+            let(within(titled), lambda t: let(dom.text_of(texts, t), lambda s: F.when(
+                t.isNotNull() & (F.length(s) > 2) & (F.length(s) < 200), s)))))
 
-    return dom.first(F.filter(F.transform(_ancestors(nodes, node, 5), name_in), lambda s: s.isNotNull()))
+    return let(_ancestors(nodes, node, 5), lambda up: F.coalesce(*[
+        let(F.get(up, F.lit(k)), lambda a: F.when(a.isNotNull(), name_in(a))) for k in range(5)]))
 
 
 def price_mentions(pages: DataFrame, key: str = "page_id", mode: str = "first",
@@ -510,6 +565,10 @@ def price_mentions(pages: DataFrame, key: str = "page_id", mode: str = "first",
     """
     flat = flatten_pages(pages.select(key, "url", "html"), partitions=partitions)
     nodes, texts = F.col("nodes"), F.col("texts")
+    candidates = {
+        "_headings": F.filter(nodes, dom.tag_in("h1", "h2", "h3", "h4", "h5")),
+        "_titled": F.filter(nodes, dom.class_like("title|name|product"))}
+    flat = flat.withColumns({name: F.transform(found, lambda n: F.struct(*_ranged(n))) for name, found in candidates.items()})
     # Text is only built for marked nodes: filter first, then transform.
     marked = F.transform(F.filter(nodes, lambda n: _price_rule(n).isNotNull()), lambda n: F.struct(
         dom.text_of(texts, n).alias("text"), _price_rule(n).alias("rule"), n["id"].alias("id"),
@@ -523,11 +582,11 @@ def price_mentions(pages: DataFrame, key: str = "page_id", mode: str = "first",
     def context(c: Column) -> Column:
         parent = F.get(nodes, F.when(c["c"]["parent"] >= 0, c["c"]["parent"]))
         strike = dom.first_under(nodes, parent, dom.tag_in("s", "strike", "del"), dom.class_like("original|was|old"))
-        shown = F.array_join(F.transform(F.filter(texts, lambda t: dom.covers(parent, t["pos"])
-                                                  & ~dom.in_zone(t, *dom.RAW_TEXT)), lambda t: t["text"]), "")
+        shown = F.array_join(F.transform(F.filter(dom.texts_under(texts, parent), lambda t: ~dom.in_zone(
+            t, *dom.RAW_TEXT)), lambda t: t["text"]), "")
         return F.struct(
             c["c"]["id"].alias("element"), c["c"]["text"].alias("text"), c["prices"].alias("prices"),
-            _product_name(nodes, texts, c["c"]).alias("name"), shown.alias("around"),
+            _product_name(nodes, texts, F.col("_headings"), F.col("_titled"), c["c"]).alias("name"), shown.alias("around"),
             let(strike, lambda s: F.when(s.isNotNull(), dom.raw_text_of(texts, s))).alias("struck"))
 
     shown = unnest(flat, [key, "url"], F.transform(priced, context), "m").select(key, "url", "m.*")
@@ -568,11 +627,12 @@ def _features(nodes: Column, texts: Column, card: Column) -> Column:
         F.substring(dom.text_of(texts, F.get(cells, F.lit(0))), 1, 250).alias("name"),
         F.substring(dom.text_of(texts, F.get(cells, F.lit(1))), 1, 500).alias("value"),
         F.lit("specification").alias("category")))
-    return F.slice(F.concat(general, specs), 1, 50)
+    return F.concat(general, specs)
 
 
-def extract_products(pages: DataFrame, key: str = "page_id", partitions: int | None = None) -> DataFrame:
-    """Product cards of each page, the first one of every name, with up to 50 features each."""
+def extract_products(pages: DataFrame, key: str = "page_id", partitions: int | None = None,
+                     features: int | None = None) -> DataFrame:
+    """Product cards of each page, the first one of every name, with all their features or the first ``features``."""
     flat = flatten_pages(pages.select(key, "url", "html"), partitions=partitions)
     nodes, texts = F.col("nodes"), F.col("texts")
 
@@ -580,7 +640,7 @@ def extract_products(pages: DataFrame, key: str = "page_id", partitions: int | N
         name = dom.first_under(nodes, n, dom.tag_in("h1", "h2", "h3", "h4"), dom.class_like("name|title"))
         return F.struct(
             let(name, lambda e: F.when(e.isNotNull(), dom.text_of(texts, e))).alias("name"),
-            _card_rule(n).alias("rule"), n["id"].alias("id"), n["last"].alias("last"))
+            _card_rule(n).alias("rule"), *_ranged(n))
 
     cards = F.filter(F.transform(F.filter(nodes, lambda n: _card_rule(n).isNotNull()), named),
                      lambda c: F.length(c["name"]) >= 2)
@@ -595,8 +655,7 @@ def extract_products(pages: DataFrame, key: str = "page_id", partitions: int | N
         href = dom.attr(dom.first(dom.under(nodes, c, lambda n: (n["tag"] == "a") & dom.attr(n, "href").isNotNull())),
                         "href")
         image = dom.first(dom.under(nodes, c, dom.tag_in("img")))
-        gone = F.exists(texts, lambda t: dom.covers(c, t["pos"]) & t["text"].rlike(
-            "(?i)out of stock|unavailable|sold out"))
+        gone = F.exists(dom.texts_under(texts, c), lambda t: t["text"].rlike("(?i)out of stock|unavailable|sold out"))
         return F.struct(
             c["rule"].alias("rule"), c["id"].alias("element"), F.substring(c["name"], 1, 500).alias("name"),
             F.when(href.startswith("/"), urls.resolve(href, F.col("url"))).when(href.startswith("http"), href)
@@ -604,7 +663,7 @@ def extract_products(pages: DataFrame, key: str = "page_id", partitions: int | N
             F.substring(text_at(c, "desc|summary|excerpt"), 1, 1000).alias("description"),
             text_at(c, "category|cat|type").alias("category"),
             F.coalesce(F.nullif(dom.attr(image, "src"), F.lit("")), dom.attr(image, "data-src")).alias("image_url"),
-            (~gone).alias("is_available"), _features(nodes, texts, c).alias("features"))
+            (~gone).alias("is_available"), _first(_features(nodes, texts, c), features).alias("features"))
 
     return unnest(flat, [key], F.transform(distinct, details), "p").select(
         key, "p.element", "p.name", F.col("p.product_url").alias("url"), "p.description",
