@@ -103,7 +103,7 @@ def weighted_ranking(compared: DataFrame, you=None) -> DataFrame:
     scored = compared.select(
         "competitor_id", "competitor_name", F.bround(weighted / F.lit(weights), 1).alias("score"),
         ((F.col("competitor_id") == F.lit(you)) if you is not None else F.lit(False)).alias("is_you"))
-    return with_position(scored, "score", "competitor_id", "rank")
+    return with_position(scored, [F.col("score").desc(), F.col("competitor_id")], "rank")
 
 
 def competitive_insights(metrics: DataFrame, ranking: DataFrame, you=None, n: int = 10) -> DataFrame:
@@ -158,13 +158,12 @@ def radar_by_metric(compared: DataFrame, names: list[str]) -> DataFrame:
 
 
 def score_points(analyses: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Scores of the last ``days`` days in time order."""
+    """Scores of the last ``days`` days; sort by time within a competitor for its series."""
     recent = analyses.filter(F.col("analyzed_at") >= before(analyses, "analyzed_at", as_of, days=days))
     zero = F.lit(0)
     return recent.select(
         "competitor_id", "id", "analyzed_at", "overall_score", F.coalesce("technical_score", zero)
-        .alias("technical_score"), F.coalesce("content_score", zero).alias("content_score"),
-    ).orderBy("competitor_id", "analyzed_at", "id")
+        .alias("technical_score"), F.coalesce("content_score", zero).alias("content_score"))
 
 
 def score_trend(analyses: DataFrame, as_of: str, days: int = 30) -> DataFrame:

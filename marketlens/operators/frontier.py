@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import urls
-from marketlens.plans.skew import top_n_per_key
+from marketlens.plans.skew import with_position
 
 
 def registrable_domain(df: DataFrame, host_col: str, suffixes: DataFrame, out: str = "domain") -> DataFrame:
@@ -34,24 +34,26 @@ def registrable_domain(df: DataFrame, host_col: str, suffixes: DataFrame, out: s
     return df.join(known, host_col, "left")
 
 
-def plan_frontier(links: DataFrame, seen: DataFrame, max_depth: int = 5, max_urls: int = 1000,
+def plan_frontier(links: DataFrame, seen: DataFrame, max_depth: int | None = None, max_urls: int | None = None,
                   batch: int | None = None) -> DataFrame:
     """Urls to fetch next per scan, in crawl order.
 
     ``links``: scan_id, url, depth, priority, added. ``seen``: scan_id, url, one
-    row each. A scan never holds more than ``max_urls`` urls, seen ones included;
-    earlier additions win. Order is priority, then time of addition.
+    row each. With ``max_depth`` deeper links are left out; with ``max_urls`` a scan
+    never holds more urls, seen ones included, and earlier additions win. Order is
+    priority, then time of addition; positions are numbered by ranges, so a scan may
+    have any number of urls.
     """
-    shallow = links.filter(F.col("depth") <= max_depth)
+    shallow = links if max_depth is None else links.filter(F.col("depth") <= max_depth)
     fresh = shallow.groupBy("scan_id", "url").agg(
         F.min(F.struct("added", "priority", "depth")).alias("_first")).select("scan_id", "url", "_first.*")
-    fresh = fresh.join(seen.select("scan_id", "url"), ["scan_id", "url"], "left_anti")
-    used = seen.groupBy("scan_id").agg(F.count(F.lit(1)).alias("_used"))
-    admitted = top_n_per_key(fresh, ["scan_id"], [F.col("added"), F.col("url")], max_urls, rank="_order")
-    admitted = admitted.join(used, "scan_id", "left").filter(
-        F.col("_order") <= max_urls - F.coalesce("_used", F.lit(0)))
-    place = Window.partitionBy("scan_id").orderBy("priority", "added", "url")
-    planned = admitted.drop("_order", "_used").withColumn("position", F.row_number().over(place))
+    admitted = fresh.join(seen.select("scan_id", "url"), ["scan_id", "url"], "left_anti")
+    if max_urls is not None:
+        used = seen.groupBy("scan_id").agg(F.count(F.lit(1)).alias("_used"))
+        admitted = with_position(admitted, [F.col("added"), F.col("url")], "_order", ["scan_id"]).join(
+            used, "scan_id", "left").filter(
+            F.col("_order") <= max_urls - F.coalesce("_used", F.lit(0))).drop("_order", "_used")
+    planned = with_position(admitted, [F.col(c) for c in ("priority", "added", "url")], "position", ["scan_id"])
     return planned if batch is None else planned.filter(F.col("position") <= batch)
 
 
@@ -78,24 +80,29 @@ def frontier_stats(frontier: DataFrame) -> DataFrame:
 def robots_allowed(targets: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Whether each url may be fetched: any matching allow, else no matching disallow.
 
-    Rules become one row per host, holding the patterns of a single robots file,
-    so a url meets one row instead of every rule, however many urls a host has.
+    Rules become one row per host, holding the patterns of a single robots file
+    (``read_robots`` takes one capture per host), so a url meets one row instead of
+    every rule. Plain prefixes, nearly all rules, are compared as strings; only
+    patterns with ``*`` or a closing ``$`` are regular expressions.
     """
-    pattern = F.regexp_replace("pattern", r"([.\[\]{}()+?^|\\$])", r"\\$1")
-    pattern = F.replace(pattern, F.lit("*"), F.lit(".*"))
-    pattern = F.concat(F.lit("(?s)^"), F.regexp_replace(pattern, r"\\\$$", r"\$"))
-    per_host = rules.filter(F.col("kind").isin("allow", "disallow")).withColumn("_regex", pattern).groupBy(
-        "host").agg(
-        F.collect_set(F.when(F.col("kind") == "allow", F.col("_regex"))).alias("_allow"),
-        F.collect_set(F.when(F.col("kind") == "disallow", F.col("_regex"))).alias("_disallow"))
+    plain = ~F.col("pattern").contains("*") & ~F.endswith("pattern", F.lit("$"))
+    escaped = F.regexp_replace("pattern", r"([.\[\]{}()+?^|\\$])", r"\\$1")
+    regex = F.concat(F.lit("(?s)^"), F.regexp_replace(F.replace(escaped, F.lit("*"), F.lit(".*")), r"\\\$$", r"\$"))
+    kinds = {(kind, form): F.collect_set(F.when((F.col("kind") == kind) & wanted, value))
+             for kind in ("allow", "disallow")
+             for form, wanted, value in (("plain", plain, F.col("pattern")), ("regex", ~plain, regex))}
+    per_host = rules.filter(F.col("kind").isin("allow", "disallow")).groupBy("host").agg(
+        *[found.alias(f"_{kind}_{form}") for (kind, form), found in kinds.items()])
     checked = targets.withColumns({"host": urls.host(F.col(url)), "_path": urls.path(F.col(url))}).withColumn(
         "_path", F.when(F.col("_path") == "", "/").otherwise(F.col("_path")))
     joined = checked.join(per_host, "host", "left")
 
-    def hit(name: str):
-        return F.coalesce(F.exists(name, lambda p: F.rlike("_path", p)), F.lit(False))
+    def hit(kind: str):
+        return F.coalesce(F.exists(f"_{kind}_plain", lambda p: F.startswith("_path", p)), F.lit(False)) | F.coalesce(
+            F.exists(f"_{kind}_regex", lambda p: F.rlike("_path", p)), F.lit(False))
 
-    return joined.withColumn("allowed", hit("_allow") | ~hit("_disallow")).drop("_allow", "_disallow", "_path")
+    return joined.withColumn("allowed", hit("allow") | ~hit("disallow")).drop(
+        *[f"_{kind}_{form}" for kind, form in kinds], "_path")
 
 
 # Places where sites usually keep a sitemap.

@@ -46,25 +46,43 @@ def _score(having: Column, others: Column) -> Column:
     return F.coalesce((F.try_divide(having, others) * 100).cast("int"), F.lit(0))
 
 
+def _first(ordered: DataFrame, n: int | None) -> DataFrame:
+    return ordered if n is None else ordered.limit(n)
+
+
+def _owned(features: DataFrame, ids: list | None) -> DataFrame:
+    return _chosen(features, ids).select(
+        F.lower(F.trim("feature_name")).alias("feature"), "competitor_id", F.lit(1).alias("mentions"))
+
+
+def _missing_features(features: DataFrame, competitors: DataFrame, you, ids: list | None, min_score: int) -> DataFrame:
+    covered = _coverage(_owned(features, ids), "feature", you).filter(~F.col("yours"))
+    scored = covered.withColumn("competitors_total", _others(competitors, you, ids)).withColumn(
+        "opportunity_score", _score(F.col("competitors_with"), F.col("competitors_total")))
+    return scored.filter(F.col("opportunity_score") >= min_score)
+
+
 def feature_gaps(features: DataFrame, competitors: DataFrame, you=None, ids: list | None = None,
-                 min_score: int = 20, n: int = 50) -> DataFrame:
-    """Features most others have and you lack, best opportunities first.
+                 min_score: int = 20, n: int | None = None) -> DataFrame:
+    """Features most others have and you lack, best opportunities first, all or the first ``n``.
 
     ``features`` carries competitor_id. Names are compared trimmed and lower-cased.
     """
-    named = _chosen(features, ids).select(
-        F.lower(F.trim("feature_name")).alias("feature"), "competitor_id", F.lit(1).alias("mentions"))
-    covered = _coverage(named, "feature", you).filter(~F.col("yours"))
-    scored = covered.withColumns({
-        "competitors_total": _others(competitors, you, ids)}).withColumn(
-        "opportunity_score", _score(F.col("competitors_with"), F.col("competitors_total")))
-    best = scored.filter(F.col("opportunity_score") >= min_score).orderBy(
-        F.col("opportunity_score").desc(), F.col("mentions").desc(), "feature").limit(n)
+    best = _first(_missing_features(features, competitors, you, ids, min_score).orderBy(
+        F.col("opportunity_score").desc(), F.col("mentions").desc(), "feature"), n)
     return best.select(
         _title_case(F.col("feature")).alias("feature_name"), F.lit("Missing").alias("your_status"),
         "competitors_with", "competitors_total", "opportunity_score")
 
 
+def feature_gap_coverage(features: DataFrame, competitors: DataFrame, you=None, ids: list | None = None,
+                         min_score: int = 20) -> DataFrame:
+    """(feature_name, competitor_id): who has each missing feature."""
+    missing = _missing_features(features, competitors, you, ids, min_score).select("feature")
+    return _owned(features, ids).select("feature", "competitor_id").distinct().join(missing, "feature").select(
+        _title_case(F.col("feature")).alias("feature_name"), "competitor_id")
+
+
 def feature_matrix(features: DataFrame, products: DataFrame, competitors: DataFrame, names: list[str],
                    ids: list | None = None) -> DataFrame:
     """Feature values per competitor over products with exactly these names."""
@@ -108,47 +126,79 @@ def feature_presence(features: DataFrame, competitors: DataFrame, category: str
                    F.coalesce(F.nullif("feature_value", F.lit("")), F.lit("Present")))
 
 
-def _topics(contents: DataFrame, n: int = 5) -> DataFrame:
+def _topics(contents: DataFrame, n: int | None = 5) -> DataFrame:
     return read_keywords_json(contents.select("competitor_id", "keywords"), "keywords", "topic", n)
 
 
-def content_gaps(contents: DataFrame, competitors: DataFrame, you=None, ids: list | None = None, n: int = 30,
-                 top_topics: int = 100) -> DataFrame:
-    """Frequent topics two or more others cover and you do not.
+def _topic_users(contents: DataFrame, ids: list | None, per_page: int | None) -> DataFrame:
+    """(topic, competitor_id, mentions): topics as keywords, and title words where they are some page's topic.
 
-    Topics are the first five keywords of each page. Longer title words add to
-    coverage but not to the ranking of topics.
+    Folded per topic and competitor map-side, so a frequent topic is one row per
+    competitor, not one per page. Title words count as coverage, not as mentions.
     """
     own = _chosen(contents, ids)
-    mentions = _topics(own).select("competitor_id", F.lower("topic").alias("topic"))
-    frequent = mentions.groupBy("topic").agg(F.count(F.lit(1)).alias("mentions")).orderBy(
-        F.col("mentions").desc(), "topic").limit(top_topics)
-    titled = unnest(own, ["competitor_id"], F.filter(
-        tx.words(F.lower("title")), lambda w: F.length(w) > 4), "topic")
-    # The ranked list holds top_topics rows at most.
-    covering = mentions.unionByName(titled).join(F.broadcast(frequent), "topic").select(
-        "topic", "competitor_id", "mentions").distinct()
+    named = _topics(own, per_page).select(F.lower("topic").alias("topic"), "competitor_id", F.lit(1).alias("mentions"))
+    titled = unnest(own, ["competitor_id"], F.array_distinct(F.filter(
+        tx.words(F.lower("title")), lambda w: F.length(w) > 4)), "topic").select(
+        "topic", "competitor_id", F.lit(0).alias("mentions"))
+    return named.unionByName(titled).groupBy("topic", "competitor_id").agg(F.sum("mentions").alias("mentions"))
+
+
+def _missing_topics(users: DataFrame, competitors: DataFrame, you, ids: list | None) -> DataFrame:
     mine = (F.col("competitor_id") == F.lit(you)) if you is not None else F.lit(False)
-    covered = covering.groupBy("topic").agg(
-        F.max("mentions").alias("mentions"), F.count_if(~mine).alias("competitors_with"), F.max(mine).alias("yours"))
+    covered = users.groupBy("topic").agg(
+        F.sum("mentions").alias("mentions"), F.count_if(~mine).alias("competitors_with"), F.max(mine).alias("yours"))
     return (
-        covered.filter(~F.col("yours") & (F.col("competitors_with") >= 2))
+        covered.filter((F.col("mentions") > 0) & ~F.col("yours") & (F.col("competitors_with") >= 2))
         .withColumn("competitors_total", _others(competitors, you, ids))
         .withColumn("opportunity_score", _score(F.col("competitors_with"), F.col("competitors_total")))
-        .orderBy(F.col("opportunity_score").desc(), F.col("mentions").desc(), "topic").limit(n)
-        .select(_title_case(F.col("topic")).alias("topic"), F.lit(False).alias("your_coverage"),
-                "competitors_with", "competitors_total", "opportunity_score")
     )
 
 
-def topic_coverage(contents: DataFrame, competitors: DataFrame, ids: list | None = None) -> DataFrame:
-    """Topics covered by some competitors but not by all."""
-    pairs = _topics(_chosen(contents, ids)).select("topic", "competitor_id").distinct()
+def content_gaps(contents: DataFrame, competitors: DataFrame, you=None, ids: list | None = None,
+                 n: int | None = None, top_topics: int | None = None, per_page: int | None = 5) -> DataFrame:
+    """Topics two or more others cover and you do not, best opportunities first, all or the first ``n``.
+
+    Topics are the first ``per_page`` keywords of each page, or all. Longer title
+    words add to coverage but not to the ranking of topics. With ``top_topics`` only
+    that many missing topics, the most mentioned, are ranked.
+    """
+    missing = _missing_topics(_topic_users(contents, ids, per_page), competitors, you, ids)
+    if top_topics is not None:
+        missing = missing.orderBy(F.col("mentions").desc(), "topic").limit(top_topics)
+    return _first(missing.orderBy(F.col("opportunity_score").desc(), F.col("mentions").desc(), "topic"), n).select(
+        _title_case(F.col("topic")).alias("topic"), F.lit(False).alias("your_coverage"),
+        "competitors_with", "competitors_total", "opportunity_score")
+
+
+def content_gap_coverage(contents: DataFrame, competitors: DataFrame, you=None, ids: list | None = None,
+                         per_page: int | None = 5) -> DataFrame:
+    """(topic, competitor_id): who covers each missing topic."""
+    users = _topic_users(contents, ids, per_page)
+    missing = _missing_topics(users, competitors, you, ids).select("topic")
+    return users.join(missing, "topic").select(_title_case(F.col("topic")).alias("topic"), "competitor_id")
+
+
+def _partly_covered(pairs: DataFrame, competitors: DataFrame, ids: list | None) -> DataFrame:
     counted = pairs.groupBy("topic").agg(F.count(F.lit(1)).alias("competitors_with"))
     return counted.withColumn("competitors_total", _others(competitors, None, ids)).filter(
         F.col("competitors_with") < F.col("competitors_total"))
 
 
+def topic_coverage(contents: DataFrame, competitors: DataFrame, ids: list | None = None,
+                   per_page: int | None = 5) -> DataFrame:
+    """Topics covered by some competitors but not by all."""
+    pairs = _topics(_chosen(contents, ids), per_page).select("topic", "competitor_id").distinct()
+    return _partly_covered(pairs, competitors, ids)
+
+
+def topic_coverage_rows(contents: DataFrame, competitors: DataFrame, ids: list | None = None,
+                        per_page: int | None = 5) -> DataFrame:
+    """(topic, competitor_id): who covers each topic that not all cover."""
+    pairs = _topics(_chosen(contents, ids), per_page).select("topic", "competitor_id").distinct()
+    return pairs.join(_partly_covered(pairs, competitors, ids).select("topic"), "topic")
+
+
 def topic_matrix(contents: DataFrame, competitors: DataFrame, content_type: str | None = None,
                  n: int | None = 20) -> DataFrame:
     """(topic, competitor) pairs covered, for the first ``n`` topics by name or for all."""
@@ -162,16 +212,16 @@ def topic_matrix(contents: DataFrame, competitors: DataFrame, content_type: str
 
 
 def keyword_opportunities(analyses: DataFrame, competitors: DataFrame, ids: list | None = None,
-                          n: int | None = 30) -> DataFrame:
-    """Keywords few competitors use: ten keywords of each of the five newest analyses.
+                          n: int | None = None, newest_of_each: int = 5, per_analysis: int | None = 10) -> DataFrame:
+    """Keywords few competitors use, all or the first ``n``: ten keywords of each of the five newest analyses.
 
     100 less 15 per competitor, 10 at least.
     """
-    newest = seo_history(_chosen(analyses, ids), 5).join(
+    newest = seo_history(_chosen(analyses, ids), newest_of_each).join(
         competitors.select(F.col("id").alias("competitor_id")), "competitor_id", "left_semi")
     words = read_keywords_json(
         newest.filter(F.col("keyword_density").rlike(r"^\s*\{")).select("competitor_id", "keyword_density"),
-        "keyword_density", n=10)
+        "keyword_density", n=per_analysis)
     users = words.select(F.lower("keyword").alias("keyword"), "competitor_id").filter(
         F.length("keyword") > 3).distinct()
     scored = users.groupBy("keyword").agg(F.count(F.lit(1)).alias("competitors_ranking")).withColumn(

@@ -20,11 +20,10 @@ def _filtered(df: DataFrame, **equal) -> DataFrame:
 
 
 def _page(df: DataFrame, order: str, skip: int, limit: int | None) -> DataFrame:
-    """Newest first; ids break ties so that pages never overlap."""
-    if limit is None:
-        return df
+    """Newest first; ids break ties so that pages never overlap. Without a limit all rows after ``skip``."""
     ordered = df.orderBy(F.col(order).desc(), F.col("id").desc())
-    return (ordered.offset(skip) if skip else ordered).limit(limit)
+    ordered = ordered.offset(skip) if skip else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _names(competitors: DataFrame) -> DataFrame:

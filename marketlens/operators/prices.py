@@ -66,14 +66,11 @@ def latest_prices(history: DataFrame, keys: Sequence[str] = KEYS, ts: str = "cap
 
 
 def price_series(history: DataFrame, as_of: str, days: int = 30, product: str | None = None) -> DataFrame:
-    """Captures of the last ``days`` days in time order, for one product or for all."""
+    """Captures of the last ``days`` days, for one product or for all; sort by time within a product for its series."""
     recent = history.filter(F.col("captured_at") >= before(history, "captured_at", as_of, days=days))
     if product is not None:
         recent = recent.filter(F.col("product_name") == product)
-    return (
-        recent.select("competitor_id", "product_name", "captured_at", "price", "currency")
-        .orderBy("competitor_id", "product_name", "captured_at")
-    )
+    return recent.select("competitor_id", "product_name", "captured_at", "price", "currency")
 
 
 def compare_prices(history: DataFrame, competitors: DataFrame, text: str, ids: Sequence | None = None,

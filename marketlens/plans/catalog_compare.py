@@ -418,8 +418,7 @@ def _feature_gaps(spark, sf):
     return ga.feature_gaps(ev.product_features(spark, sf), _sellers(spark, sf), YOU)
 
 
-_FEATURE_TOP = """SELECT * FROM feature_gap WHERE opportunity_score >= 20
-  ORDER BY opportunity_score DESC, mentions DESC, feature LIMIT 50"""
+_FEATURE_TOP = "SELECT * FROM feature_gap WHERE opportunity_score >= 20"
 
 
 @query("feature_gaps", f"""
@@ -429,6 +428,13 @@ def _(spark, sf):
     return _feature_gaps(spark, sf)
 
 
+@query("feature_gap_coverage", f"""
+WITH {_SELLERS}, {_FEATURE_GAPS} SELECT DISTINCT {_TITLED} AS feature_name, competitor_id
+FROM fx JOIN ({_FEATURE_TOP}) USING (feature)""", "product_features")
+def _(spark, sf):
+    return ga.feature_gap_coverage(ev.product_features(spark, sf), _sellers(spark, sf), YOU)
+
+
 _NAMES = ["small ring 0", "red widget 1", "blue bolt 2"]
 
 
@@ -475,7 +481,7 @@ def _sites(spark, sf):
 _TOPICS = """topics AS (SELECT competitor_id, keyword AS topic, content_type FROM content_keywords k
   JOIN contents b ON b.id = k.id WHERE keyword_pos < 5)"""
 _CONTENT_GAPS = f"""
-frequent AS (SELECT topic, count(*) AS mentions FROM topics GROUP BY topic ORDER BY mentions DESC, topic LIMIT 100),
+frequent AS (SELECT topic, count(*) AS mentions FROM topics GROUP BY topic),
 covering AS (SELECT DISTINCT topic, competitor_id FROM (SELECT topic, competitor_id FROM topics UNION ALL
   SELECT w, competitor_id FROM (SELECT competitor_id, unnest({ev.sql_words('lower(title)')}) AS w FROM content_base)
   WHERE length(w) > 4) JOIN frequent USING (topic)),
@@ -484,7 +490,7 @@ covered AS (SELECT topic, count(*) FILTER (competitor_id <> {YOU}) AS competitor
 content_gap AS (SELECT topic, mentions, competitors_with, (SELECT count(*) FROM sites WHERE id <> {YOU}) AS competitors_total
   FROM covered JOIN frequent USING (topic) WHERE NOT yours AND competitors_with >= 2),
 content_top AS (SELECT *, CAST(trunc(competitors_with::DOUBLE / competitors_total * 100) AS INTEGER) AS opportunity_score
-  FROM content_gap ORDER BY opportunity_score DESC, mentions DESC, topic LIMIT 30)"""
+  FROM content_gap)"""
 
 
 def _content_gaps(spark, sf):
@@ -498,6 +504,13 @@ def _(spark, sf):
     return _content_gaps(spark, sf)
 
 
+@query("content_gap_coverage", f"""
+WITH {_SITES}, {_TOPICS}, {_CONTENT_GAPS} SELECT upper(topic[1]) || topic[2:] AS topic, competitor_id
+FROM covering JOIN content_top USING (topic)""", "content_keywords contents")
+def _(spark, sf):
+    return ga.content_gap_coverage(ev.contents(spark, sf), _sites(spark, sf), YOU)
+
+
 @query("topic_coverage", f"""
 WITH {_SITES}, {_TOPICS} SELECT topic, count(DISTINCT competitor_id) AS competitors_with,
   (SELECT count(*) FROM sites) AS competitors_total FROM topics GROUP BY topic
@@ -506,6 +519,14 @@ def _(spark, sf):
     return ga.topic_coverage(ev.contents(spark, sf), _sites(spark, sf))
 
 
+@query("topic_coverage_rows", f"""
+WITH {_SITES}, {_TOPICS} SELECT DISTINCT topic, competitor_id FROM topics WHERE topic IN (
+  SELECT topic FROM topics GROUP BY topic HAVING count(DISTINCT competitor_id) < (SELECT count(*) FROM sites))""",
+       "content_keywords contents")
+def _(spark, sf):
+    return ga.topic_coverage_rows(ev.contents(spark, sf), _sites(spark, sf))
+
+
 @query("topic_matrix", f"""
 WITH {_SITES}, {_TOPICS}, k AS (SELECT DISTINCT topic, competitor_id FROM topics WHERE content_type = 'other')
 SELECT topic, s.name AS competitor_name FROM k JOIN sites s ON s.id = competitor_id
@@ -520,7 +541,7 @@ used AS (SELECT DISTINCT lower(unnest([keyword_1, keyword_2, keyword_3])) AS key
   WHERE has_keywords AND competitor_id IN (SELECT id FROM competitors)),
 keyword_gap AS (SELECT keyword, count(*) AS competitors_ranking, CAST(greatest(100 - count(*) * 15, 10) AS INTEGER)
   AS opportunity_score FROM used WHERE length(keyword) > 3 GROUP BY keyword),
-keyword_top AS (SELECT * FROM keyword_gap ORDER BY opportunity_score DESC, keyword LIMIT 30)"""
+keyword_top AS (SELECT * FROM keyword_gap)"""
 
 
 def _keyword_gaps(spark, sf):

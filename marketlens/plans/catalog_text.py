@@ -142,16 +142,13 @@ def _links(spark, sf):
 @query("plan_frontier", f"""
 WITH {_LINKS_SQL},
 firsts AS (SELECT scan_id, url, added, priority, depth FROM (SELECT *, row_number() OVER (
-  PARTITION BY scan_id, url ORDER BY added, priority, depth) AS rn FROM links WHERE depth <= 5) WHERE rn = 1),
-fresh AS (SELECT f.* FROM firsts f ANTI JOIN seen s ON s.scan_id = f.scan_id AND s.url = f.url),
-used AS (SELECT scan_id, count(*) AS n FROM seen GROUP BY scan_id),
-admitted AS (SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY added, url) AS ord FROM fresh) o
-  LEFT JOIN used u ON u.scan_id = o.scan_id WHERE ord <= 300 - coalesce(n, 0))
+  PARTITION BY scan_id, url ORDER BY added, priority, depth) AS rn FROM links) WHERE rn = 1),
+fresh AS (SELECT f.* FROM firsts f ANTI JOIN seen s ON s.scan_id = f.scan_id AND s.url = f.url)
 SELECT scan_id, url, added, priority, depth,
-  CAST(row_number() OVER (PARTITION BY scan_id ORDER BY priority, added, url) AS INTEGER) AS position FROM admitted""")
+  row_number() OVER (PARTITION BY scan_id ORDER BY priority, added, url) AS position FROM fresh""")
 def _(spark, sf):
     links, seen = _links(spark, sf)
-    return fr.plan_frontier(links, seen, max_urls=300)
+    return fr.plan_frontier(links, seen)
 
 
 @query("requeue_failures", """
@@ -184,12 +181,15 @@ def _(spark, sf):
 # --- robots and sitemaps, one file per host or page of the page table ------------------------
 
 _ROBOTS_BODY = ("concat('# rules\\nUser-agent: *\\nDisallow: /en/*5$\\nDisallow: /fr # french\\nAllow: /en/1\\n"
-                "Crawl-delay: 2\\n\\nUser-agent: otherbot\\nDisallow: /\\nSitemap: https://', host, '/map.xml\\n')")
+                "Crawl-delay: 2\\n\\nUser-agent: otherbot\\nDisallow: /\\nSitemap: https://', host, '/map.xml\\n', "
+                "if(length(host) % 2 = 0, 'User-agent: *\\nDisallow: /de\\n', ''))")
 
 
 def robots_docs(spark, sf):
+    """Two captures of each host's file; only the newer one counts."""
     hosts = ev.pages(spark, sf).select(urls.host(F.col("url")).alias("host")).distinct()
-    return hosts.selectExpr("host", f"{_ROBOTS_BODY} AS body")
+    return hosts.selectExpr("host", f"{_ROBOTS_BODY} AS body", "2 AS fetched").unionByName(
+        hosts.selectExpr("host", "'User-agent: *\\nDisallow: /\\n' AS body", "1 AS fetched"))
 
 
 _HOSTS_SQL = f"hosts AS (SELECT DISTINCT {sql_host('url')} AS host FROM pages)"
@@ -199,17 +199,19 @@ _HOSTS_SQL = f"hosts AS (SELECT DISTINCT {sql_host('url')} AS host FROM pages)"
 WITH {_HOSTS_SQL} SELECT host, 2 AS pos, 'disallow' AS kind, '/en/*5$' AS pattern FROM hosts
 UNION ALL SELECT host, 3, 'disallow', '/fr' FROM hosts UNION ALL SELECT host, 4, 'allow', '/en/1' FROM hosts
 UNION ALL SELECT host, 5, 'crawl-delay', '2' FROM hosts
-UNION ALL SELECT host, 9, 'sitemap', 'https://' || host || '/map.xml' FROM hosts""")
+UNION ALL SELECT host, 9, 'sitemap', 'https://' || host || '/map.xml' FROM hosts
+UNION ALL SELECT host, 11, 'disallow', '/de' FROM hosts WHERE length(host) % 2 = 0""")
 def _(spark, sf):
-    return site_files.read_robots(robots_docs(spark, sf))
+    return site_files.read_robots(robots_docs(spark, sf), fetched="fetched")
 
 
 @query("robots_allowed", f"""
 WITH p AS (SELECT page_id, url, {sql_host('url')} AS host, {sql_path('url')} AS path FROM pages)
 SELECT page_id, url, host, starts_with(path, '/en/1')
-  OR NOT (regexp_matches(path, '^/en/.*5$') OR starts_with(path, '/fr')) AS allowed FROM p""")
+  OR NOT (regexp_matches(path, '^/en/.*5$') OR starts_with(path, '/fr')
+    OR (length(host) % 2 = 0 AND starts_with(path, '/de'))) AS allowed FROM p""")
 def _(spark, sf):
-    rules = site_files.read_robots(robots_docs(spark, sf))
+    rules = site_files.read_robots(robots_docs(spark, sf), fetched="fetched")
     return fr.robots_allowed(ev.pages(spark, sf).select("page_id", "url"), rules)
 
 
@@ -218,7 +220,7 @@ WITH p AS (SELECT DISTINCT lower({_sql_part('url', 1)}) AS scheme, {sql_host('ur
 SELECT host, 'https://' || host || '/map.xml' AS sitemap_url FROM p
 UNION SELECT host, scheme || '://' || host || '/sitemap.xml' FROM p WHERE ends_with(host, '.com')""")
 def _(spark, sf):
-    rules = site_files.read_robots(robots_docs(spark, sf))
+    rules = site_files.read_robots(robots_docs(spark, sf), fetched="fetched")
     files = ev.pages(spark, sf).select(urls.host(F.col("url")).alias("host"), urls.scheme(F.col("url")).alias("scheme")).selectExpr(
         "host", "scheme", "explode(array('/sitemap.xml', '/sitemap1.xml', '/other.xml')) AS path",
         "CASE WHEN host LIKE '%.com' THEN 200 ELSE 404 END AS status").withColumn(

@@ -127,7 +127,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = heavy(spark, sf_dir, "documents").selectExpr(
         "doc_id AS id", "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) AS url",
-        "substring(text, 1, 60) AS title", "text AS text_content", "lang", "lang = 'de' AS has_changed",
+        "text AS title", "text AS text_content", "lang", "lang = 'de' AS has_changed",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT)) AS last_checked",
     )
     text = F.col("text_content")
@@ -146,7 +146,7 @@ def next_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy(spark, sf_dir, "documents").selectExpr(
         "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) AS url",
-        "substring(text, 1, 60) AS title",
+        "text AS title",
         "CASE WHEN lang = 'de' THEN concat(text, ' Neu im Angebot.') ELSE text END AS text_content",
         "timestamp_ntz'2024-02-01 00:00:00' AS checked_at",
     )
@@ -325,7 +325,7 @@ SQL_VIEWS: dict[str, str] = {
     "content_base": """
         SELECT doc_id AS id, CAST(substring(source, 4) AS BIGINT) AS competitor_id,
           'https://' || source || '.example.com/' || lang || '/' || doc_id AS url,
-          substring(text, 1, 60) AS title, text AS text_content, lang, lang = 'de' AS has_changed,
+          text AS title, text AS text_content, lang, lang = 'de' AS has_changed,
           TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS last_checked
         FROM documents""",
     "contents": f"""
@@ -344,7 +344,7 @@ SQL_VIEWS: dict[str, str] = {
     "next_contents": """
         SELECT CAST(substring(source, 4) AS BIGINT) AS competitor_id,
           'https://' || source || '.example.com/' || lang || '/' || doc_id AS url,
-          substring(text, 1, 60) AS title,
+          text AS title,
           CASE WHEN lang = 'de' THEN text || ' Neu im Angebot.' ELSE text END AS text_content,
           TIMESTAMP '2024-02-01 00:00:00' AS checked_at
         FROM documents""",

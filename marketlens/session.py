@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -32,14 +35,29 @@ def build(app: str = "marketlens", master: str | None = None, **extra: str) -> S
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="marketlens-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only where the session names no folder (plain local runs, tests) is one made
-    on this machine.
+    Only on a local master, where driver and executors are one process, a folder of
+    this machine will do; on a cluster a missing ``spark.checkpoint.dir`` is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="marketlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where it is not installed there already."""
+    folder = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "marketlens"), "zip",
+                                  os.path.dirname(folder), os.path.basename(folder))
+    spark.sparkContext.addPyFile(archive)

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.plans.skew import top_n_per_key
+from marketlens.plans.skew import latest_per_key, top_n_per_key
+from marketlens.session import scratch_dir
 
 AGENTS = ("*", "googlebot")
 
 
-def read_robots(docs: DataFrame, sticky: bool = False) -> DataFrame:
+def read_robots(docs: DataFrame, sticky: bool = False, fetched: str | None = None) -> DataFrame:
     """Rule rows (host, pos, kind, pattern) of robots files, one file per host.
 
+    Of several captures of a host the newest by the ``fetched`` column is read, or,
+    without such a column, the one whose body is the last in order.
+
     Kinds are allow, disallow, crawl-delay and sitemap. Rules count when their
     group names ``*`` or ``googlebot``; with ``sticky`` an agent once named stays
     named for the rest of the file.
     """
+    docs = latest_per_key(docs, ["host"], fetched or "body", *(["body"] if fetched else []))
     lines = docs.select("host", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     bare = F.trim(F.regexp_replace(F.split_part("line", F.lit("#"), F.lit(1)), r"\r", ""))
     fields = lines.withColumn("line", bare).filter(F.contains("line", F.lit(":"))).select(
@@ -44,29 +49,36 @@ _SITEMAP = ("url array<struct<loc:string,lastmod:string,priority:string,changefr
             "sitemap array<struct<loc:string>>")
 
 
-def read_sitemaps(docs: DataFrame, max_urls: int | None = 1000, max_nested: int = 10) -> DataFrame:
+def read_sitemaps(docs: DataFrame, max_urls: int | None = None, max_nested: int | None = None) -> DataFrame:
     """Urls of sitemap files (url, body), index files resolved to their children.
 
-    Returns root, url, lastmod, priority and changefreq. Of an index the first
-    ``max_nested`` children are read and at most ``max_urls`` urls kept per root,
-    as the limits belong to the result; None lifts the url limit. Files that are
-    not well-formed give no rows.
+    Returns root, url, lastmod, priority and changefreq. ``max_nested`` reads so many
+    children of an index, ``max_urls`` keeps so many urls per root; by default all.
+    Files that are not well-formed give no rows. Every file is parsed once, to rows
+    that are written before they are joined.
     """
     parsed = docs.select(F.col("url").alias("doc"), F.from_xml(
         "body", _SITEMAP, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"))
     # A file naming child sitemaps is an index; its own url entries do not count.
-    index = F.size(F.coalesce("x.sitemap", F.array())) > 0
-    entries = parsed.filter(~index).select("doc", F.posexplode("x.url").alias("pos", "u")).filter(
-        F.col("u.loc").isNotNull())
-    children = parsed.filter(index).select(
-        F.col("doc").alias("root"), F.posexplode(F.slice("x.sitemap", 1, max_nested)).alias("child_pos", "s")
-    ).select("root", "child_pos", F.col("s.loc").alias("doc"))
-    own = parsed.filter(~index).select("doc").join(children.select("doc"), "doc", "left_anti").select(
+    none = F.lit(None).cast("string")
+    children = F.transform("x.sitemap", lambda s: F.struct(
+        s["loc"].alias("loc"), none.alias("lastmod"), none.alias("priority"), none.alias("changefreq")))
+    is_index = F.size(F.coalesce("x.sitemap", F.array())) > 0
+    listed = parsed.select("doc", is_index.alias("is_index"), F.posexplode(
+        F.when(is_index, children).otherwise(F.col("x.url"))).alias("pos", "u")).select("doc", "is_index", "pos", "u.*")
+    path = scratch_dir(docs.sparkSession, "sitemaps")
+    listed.write.parquet(path)
+    lines = docs.sparkSession.read.schema(listed.schema).parquet(path)
+
+    entries = lines.filter("NOT is_index AND loc IS NOT NULL")
+    nested = lines.filter("is_index").select(F.col("doc").alias("root"), F.col("pos").alias("child_pos"), F.col("loc").alias("doc"))
+    if max_nested is not None:
+        nested = nested.filter(F.col("child_pos") < max_nested)
+    own = entries.select("doc").distinct().join(nested.select("doc"), "doc", "left_anti").select(
         F.col("doc").alias("root"), F.lit(0).alias("child_pos"), "doc")
-    rows = children.unionByName(own).join(entries, "doc").select(
-        "root", "child_pos", "pos", F.col("u.loc").alias("url"), F.col("u.lastmod").alias("lastmod"),
-        F.coalesce(F.col("u.priority").try_cast("double"), F.lit(0.5)).alias("priority"),
-        F.col("u.changefreq").alias("changefreq"))
+    rows = nested.unionByName(own).join(entries, "doc").select(
+        "root", "child_pos", "pos", F.col("loc").alias("url"), "lastmod",
+        F.coalesce(F.col("priority").try_cast("double"), F.lit(0.5)).alias("priority"), "changefreq")
     if max_urls is not None:
         rows = top_n_per_key(rows, ["root"], [F.col("child_pos"), F.col("pos")], max_urls)
     return rows.drop("child_pos", "pos")

@@ -1,12 +1,16 @@
 """Skewed keys, positions, plan shapes, sinks and readers."""
 
 import datetime as dt
+import json
 import random
+import uuid
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.arrays import let
+from marketlens.operators import compare, frontier, gaps, listings
 from marketlens.plans import catalog
 from marketlens.plans.skew import latest_per_key, with_position, with_previous
 from marketlens.session import scratch_dir
@@ -38,12 +42,89 @@ def test_previous_row_when_a_key_has_one_instant(spark):
     assert [r.p for r in got] == [None, *range(49)]
 
 
+def test_previous_row_with_null_times_and_one_huge_key(spark):
+    rng = random.Random(9)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(str(uuid.UUID(int=1 if rng.random() < 0.9 else rng.randint(2, 30))),
+             None if rng.random() < 0.2 else start + dt.timedelta(minutes=rng.randint(0, 3)), i, None if i % 7 == 0 else i)
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, id int, v int")
+    want = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("at", "id"))).collect()
+    for hot in (3, 100, 1900, 10_000):
+        got = with_previous(df, ["k"], "at", ["id"], F.col("v"), "p", hot_rows=hot).select("k", "at", "id", "v", "p").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_positions(spark):
     rng = random.Random(1)
-    df = spark.createDataFrame([(i, float(rng.randint(0, 3))) for i in range(500)], "id long, score double")
-    got = with_position(df, "score", "id", "pos", bucket=F.floor(F.col("id") / 7)).orderBy("pos").collect()
-    want = sorted(((r.id, r.score) for r in got), key=lambda r: (-r[1], r[0]))
-    assert [r.pos for r in got] == list(range(1, 501)) and [(r.id, r.score) for r in got] == want
+    makers = (lambda i: str(uuid.UUID(int=rng.getrandbits(128))), lambda i: rng.getrandbits(62), lambda i: i)
+    for make, kind in zip(makers, ("string", "long", "long")):
+        df = spark.createDataFrame([(make(i), float(rng.randint(0, 3)), i % 2) for i in range(500)], f"id {kind}, score double, g int")
+        order = [F.col("score").desc(), F.col("id")]
+        got = with_position(df, order, "pos").orderBy("pos").collect()
+        want = sorted(((r.id, r.score) for r in got), key=lambda r: (-r[1], r[0]))
+        assert [r.pos for r in got] == list(range(1, 501)) and [(r.id, r.score) for r in got] == want
+        for g in (0, 1):
+            rows = with_position(df, order, "pos", ["g"]).filter(F.col("g") == g).orderBy("pos").collect()
+            assert [r.pos for r in rows] == list(range(1, 251))
+            assert [(r.id, r.score) for r in rows] == [w for w in want if w in {(r.id, r.score) for r in rows}]
+
+
+def test_ranking_takes_the_ids_of_the_entity_tables(spark):
+    names = [k for k, _, _ in compare.METRICS]
+    rows = [(str(uuid.uuid4()), f"c{i}", *[float(i % 7)] * len(names)) for i in range(40)]
+    df = spark.createDataFrame(rows, "competitor_id string, competitor_name string, " + ", ".join(f"{n} double" for n in names))
+    ranked = compare.weighted_ranking(df, rows[3][0])
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 41))
+
+
+def test_pages_of_a_list_without_a_limit(spark):
+    rows = [(i, f"c{i}", "direct", True, True, dt.datetime(2024, 1, 1 + i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, name string, competitor_type string, is_active boolean, is_monitoring boolean, created_at timestamp")
+    assert [r.id for r in listings.list_competitors(df, skip=3, limit=None).collect()] == [1, 0]
+    assert [r.id for r in listings.list_competitors(df, limit=None).collect()] == [4, 3, 2, 1, 0]
+
+
+def test_frontier_limits_on_request(spark):
+    links = spark.createDataFrame([(1, f"u{i:05d}", i % 9, i % 5, i) for i in range(1500)],
+                                  "scan_id long, url string, depth int, priority int, added long")
+    seen = spark.createDataFrame([(1, "u00000"), (1, "other")], "scan_id long, url string")
+    full = frontier.plan_frontier(links, seen).collect()
+    assert len(full) == 1499 and sorted(r.position for r in full) == list(range(1, 1500))
+    assert [r.url for r in sorted(full, key=lambda r: r.position)] == [
+        r.url for r in sorted(full, key=lambda r: (r.priority, r.added))]
+    kept = frontier.plan_frontier(links, seen, max_depth=5, max_urls=100).collect()
+    assert len(kept) == 98 and max(r.depth for r in kept) == 5
+
+
+def test_gaps_beyond_the_old_limits(spark):
+    """A topic only two others have is found however many topics everybody has."""
+    everybody = [f"common{i:03d}" for i in range(150)]
+    rows = [(c, json.dumps([t]), "x") for c in (1, 2, 3) for t in everybody for _ in range(2)]
+    rows += [(c, json.dumps([f"rare{i:03d}"]), "x") for c in (2, 3) for i in range(60)]
+    contents = spark.createDataFrame(rows, "competitor_id long, keywords string, title string")
+    sites = spark.createDataFrame([(c,) for c in (1, 2, 3)], "id long")
+    found = gaps.content_gaps(contents, sites, 1).collect()
+    assert {r.topic for r in found} == {f"Rare{i:03d}" for i in range(60)}
+    assert gaps.content_gap_coverage(contents, sites, 1).count() == 120
+    assert gaps.content_gaps(contents, sites, 1, n=30).count() == 30
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://cluster:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(Session(), "x")
+    Context.master = "local[4]"
+    assert scratch_dir(Session(), "x")
 
 
 def _plan(df):
@@ -62,11 +143,9 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_no_cross_joins(spark):
-    from tests.test_oracles import ORACLES
-
-    streams = {n for n in ORACLES if n.startswith("stream_") or n in (
+    streams = {n for n in catalog.ORACLES if n.startswith("stream_") or n in (
         "changes_per_day", "scan_progress", "dedupe_pages", "route_alerts")}
-    for name in sorted(set(ORACLES) - streams):
+    for name in sorted(set(catalog.ORACLES) - streams):
         plan = _plan(catalog.QUERIES[name](spark, SF)).split("Physical Plan")[-1]
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
