@@ -8,6 +8,7 @@ from marketlens.plans import entity_views as ev
 from marketlens.plans.catalog_prices import _CHANGES_SQL, _half_even
 from marketlens.plans.registry import query
 from marketlens.plans.skew import latest_per_key
+from marketlens.session import scratch_dir
 from marketlens.streaming import changes as st
 from marketlens.streaming import runs
 
@@ -17,12 +18,32 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
 
 
-def _lines(spark, sf):
-    return runs.read_stream(spark, sf, LINEITEM, "lineitem.parquet")
+def _arriving(spark, sf, table, schema, parts):
+    """The table as a stream whose rows come part after part, in several micro-batches each.
+
+    ``parts`` are conditions that share the rows out; parts of a time order let a
+    key's rows come in time, parts by hash bring times in disorder.
+    """
+    folder = scratch_dir(spark, f"arriving-{table}")
+    rows = ev.raw(spark, sf, table).selectExpr(*[f"`{f.split()[0]}`" for f in schema.split(", ")])
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(folder)
+    return runs.read_stream(spark, folder, schema, per_trigger=1)
+
+
+def _shares(column, n=5):
+    return [f"coalesce(pmod(hash({column}), {n}), 0) = {i}" for i in range(n)]
+
+
+_IN_TIME = ["year(l_shipdate) <= 1995", "year(l_shipdate) IN (1996, 1997)", "year(l_shipdate) = 1998", "year(l_shipdate) >= 1999"]
+
+
+def _lines(spark, sf, parts=None):
+    return _arriving(spark, sf, "lineitem", LINEITEM, parts or _IN_TIME)
 
 
 def _events(spark, sf):
-    return runs.read_stream(spark, sf, EVENTS, "events.parquet")
+    return _arriving(spark, sf, "events", EVENTS, _shares("event_id"))
 
 
 @query("stream_price_changes", _CHANGES_SQL.replace("product_name ORDER", "product_id ORDER") + f"""
@@ -36,7 +57,7 @@ def _(spark, sf):
         "l_orderkey AS order_key", "l_linenumber AS line_number", "CAST(l_extendedprice AS DECIMAL(12,2)) AS price")
     changed = st.stream_price_changes(snapshots, ("competitor_id", "product_id"),
                                       tie=("order_key", "line_number", "price"))
-    return runs.drain(changed, "price-changes").withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+    return runs.drain(changed, "price-changes").drop("late").withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
 
 
 _TWO_CRAWLS = """SELECT CAST(substring(source, 4) AS BIGINT) AS competitor_id, doc_id,
@@ -52,7 +73,7 @@ linked AS (SELECT *, lag(new_hash) OVER (PARTITION BY competitor_id, url ORDER B
 SELECT competitor_id, url, crawl, new_hash, old_hash, CASE WHEN old_hash IS NULL THEN 'new'
   WHEN new_hash <> old_hash THEN 'updated' ELSE 'unchanged' END AS status FROM linked""")
 def _(spark, sf):
-    docs = runs.read_stream(spark, sf, DOCUMENTS, "documents.parquet")
+    docs = _arriving(spark, sf, "documents", DOCUMENTS, _shares("doc_id", 4))
     crawls = docs.withColumn("crawl", F.explode(F.when(F.col("lang") == "es", F.array(F.lit(2))).otherwise(
         F.array(F.lit(1), F.lit(2))))).selectExpr(
         "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
@@ -107,7 +128,7 @@ WITH p AS (SELECT l_suppkey AS scan_id, count(*) AS pages_crawled,
 SELECT p.scan_id, pages_crawled, current_url, least(100, CAST(trunc(pages_crawled * 100.0 / total) AS INTEGER)) AS progress
 FROM p JOIN (SELECT s_suppkey AS scan_id, 500 + CAST(s_nationkey AS INTEGER) * 10 AS total FROM supplier) t ON t.scan_id = p.scan_id""")
 def _(spark, sf):
-    crawled = _lines(spark, sf).selectExpr(
+    crawled = _lines(spark, sf, _shares("l_orderkey")).selectExpr(
         "l_suppkey AS scan_id", "concat('/p/', l_partkey) AS url", "l_shipdate AS crawled_at", "l_orderkey",
         "l_linenumber", "l_partkey")
     totals = ev.raw(spark, sf, "supplier").selectExpr("s_suppkey AS scan_id", "500 + s_nationkey * 10 AS total")
@@ -118,7 +139,7 @@ def _(spark, sf):
 
 @query("dedupe_pages", "SELECT DISTINCT l_suppkey AS scan_id, '/p/' || l_partkey AS url FROM lineitem")
 def _(spark, sf):
-    crawled = _lines(spark, sf).selectExpr(
+    crawled = _lines(spark, sf, _shares("l_orderkey")).selectExpr(
         "l_suppkey AS scan_id", "concat('/p/', l_partkey) AS url", "l_shipdate AS crawled_at")
     return runs.drain(st.dedupe_pages(crawled), "dedupe-pages").select("scan_id", "url")
 
@@ -127,8 +148,6 @@ def _(spark, sf):
 SELECT CASE event_type WHEN 'view' THEN 'scans' WHEN 'error' THEN 'alerts' ELSE 'competitors' END AS channel,
   count(*) AS messages FROM events WHERE event_type IN ('view', 'error', 'signup') GROUP BY 1""")
 def _(spark, sf):
-    from marketlens.session import scratch_dir
-
     events = _events(spark, sf).select(
         F.when(F.col("event_type") == "view", "scan_progress").when(F.col("event_type") == "error", "new_alert")
         .when(F.col("event_type") == "signup", "competitor_update").otherwise("other").alias("kind"),

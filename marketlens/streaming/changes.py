@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
 from marketlens.functions.prices import percent_change
-from marketlens.operators.changes import content_status
+from marketlens.operators.changes import MIN_CONTENT_CHARS, content_status
 from marketlens.operators.prices import price_status
 from marketlens.streaming.previous import with_previous_stream
 
 
 def stream_price_changes(snapshots: DataFrame, keys: Sequence[str] = ("competitor_id", "product_name"),
                          time: str = "captured_at", tie: Sequence[str] = ("id",), min_pct: float = 1.0) -> DataFrame:
-    """Price captures with the price before, status and percent change."""
+    """Price captures with the price before, status and percent change; late ones have status ``late``."""
     linked = with_previous_stream(snapshots, keys, time, tie, "price", "old_price").withColumn(
         "old_price", F.col("old_price").cast("decimal(12,2)"))
-    status = price_status(F.col("old_price"), F.col("price"), min_pct)
+    status = F.when(F.col("late"), "late").otherwise(price_status(F.col("old_price"), F.col("price"), min_pct))
     return linked.withColumns({
         "status": status,
         "change_percentage": F.when(status.isin("increase", "decrease"), F.bround(
@@ -28,34 +28,52 @@ def stream_price_changes(snapshots: DataFrame, keys: Sequence[str] = ("competito
 
 def stream_content_changes(pages: DataFrame, keys: Sequence[str] = ("competitor_id", "url"),
                            time: str = "checked_at", tie: Sequence[str] = ()) -> DataFrame:
-    """Page texts with a status against the text the page had before; short texts are left out."""
-    hashed = pages.filter(F.length("text_content") >= 100).withColumn(
-        "new_hash", tx.content_hash(F.col("text_content")))
+    """Pages with hash, length and a status against the text the page had before.
+
+    Short texts are left out, late pages have status ``late``. Texts are hashed
+    before rows are dealt out: neither the shuffle nor the state sees them.
+    """
+    hashed = pages.filter(F.length("text_content") >= MIN_CONTENT_CHARS).select(
+        *[c for c in pages.columns if c != "text_content"], F.length("text_content").alias("char_count"),
+        tx.content_hash(F.col("text_content")).alias("new_hash"))
     linked = with_previous_stream(hashed, keys, time, tie, "new_hash", "old_hash")
     known = F.col("old_hash").isNotNull()
-    return linked.withColumn(
-        "status", content_status(F.length("text_content"), F.col("new_hash"), F.col("old_hash"), known))
+    status = content_status(F.col("char_count"), F.col("new_hash"), F.col("old_hash"), known)
+    return linked.withColumn("status", F.when(F.col("late"), "late").otherwise(status))
 
 
 def stream_product_changes(cards: DataFrame, keys: Sequence[str] = ("competitor_id", "name"),
                            time: str = "checked_at", tie: Sequence[str] = ()) -> DataFrame:
-    """Product cards with a status against description and availability seen before."""
+    """Product cards with a status against description and availability seen before.
+
+    An unknown availability is a value of its own that differs from no other, as in
+    the batch form; late cards have status ``late``.
+    """
+    shown = F.coalesce(F.col("is_available").cast("string"), F.lit(""))
     hashed = cards.withColumn("description_hash", F.sha2(F.coalesce("description", F.lit("")), 256)).withColumn(
-        "_card", F.concat("description_hash", F.lit("|"), F.col("is_available").cast("string")))
-    linked = with_previous_stream(hashed, keys, time, tie, "_card", "_old")
-    known = F.col("_old").isNotNull()
-    was_available = F.substring_index("_old", "|", -1) == "true"
+        "_card", F.concat("description_hash", F.lit("|"), shown))
+    linked = with_previous_stream(hashed.drop("description"), keys, time, tie, "_card", "_old")
+    old_hash, old_shown = F.substring_index("_old", "|", 1), F.substring_index("_old", "|", -1)
+    differs = (old_hash != F.col("description_hash")) | F.coalesce(
+        F.nullif(old_shown, F.lit("")) != F.nullif(shown, F.lit("")), F.lit(False))
     return linked.withColumns({
-        "status": F.when(~known, "new").when(F.col("_old") != F.col("_card"), "updated").otherwise("unchanged"),
-        "went_unavailable": F.coalesce(was_available & ~F.col("is_available"), F.lit(False)),
+        "status": F.when(F.col("late"), "late").when(F.col("_old").isNull(), "new").when(differs, "updated")
+        .otherwise("unchanged"),
+        "went_unavailable": F.coalesce((old_shown == "true") & ~F.col("is_available"), F.lit(False)),
     }).drop("_card", "_old")
 
 
-def changes_per_day(changes: DataFrame, time: str = "detected_at", delay: str = "1 day") -> DataFrame:
-    """Changes per 24 hours; a day is final once the watermark has passed it."""
+def changes_per_day(changes: DataFrame, time: str = "detected_at", delay: str | None = None) -> DataFrame:
+    """Changes per 24 hours; run in update mode.
+
+    The state is one number per day, so by default all of it is kept and a change
+    counts however late it comes. With a ``delay`` a day is final, and later changes
+    are left out, once the watermark has passed it.
+    """
     stamped = changes.withColumn(time, F.col(time).cast("timestamp"))
+    stamped = stamped if delay is None else stamped.withWatermark(time, delay)
     return (
-        stamped.withWatermark(time, delay).groupBy(F.window(time, "24 hours")).agg(F.count(F.lit(1)).alias("changes"))
+        stamped.groupBy(F.window(time, "24 hours")).agg(F.count(F.lit(1)).alias("changes"))
         .select(F.col("window.start").alias("day_start"), F.col("window.end").alias("day_end"), "changes")
     )
 
@@ -83,7 +101,14 @@ def scan_progress(pages: DataFrame, totals: DataFrame, time: str = "crawled_at",
         "progress", F.least(F.lit(100), share.cast("int"))).drop("total")
 
 
-def dedupe_pages(pages: DataFrame, time: str = "crawled_at", delay: str = "1 day") -> DataFrame:
-    """First arrival of each url of a scan; repeats within the delay are dropped."""
+def dedupe_pages(pages: DataFrame, time: str = "crawled_at", delay: str | None = None) -> DataFrame:
+    """First arrival of each url of a scan.
+
+    By default every url is remembered and none is lost, in any order of time. With
+    a ``delay`` only repeats within it are known, and pages older than the watermark
+    are left out.
+    """
     stamped = pages.withColumn(time, F.col(time).cast("timestamp"))
+    if delay is None:
+        return stamped.dropDuplicates(["scan_id", "url"])
     return stamped.withWatermark(time, delay).dropDuplicatesWithinWatermark(["scan_id", "url"])

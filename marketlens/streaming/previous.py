@@ -15,8 +15,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class _RememberLast(StatefulProcessor):
     """Hands every row its predecessor's value and keeps the newest one."""
 
-    def __init__(self, time: str, tie: Sequence[str], value: str, name: str) -> None:
-        self.time, self.tie, self.value, self.name = time, list(tie), value, name
+    def __init__(self, time: str, tie: Sequence[str], value: str, name: str, late: str) -> None:
+        self.time, self.tie, self.value, self.name, self.late = time, list(tie), value, name, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long, value string")
@@ -25,10 +25,10 @@ class _RememberLast(StatefulProcessor):
         at, value = self.last.get() or (None, None)
         # Rows of one key in one micro-batch; the source's per-trigger limit bounds them.
         for row in sorted(rows, key=lambda r: (r[self.time], *[r[t] for t in self.tie])):
-            if at is not None and row[self.time] < at:
-                continue
-            yield Row(**row.asDict(), **{self.name: value})
-            at, value = row[self.time], row[self.value]
+            late = at is not None and row[self.time] < at
+            yield Row(**row.asDict(), **{self.name: None if late else value, self.late: late})
+            if not late:
+                at, value = row[self.time], row[self.value]
         self.last.update((at, value))
 
     def close(self) -> None:
@@ -36,17 +36,29 @@ class _RememberLast(StatefulProcessor):
 
 
 def with_previous_stream(stream: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], value: str,
-                         name: str) -> DataFrame:
+                         name: str, late: str = "late") -> DataFrame:
     """Streaming form of a lag: every row with the ``value`` its key had before, as text.
 
-    Rows older than the stored one of their key are dropped, as a late snapshot
-    says nothing about the present. Within a micro-batch rows are taken in
-    (time, tie) order.
+    A row older than the stored one of its key says nothing about the present: it is
+    marked in ``late``, has no value before it and leaves the state as it is. No row
+    is lost; :func:`late_rows` and :func:`rows_in_time` tell the two apart. Within a
+    micro-batch rows are taken in (time, tie) order. Hand over narrow rows: all
+    columns pass through the state processor.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Microseconds compare alike in rows and in state, whatever the zone.
     keyed = stream.withColumns({
         "_value": F.col(value).cast("string"), "_at": F.unix_micros(F.col(time).cast("timestamp"))})
-    schema = T.StructType([*keyed.schema.fields, T.StructField(name, T.StringType())])
-    processor = _RememberLast("_at", tie, "_value", name)
+    schema = T.StructType([*keyed.schema.fields, T.StructField(name, T.StringType()),
+                           T.StructField(late, T.BooleanType())])
+    processor = _RememberLast("_at", tie, "_value", name, late)
     return keyed.groupBy(*keys).transformWithState(processor, schema, "Append", "None").drop("_value", "_at")
+
+
+def late_rows(linked: DataFrame, late: str = "late") -> DataFrame:
+    """The side output: rows that came after a newer one of their key."""
+    return linked.filter(late)
+
+
+def rows_in_time(linked: DataFrame, late: str = "late") -> DataFrame:
+    return linked.filter(~F.col(late))

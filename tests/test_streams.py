@@ -5,9 +5,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketlens.operators.prices import detect_price_changes
+from marketlens.plans.skew import latest_per_key
 from marketlens.session import scratch_dir
 from marketlens.streaming import changes as st
 from marketlens.streaming import runs
+from marketlens.streaming.previous import late_rows, rows_in_time
 
 DAY = dt.datetime(2024, 1, 1)
 SCHEMA = "competitor_id int, product_name string, price decimal(12,2), captured_at timestamp, id int"
@@ -27,12 +29,14 @@ def _row(day, price, i, product="p"):
     return (1, product, Decimal(price), DAY + dt.timedelta(days=day), i)
 
 
-def test_price_stream_equals_batch_and_drops_late_rows(spark):
+def test_price_stream_equals_batch_and_marks_late_rows(spark):
     late = _row(1, "77", 9)
     batches = [[_row(2, "101", 2), _row(0, "100", 1), _row(0, "5", 3, "q")], [late, _row(3, "150", 4), _row(3, "150", 5)],
                [_row(4, "5.02", 6, "q"), _row(5, "150.5", 7)]]
     stream, folder = _stream(spark, batches, SCHEMA, "prices")
-    got = runs.drain(st.stream_price_changes(stream), "t-prices")
+    every = runs.drain(st.stream_price_changes(stream), "t-prices")
+    assert [(r.id, r.status, r.old_price) for r in late_rows(every).collect()] == [(9, "late", None)]
+    got = rows_in_time(every)
     batch = detect_price_changes(spark.read.schema(SCHEMA).parquet(folder).filter("id <> 9"))
     columns = ["id", "price", "old_price", "status", "change_percentage"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
@@ -48,18 +52,20 @@ def test_content_and_product_streams(spark):
     got = runs.drain(st.stream_content_changes(stream), "t-pages").orderBy("checked_at").collect()
     assert [r.status for r in got] == ["new", "updated", "unchanged"]
     cards = [[(1, "a", "d", True, DAY)], [(1, "a", "d", False, DAY + dt.timedelta(1))],
-             [(1, "a", None, False, DAY + dt.timedelta(2))]]
+             [(1, "a", None, False, DAY + dt.timedelta(2))], [(1, "n", "d", None, DAY)], [(1, "n", "d", None, DAY + dt.timedelta(1))],
+             [(1, "n", "d", True, DAY + dt.timedelta(2))]]
     stream, _ = _stream(spark, cards, "competitor_id int, name string, description string, is_available boolean, "
                         "checked_at timestamp", "cards")
-    got = runs.drain(st.stream_product_changes(stream), "t-cards").orderBy("checked_at").collect()
-    assert [(r.status, r.went_unavailable) for r in got] == [("new", False), ("updated", True), ("updated", False)]
+    got = runs.drain(st.stream_product_changes(stream), "t-cards").orderBy("name", "checked_at").collect()
+    assert [(r.status, r.went_unavailable) for r in got] == [
+        ("new", False), ("updated", True), ("updated", False), ("new", False), ("unchanged", False), ("unchanged", False)]
 
 
 def test_windows_progress_and_duplicates(spark):
     days = [[(i, DAY + dt.timedelta(hours=7 * i)) for i in range(6)], [(9, DAY + dt.timedelta(days=5))],
             [(10, DAY + dt.timedelta(days=5, hours=1))]]
     stream, _ = _stream(spark, days, "id int, detected_at timestamp", "days")
-    final = runs.drain(st.changes_per_day(stream), "t-days").orderBy("day_start").collect()
+    final = runs.drain(st.changes_per_day(stream, delay="1 day"), "t-days").orderBy("day_start").collect()
     assert [(r.day_start, r.changes) for r in final] == [(DAY, 4), (DAY + dt.timedelta(1), 2)]
     pages = [[(1, "a", DAY), (1, "b", DAY)], [(1, "a", DAY + dt.timedelta(hours=1)), (2, "a", DAY)]]
     schema = "scan_id int, url string, crawled_at timestamp"
@@ -67,6 +73,14 @@ def test_windows_progress_and_duplicates(spark):
     totals = spark.createDataFrame([(1, 2), (2, 4)], "scan_id int, total int")
     rows = runs.drain(st.scan_progress(stream, totals), "t-progress", mode="update").orderBy("scan_id", "batch").collect()
     assert [(r.scan_id, r.batch, r.pages_crawled, r.progress) for r in rows] == [(1, 0, 2, 100), (1, 1, 3, 100), (2, 1, 1, 25)]
+    # Thirty days back and forth: without a delay nothing is left out.
+    disorder = [[(i, DAY + dt.timedelta(days=d))] for i, d in enumerate((30, 1, 2, 30))]
+    stream, _ = _stream(spark, disorder, "id int, detected_at timestamp", "disorder")
+    counts = latest_per_key(runs.drain(st.changes_per_day(stream), "t-all-days", mode="update"), ["day_start"], "batch")
+    assert sorted(r.changes for r in counts.collect()) == [1, 1, 2]
+    apart = [[(1, f"u{i}", r[0][1])] for i, r in enumerate(disorder)]
+    stream, _ = _stream(spark, apart, schema, "apart")
+    assert runs.drain(st.dedupe_pages(stream), "t-apart").count() == 4
     stream, _ = _stream(spark, pages, schema, "dedupe")
     assert sorted((r.scan_id, r.url) for r in runs.drain(st.dedupe_pages(stream), "t-dedupe").collect()) == [
         (1, "a"), (1, "b"), (2, "a")]
