@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import ChunkCache, documents
+from marketlens.llm.common import ChunkCache, documents, slices
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
@@ -249,27 +249,35 @@ def _content(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None,
+           round_trip: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (little-endian unsigned 32-bit numbers), ``n_ids`` and ``parity``.
 
     ``parity`` is true where the original library gives the same ids; each distinct
-    chunk is compared when it is first met. Null text is empty text and has no ids.
-    Rows are independent; no shuffle. Batches are encoded by the library's threads.
+    chunk is compared when it is first met. With ``round_trip`` a column of that name
+    says whether decoding gives the text back. ``keep`` names the columns to pass on,
+    all by default. Null text is empty text and has no ids. Rows are independent; no
+    shuffle. Batches are encoded by the library's threads.
     """
     content = _content(docs.sparkSession, model_path)
-    extra = [T.StructField("ids", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("parity", T.BooleanType())]
+    kept = docs.columns if keep is None else keep
+    kinds = [("ids", T.BinaryType()), ("n_ids", T.LongType()), ("parity", T.BooleanType())]
+    kinds += [("round_trip", T.BooleanType())] if round_trip else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path, content)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
-            found = own.encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([i for i, _ in found], pa.binary()),
-                 pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.bool_())],
-                [*batch.schema.names, "ids", "n_ids", "parity"])
+            for part in slices(batch, text_col):
+                texts = [t or "" for t in part.column(part.schema.names.index(text_col)).to_pylist()]
+                found = own.encode(texts)
+                out = [pa.array([i for i, _ in found], pa.binary()), pa.array([len(i) // 4 for i, _ in found], pa.int64()),
+                       pa.array([p for _, p in found], pa.bool_())]
+                if round_trip:
+                    out.append(pa.array([a == b for a, b in zip(own.decode([i for i, _ in found]), texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(c)) for c in kept), *out],
+                                                 [*kept, *(n for n, _ in kinds)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, k) for n, k in kinds)]))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -279,9 +287,10 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path, content)
         for batch in batches:
-            ids = [i or b"" for i in batch.column(batch.schema.names.index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.decode(ids), pa.string())],
-                                             [*batch.schema.names, out])
+            for part in slices(batch, ids_col):
+                ids = [i or b"" for i in part.column(part.schema.names.index(ids_col)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.decode(ids), pa.string())],
+                                                 [*part.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
@@ -292,5 +301,5 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return decode(encode(texts, path), path).select(
-        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return encode(texts, path, keep=["doc_id"], round_trip=True).select(
+        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")
