@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import ChunkCache, documents, whole
+from marketlens.llm.common import ChunkCache, documents, slices, whole
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -161,50 +161,59 @@ def count_trees(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path, content)
-        for batch in batches:
-            made = [CountTree.of(t.as_py() or "", count) for t in batch.column(text_col)]
+        for part in (p for batch in batches for p in slices(batch, text_col)):
+            made = [CountTree.of(t.as_py() or "", count) for t in part.column(part.schema.names.index(text_col))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([m.chars for m in made], pa.list_(pa.int64())),
+                [*part.columns, pa.array([m.chars for m in made], pa.list_(pa.int64())),
                  pa.array([m.tokens for m in made], pa.list_(pa.int64()))],
-                [*batch.schema.names, "tree_chars", "tree_tokens"])
+                [*part.schema.names, "tree_chars", "tree_tokens"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
-def apply_edits(trees: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+def apply_edits(trees: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``trees`` (text, edits, tree_chars, tree_tokens) after all their edits, in order.
 
     The text and its tree are the new ones; ``tokens_before`` and ``tokens_after``
-    are totals and ``reencoded_chars`` says how much was encoded again. A null edit
-    list, and null parts of an edit, change nothing (place 0, nothing cut, nothing
-    put). Rows are independent: repeated rows give repeated results, an empty table
-    none. No shuffle.
+    are totals, ``chars_after`` is the new length and ``reencoded_chars`` says how
+    much was encoded again. Without tree columns the tree of each text is built
+    first, in the same task. ``keep`` names the columns to pass on, all by default.
+    A null edit list, and null parts of an edit, change nothing (place 0, nothing
+    cut, nothing put). Rows are independent: repeated rows give repeated results, an
+    empty table none. No shuffle.
     """
     content = _content(trees.sparkSession, tokenizer_path)
-    names = ("tokens_before", "tokens_after", "reencoded_chars")
+    kept = trees.columns if keep is None else keep
+    names = ("tokens_before", "tokens_after", "chars_after", "reencoded_chars")
+    has_trees = "tree_chars" in trees.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path, content)
         for batch in batches:
-            columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            texts, made, sums = [], [], []
-            for text, edits, chars, tokens in zip(*(columns[c] for c in (text_col, "edits", "tree_chars", "tree_tokens"))):
-                tree = CountTree(np.array(chars.values), np.array(tokens.values))
-                now, before, again = text.as_py() or "", tree.total(), 0
-                for e in edits.as_py() or []:
-                    now, n = tree.edit(now, e["at"] or 0, e["cut"] or 0, e["put"] or "", count)
-                    again += n
-                texts.append(now)
-                made.append(tree)
-                sums.append((before, tree.total(), again))
-            columns[text_col] = pa.array(texts, pa.string())
-            columns["tree_chars"] = pa.array([m.chars for m in made], pa.list_(pa.int64()))
-            columns["tree_tokens"] = pa.array([m.tokens for m in made], pa.list_(pa.int64()))
-            for k, n in enumerate(names):
-                columns[n] = pa.array([s[k] for s in sums], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return trees.mapInArrow(run, T.StructType([*trees.schema.fields, *[T.StructField(n, T.LongType()) for n in names]]))
+            for part in slices(batch, text_col):
+                columns = dict(zip(part.schema.names, part.columns))
+                texts, made, sums = [], [], []
+                for k, (text, edits) in enumerate(zip(columns[text_col], columns["edits"])):
+                    now = text.as_py() or ""
+                    tree = CountTree(*(np.array(columns[c][k].values) for c in ("tree_chars", "tree_tokens"))) if has_trees \
+                        else CountTree.of(now, count)
+                    before, again = tree.total(), 0
+                    for e in edits.as_py() or []:
+                        now, n = tree.edit(now, e["at"] or 0, e["cut"] or 0, e["put"] or "", count)
+                        again += n
+                    texts.append(now)
+                    made.append(tree)
+                    sums.append((before, tree.total(), len(now), again))
+                columns[text_col] = pa.array(texts, pa.string()) if text_col in kept else None
+                if has_trees:
+                    columns["tree_chars"] = pa.array([m.chars for m in made], pa.list_(pa.int64()))
+                    columns["tree_tokens"] = pa.array([m.tokens for m in made], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(columns[c] for c in kept), *(pa.array([s[k] for s in sums], pa.int64()) for k in range(len(names)))],
+                    [*kept, *names])
+
+    return trees.mapInArrow(run, T.StructType([
+        *(trees.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def derived_edits(text) -> object:
@@ -224,6 +233,4 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     text = whole(F.col("text"))
     docs = documents(spark, sf_dir).select("doc_id", text.alias("text"), derived_edits(text).alias("edits"))
-    return apply_edits(count_trees(docs, path), path).select(
-        "doc_id", "tokens_before", "tokens_after", F.char_length("text").cast("long").alias("chars_after"),
-        "reencoded_chars")
+    return apply_edits(docs, path, keep=["doc_id"])
