@@ -159,7 +159,7 @@ def rebuild(model: PieceModel, normalised: bool = False):
 class PieceCodec:
     """Encodes and decodes texts with one model; counts chunks on which the libraries differ."""
 
-    def __init__(self, content: bytes, limit: int = 200_000) -> None:
+    def __init__(self, content: bytes, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
@@ -175,15 +175,17 @@ class PieceCodec:
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in self.model.pieces]
         self.original = sentencepiece.SentencePieceProcessor()
         self.original.LoadFromSerializedProto(content)
+        self.differing: set[str] = set()
         self.cache = ChunkCache(self._encode_chunks, limit)
 
-    def _encode_chunks(self, tails: list[str]) -> Iterator[tuple[bytes, bool]]:
-        """Ids of normalised chunks, given without their first marker, and whether the original library agrees."""
+    def _encode_chunks(self, tails: list[str]) -> Iterator[bytes]:
+        """Ids of normalised chunks, given without their first marker; notes those on which the original library differs."""
         ours = [e.ids for e in self.bare.encode_batch_fast([MARK + t for t in tails], add_special_tokens=False)]
         # The original puts a marker in front by itself, but not before an empty text.
         theirs = self.original.encode([t.replace(MARK, " ") for t in tails], num_threads=1)
         lone = [self.original.piece_to_id(MARK)]
-        return ((array("I", a).tobytes(), a == (b if t else lone)) for t, a, b in zip(tails, ours, theirs))
+        self.differing.update(t for t, a, b in zip(tails, ours, theirs) if a != (b if t else lone))
+        return (array("I", a).tobytes() for a in ours)
 
     def _tails(self, text: str) -> list[str] | None:
         """The chunks of a text without their first markers; None where a chunk has none."""
@@ -209,8 +211,7 @@ class PieceCodec:
                     ours = self.tokenizer.encode(text, add_special_tokens=False).ids
                     out.append((array("I", ours).tobytes(), ours == self.original.encode(text)))
                     continue
-                found = [known[t] for t in tails]
-                out.append((b"".join([ids for ids, _ in found]), all(same for _, same in found)))
+                out.append((b"".join(map(known.__getitem__, tails)), self.differing.isdisjoint(tails)))
         return out
 
     @staticmethod
