@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
+from marketlens.plans.components import components
 
 
 def _vote(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,3 +133,20 @@ def near_duplicates(simhashes: DataFrame, key: str, max_distance: int = 3) -> Da
     return pairs.select(
         "simhash_bits_a", "simhash_bits_b", "first_key_a", "first_key_b", "texts_a", "texts_b",
         distance.alias("distance"), (F.lit(1.0) - distance / F.lit(64)).alias("similarity"))
+
+
+def near_duplicate_groups(simhashes: DataFrame, key: str, max_distance: int = 3) -> DataFrame:
+    """Every text with its group: ``key``, simhash_bits, group_key (the least key of the group) and group_texts.
+
+    Texts of one simhash value are at distance 0 and in one group; values at most
+    ``max_distance`` bits apart are linked, and groups are what links join. One row
+    per text, so the output grows with the texts, not with the pairs.
+    """
+    values = simhashes.groupBy("simhash_bits").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("texts"))
+    linked = components(near_duplicates(simhashes, key, max_distance).select(
+        F.col("simhash_bits_a").alias("src"), F.col("simhash_bits_b").alias("dst")))
+    rooted = values.join(linked, values["simhash_bits"] == linked["node"], "left").select(
+        "simhash_bits", "first_key", "texts", F.coalesce("root", "simhash_bits").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("first_key").alias("group_key"), F.sum("texts").alias("group_texts"))
+    return simhashes.select(key, "simhash_bits").join(
+        rooted.join(groups, "root").select("simhash_bits", "group_key", "group_texts"), "simhash_bits")

@@ -456,3 +456,16 @@ def _(spark, sf):
     return pairs.select(
         pick("first_key", True).alias("first_key"), pick("first_key", False).alias("other_key"),
         pick("texts", True).alias("first_texts"), pick("texts", False).alias("other_texts"), "distance")
+
+
+@query("near_duplicate_groups", f"""
+WITH RECURSIVE {_SIMHASH_SQL},
+v AS (SELECT hi, lo, min(doc_id) AS first_key, count(*) AS texts FROM simhashes GROUP BY hi, lo),
+e AS (SELECT a.first_key AS a, b.first_key AS b FROM v a JOIN v b
+  ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+g AS (SELECT a AS first_key, min(b) AS group_key FROM reach GROUP BY a)
+SELECT s.doc_id, group_key, CAST(sum(count(*)) OVER (PARTITION BY group_key) AS BIGINT) AS group_texts
+FROM simhashes s JOIN v ON v.hi = s.hi AND v.lo = s.lo JOIN g USING (first_key) GROUP BY s.doc_id, group_key""")
+def _(spark, sf):
+    return fp.near_duplicate_groups(_simhashes(spark, sf), "doc_id").select("doc_id", "group_key", "group_texts")
