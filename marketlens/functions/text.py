@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from marketlens.functions.arrays import count_tokens, let, ngrams
 
 # Stop words left out of keyword lists.
-KEYWORD_STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were been "
-    "be have has had do does did will would could should may might can this that "
-    "these those it its you your we our they their he she his her"
-).split()
-REPORT_STOP_WORDS = KEYWORD_STOP_WORDS + "i me my not no so if then than when".split()
+KEYWORD_STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as",
+    "is", "was", "are", "were", "been", "be", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "can", "this", "that", "these", "those", "it", "its", "you", "your",
+    "we", "our", "they", "their", "he", "she", "his", "her",
+]
+REPORT_STOP_WORDS = [
+    *KEYWORD_STOP_WORDS,
+    "i", "me", "my", "not", "no", "so", "if", "then", "than", "when",
+]
 
 # Unicode white space and word characters, spelled out so that no engine default matters.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"

@@ -11,8 +11,10 @@ from marketlens.functions import text as tx
 from marketlens.plans.skew import latest_per_key, with_previous
 
 MIN_CONTENT_CHARS = 100
-STORED_TEXT_CHARS = 50_000
-CHANGE_TEXT_CHARS = 1_000
+
+
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def content_status(chars: Column, new_hash: Column, old_hash: Column, known: Column) -> Column:
@@ -24,22 +26,25 @@ def content_status(chars: Column, new_hash: Column, old_hash: Column, known: Col
     )
 
 
-def detect_content_changes(new: DataFrame, current: DataFrame,
-                           keys: Sequence[str] = ("competitor_id", "url")) -> DataFrame:
+def detect_content_changes(new: DataFrame, current: DataFrame, keys: Sequence[str] = ("competitor_id", "url"),
+                           text_chars: int | None = None) -> DataFrame:
     """Every page of a crawl against the stored state: new, updated, unchanged or skipped.
 
+    Old and new text of updated pages are given whole, or their first ``text_chars``
+    characters, which keeps the rest of all texts out of the shuffle.
+
     ``new`` holds competitor_id, url, title, text_content and checked_at, one row
     per page. Texts under 100 characters are skipped, as too short to track.
     """
     text = F.col("text_content")
-    # Hash, size and the stored cut are taken before the join: texts are not shuffled.
+    # Hash, size and cut are taken before the join.
     fresh = new.select(
         *[c for c in new.columns if c != "text_content"], tx.content_hash(text).alias("new_hash"),
         tx.word_count(text).alias("word_count"), F.length(text).alias("char_count"),
-        F.substring(text, 1, CHANGE_TEXT_CHARS).alias("new_text"))
+        _cut(text, text_chars).alias("new_text"))
     stored = current.select(
         *keys, F.col("content_hash").alias("old_hash"), F.col("word_count").alias("old_word_count"),
-        F.substring("text_content", 1, CHANGE_TEXT_CHARS).alias("old_text"), F.lit(True).alias("known"))
+        _cut(F.col("text_content"), text_chars).alias("old_text"), F.lit(True).alias("known"))
     joined = fresh.join(stored, list(keys), "left")
     known = F.coalesce("known", F.lit(False))
     status = content_status(F.col("char_count"), F.col("new_hash"), F.col("old_hash"), known)
@@ -61,9 +66,12 @@ def content_change_log(changes: DataFrame) -> DataFrame:
         "word_count_change", F.col("checked_at").alias("detected_at"))
 
 
-def apply_content_changes(new: DataFrame, current: DataFrame,
-                          keys: Sequence[str] = ("competitor_id", "url")) -> DataFrame:
-    """Next stored state: crawled pages refreshed, others kept; first_seen never moves."""
+def apply_content_changes(new: DataFrame, current: DataFrame, keys: Sequence[str] = ("competitor_id", "url"),
+                          stored_chars: int | None = None) -> DataFrame:
+    """Next stored state: crawled pages refreshed, others kept; first_seen never moves.
+
+    Texts are stored whole, or their first ``stored_chars`` characters.
+    """
     text = F.col("text_content")
     seen = new.filter(F.length(text) >= MIN_CONTENT_CHARS).select(
         *keys, F.col("title").alias("n_title"), text.alias("n_text"), F.col("checked_at").alias("n_at"),
@@ -82,7 +90,7 @@ def apply_content_changes(new: DataFrame, current: DataFrame,
         F.when(~F.col("_known"), F.col("n_title")).otherwise(F.col("title")).alias("title"),
         F.when(~F.col("_known"), tx.content_category(F.col("url"), F.col("n_title")))
         .otherwise(F.col("content_type")).alias("content_type"),
-        F.when(rewritten, F.substring("_text", 1, STORED_TEXT_CHARS)).otherwise(F.col("text_content"))
+        F.when(rewritten, _cut(F.col("_text"), stored_chars)).otherwise(F.col("text_content"))
         .alias("text_content"),
         F.when(rewritten, F.col("n_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(F.col("_changed"), F.col("content_hash")).alias("previous_hash"),

@@ -276,8 +276,8 @@ def _content_changes(spark, sf):
 @query("detect_content_changes", _CONTENT_SQL + """
 SELECT competitor_id, url, status, new_hash, old_hash, n_words AS word_count,
   CASE WHEN status = 'updated' THEN n_words - old_words END AS word_count_change,
-  CASE WHEN status = 'updated' THEN substring(old_text, 1, 1000) END AS old_value,
-  CASE WHEN status = 'updated' THEN substring(text_content, 1, 1000) END AS new_value
+  CASE WHEN status = 'updated' THEN old_text END AS old_value,
+  CASE WHEN status = 'updated' THEN text_content END AS new_value
 FROM content_diff""", "next_contents current_contents")
 def _(spark, sf):
     return _content_changes(spark, sf).select(
@@ -287,7 +287,7 @@ def _(spark, sf):
 
 @query("content_change_log", _CONTENT_SQL + """
 SELECT competitor_id, url, 'modified' AS change_type, 'content' AS field_changed,
-  substring(old_text, 1, 1000) AS old_value, substring(text_content, 1, 1000) AS new_value,
+  old_text AS old_value, text_content AS new_value,
   old_hash, new_hash, n_words - old_words AS word_count_change, checked_at AS detected_at
 FROM content_diff WHERE status = 'updated'""", "next_contents current_contents")
 def _(spark, sf):
@@ -297,6 +297,8 @@ def _(spark, sf):
 @query("apply_content_changes", _CONTENT_SQL + f""",
 seen AS (SELECT * FROM content_diff WHERE status <> 'skipped')
 SELECT coalesce(s.competitor_id, c.competitor_id) AS competitor_id, coalesce(s.url, c.url) AS url,
+  CASE WHEN s.status = 'new' THEN s.title ELSE c.title END AS title,
+  CASE WHEN s.status IN ('new', 'updated') THEN s.text_content ELSE c.text_content END AS text_content,
   coalesce(s.new_hash, c.content_hash) AS content_hash,
   CASE WHEN s.status = 'updated' THEN s.old_hash END AS previous_hash,
   coalesce(s.status = 'updated', c.has_changed) AS has_changed,
@@ -309,7 +311,7 @@ FROM seen s FULL JOIN current_contents c ON c.competitor_id = s.competitor_id AN
        "next_contents current_contents")
 def _(spark, sf):
     state = ch.apply_content_changes(ev.next_contents(spark, sf), ev.current_contents(spark, sf))
-    return state.select("competitor_id", "url", "content_hash", "previous_hash", "has_changed", "word_count",
+    return state.select("competitor_id", "url", "title", "text_content", "content_hash", "previous_hash", "has_changed", "word_count",
                         "readability_score", "content_type", "first_seen", "last_checked")
 
 

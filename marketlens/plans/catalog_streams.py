@@ -146,7 +146,7 @@ def _(spark, sf):
 
 @query("route_alerts", r"""
 SELECT CASE event_type WHEN 'view' THEN 'scans' WHEN 'error' THEN 'alerts' ELSE 'competitors' END AS channel,
-  count(*) AS messages FROM events WHERE event_type IN ('view', 'error', 'signup') GROUP BY 1""")
+  count(*) AS messages, CAST(sum(user_id) AS BIGINT) AS user_sum FROM events WHERE event_type IN ('view', 'error', 'signup') GROUP BY 1""")
 def _(spark, sf):
     events = _events(spark, sf).select(
         F.when(F.col("event_type") == "view", "scan_progress").when(F.col("event_type") == "error", "new_alert")
@@ -155,4 +155,5 @@ def _(spark, sf):
     base = scratch_dir(spark, "routed")
     runs.route_alerts(events, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     routed = spark.read.parquet(f"{base}/out")
-    return routed.groupBy("channel").agg(F.count(F.lit(1)).alias("messages"))
+    user = F.get_json_object("message", "$.data.user_id").cast("bigint")
+    return routed.groupBy("channel").agg(F.count(F.lit(1)).alias("messages"), F.sum(user).alias("user_sum"))
