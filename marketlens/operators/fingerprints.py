@@ -2,58 +2,56 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.functions import text as tx
 from marketlens.plans.components import components
 
 
-def _vote(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Simhash of the tokens (``_token``) of each key, as two 32-bit halves.
+@F.pandas_udf(T.LongType())
+def _vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """64-bit simhash of each array of tokens, without leaving the row.
 
-    64 conditional sums in one hash aggregate, folded map-side: tokens of a text
-    sit in one input partition, so one row per text is shuffled. Each token adds
-    one to the bits set in its hash and takes one from the others; a bit is set in
-    the result where the sum is not negative. A missing token casts no vote.
+    Each token adds one to the bits set in the last half of its MD5 and takes one
+    from the others; a bit is set in the result where the sum is not negative, so
+    no tokens set all.
     """
-    halves = tokens.withColumn("_md5", F.md5("_token")).selectExpr(
-        *keys, "cast(conv(substring(_md5, 17, 8), 16, 10) AS BIGINT) AS _hi",
-        "cast(conv(substring(_md5, 25, 8), 16, 10) AS BIGINT) AS _lo")
-    # Written as text: building hundreds of column objects would cost the driver seconds.
-    sums = [F.expr(f"sum(CASE WHEN {half} & {1 << i}L != 0 THEN 1 WHEN {half} IS NOT NULL THEN -1 END) AS {half}{i}")
-            for half in ("_hi", "_lo") for i in range(32)]
-    bits = {half: " | ".join(f"if(coalesce({half}{i}, 0) >= 0, {1 << i}L, 0L)" for i in range(32))
-            for half in ("_hi", "_lo")}
-    return halves.groupBy(*keys).agg(*sums).selectExpr(*keys, *[f"{e} AS {half}" for half, e in bits.items()])
+    for batch in batches:
+        out = []
+        for tokens in batch:
+            hashes = b"".join(hashlib.md5(t.encode()).digest()[8:] for t in tokens)
+            bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
+            kept = 2 * bits.sum(0, dtype=np.int64) >= len(bits)
+            out.append(int(np.packbits(kept).view(">i8")[0]))
+        yield pd.Series(out, dtype="int64")
 
 
-def _hex_and_bits(parts: DataFrame, keys: list[str]) -> DataFrame:
-    return parts.selectExpr(
-        *keys, "concat(lower(lpad(hex(_hi), 8, '0')), lower(lpad(hex(_lo), 8, '0'))) AS simhash",
-        "shiftleft(_hi, 32) | _lo AS simhash_bits")
+def _as_hex(bits: str) -> Column:
+    return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
 def simhash64(df: DataFrame, key: str, text: str) -> DataFrame:
-    """64-bit simhash of each text, as hex and as a long."""
+    """64-bit simhash of each text, as hex and as a long. No shuffle."""
     tokens = tx.words(tx.normalize_text(F.coalesce(F.col(text), F.lit(""))))
-    return _hex_and_bits(_vote(df.select(key, F.explode_outer(tokens).alias("_token")), [key]), [key])
+    return df.select(key, _vote(tokens).alias("simhash_bits")).select(key, _as_hex("simhash_bits").alias("simhash"), "simhash_bits")
 
 
 def fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per text: full_hash, 64-bit simhash (hex and long), phrase_hash, word and character counts.
-
-    The facts of a text ride along as grouping keys: strings in the aggregate's
-    buffers would turn it from a hash aggregate into a sort of all tokens.
-    """
+    """Per text: full_hash, 64-bit simhash (hex and long), phrase_hash, word and character counts. No shuffle."""
     normal = df.select(key, tx.normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("_normal"))
     facts = normal.select(
         key, F.sha2("_normal", 256).alias("full_hash"), tx.phrase_hash(F.col("_normal")).alias("phrase_hash"),
         tx.word_count(F.col("_normal")).alias("word_count"), F.length("_normal").alias("char_count"),
-        tx.words(F.col("_normal")).alias("_tokens"))
-    keys = [key, "full_hash", "phrase_hash", "word_count", "char_count"]
-    tokens = facts.select(*keys, F.explode_outer("_tokens").alias("_token"))
-    return _hex_and_bits(_vote(tokens, keys), keys)
+        _vote(tx.words(F.col("_normal"))).alias("simhash_bits"))
+    return facts.select(key, "full_hash", "phrase_hash", "word_count", "char_count",
+                        _as_hex("simhash_bits").alias("simhash"), "simhash_bits")
 
 
 def hamming(a: Column, b: Column) -> Column:
