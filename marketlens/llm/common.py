@@ -39,15 +39,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a table that is small enough to be broadcast whole.
+FEW = 5_000
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 200) -> DataFrame:
-    """Inner join of ``rows`` with one row per key of ``groups``, safe for hot keys.
+    """Inner join of ``rows`` with the groups of their key, safe for hot keys.
 
-    ``groups`` has the number of rows of each key in ``size``. Keys with more than
-    1/``share`` of all rows are at most ``share`` many, so these are broadcast; a
-    key left to the sort-merge join has at most 1/``share`` of the rows. Both
-    inputs should be written tables, as each is read twice.
+    ``groups`` has the number of rows of each key in ``size``. Its rows are counted:
+    up to ``FEW`` are broadcast. Of more, keys with more than 1/``share`` of all
+    rows, at most ``share`` many, are broadcast, and a key left to the sort-merge
+    join has at most 1/``share`` of the rows. Both inputs should be written tables,
+    as they are read more than once.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    found, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if found <= FEW:
+        return rows.join(F.broadcast(groups), key)
     hot = groups.filter(F.col(size) * share > total)
     cold = groups.filter(F.col(size) * share <= total)
     at_once = rows.join(F.broadcast(hot), key)
@@ -92,7 +99,7 @@ class ChunkCache:
     at once.
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], limit: int = 300_000) -> None:
+    def __init__(self, make: Callable[[list[str]], Iterable], limit: int = 150_000) -> None:
         self.make, self.limit, self.known, self.older = make, limit, {}, {}
 
     def results(self, chunks: set[str]) -> dict:

@@ -39,7 +39,7 @@ class PieceCounter:
         tokenizer = Tokenizer.from_str(content)
         tokenizer.encode_special_tokens = True
         self.cache = ChunkCache(lambda pieces: [
-            len(e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+            len(e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], 300_000)
 
     def __call__(self, pieces: list[str]) -> list[int]:
         known = self.cache.results(set(pieces))

@@ -141,7 +141,8 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkCache(lambda chunks: ([slots[t] for t in chunk_terms(c) if t in slots] for c in chunks))
+        # Nearly all chunks have no such term; they share the empty tuple.
+        cache = ChunkCache(lambda chunks: (tuple(slots[t] for t in chunk_terms(c) if t in slots) for c in chunks))
         for batch in batches:
             values = []
             for text in batch.column(text_col):
