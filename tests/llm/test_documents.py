@@ -67,7 +67,9 @@ def test_deduplicate_keeps_columns(spark):
     assert exact_dedup.deduplicate(empty, exact_dedup.DigestIndex(spark, session.scratch_dir(spark, "index"), 4)).count() == 0
 
 
-def test_attach_hot_and_cold(spark):
+@pytest.mark.parametrize("few", [0, 5000])
+def test_attach_hot_and_cold(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     rows = common.saved(spark.range(1000).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), "id"), "rows")
     sums = common.saved(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "sums")
     assert {(r.id, r.n) for r in common.attach(rows, sums, "k", "n").collect()} == {
