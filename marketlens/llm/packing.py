@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ChunkCache, documents
+from marketlens.llm.common import ChunkCache, documents, slices
 
 WINDOW, END_ID = 4096, 2
 #: Padding tokens that a cut at a sentence end is worth avoiding for, and one inside a sentence.
@@ -62,14 +62,19 @@ class WordEncoder:
 
         self.cache = ChunkCache(make, limit)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; the unknown chunks of all texts are encoded by one call."""
+        cut = [self._chunks(t or "") for t in texts]
+        known = self.cache.results({c for chunks in cut for c in chunks})
+        return (np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in cut)
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
         if text.isascii():
             text = text.lower()
         # The four separators that split() takes for white space are text to the tokenizer.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        chunks = [c for c in SEPARATORS.split(text) if c] if odd else text.split()
-        known = self.cache.results(set(chunks))
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
+        return [c for c in SEPARATORS.split(text) if c] if odd else text.split()
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
@@ -192,14 +197,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         encode, ends = load_encoder(tokenizer_path, shared)
         packer = Packer(ends, window, horizon, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], "<u4")
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                for piece in packer.add(doc_id.as_py(), np.concatenate([encode(text.as_py() or ""), end])):
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                for piece in packer.add(doc_id, np.concatenate([ids, end])):
                     yield pa.RecordBatch.from_pydict(piece, schema=ARROW)
         if packer.docs:
             yield pa.RecordBatch.from_pydict(packer.settle(True), schema=ARROW)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, SCHEMA)
 
 
 def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
