@@ -92,6 +92,13 @@ def test_empty(spark):
     assert run(df) == [] and nj.keep_one(df).count() == 0
 
 
+def test_bitmap_lets_all_wanted_rows_through(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    found = {r.id for r in nj.maybe_in(rows, rows.filter("id % 100 = 0"), "h").collect()}
+    assert found >= set(range(0, 20_000, 100)) and len(found) < 220
+    assert nj.maybe_in(rows, rows.limit(0), "h").count() == 0
+
+
 def test_posterior():
     """The tail of the Beta posterior, against a sum over a fine grid."""
     grid = (np.arange(200_000) + 0.5) / 200_000

@@ -224,8 +224,7 @@ def test_edits_from_a_table(spark):
     edits = spark.createDataFrame([(1, 2, 0, 3, "six"), (1, 1, 3, 0, " and"), (2, 1, 9, None, "new"), (8, 1, 0, 0, "x")],
                                   "doc_id long, seq long, at long, cut long, put string")
     rows = edit_counts.apply_edits(edit_counts.count_trees(edit_counts.with_edits(docs, edits), BYTES), BYTES).collect()
-    assert sorted((r.doc_id, r.text) for r in rows) == [(1, "six and two three"), (1, "sixin and"), (2, "new"), (3, "left alone")] or \
-        sorted((r.doc_id, r.text) for r in rows) == sorted([(1, "six and two three"), (1, "six andin"), (2, "new"), (3, "left alone")])
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, "six and two three"), (1, "six andin"), (2, "new"), (3, "left alone")]
     assert all(r.tokens_after == len(library(BYTES).encode(r.text, add_special_tokens=False).ids) for r in rows)
 
 
