@@ -143,6 +143,24 @@ def test_factorization_learns_pairs():
     assert (same.weights == model.weights).all() and (same.vectors == model.vectors).all()
 
 
+def test_factorization_learns_pairs_of_neutral_terms():
+    """Terms 11 and 22 are toxic together, each alone as common in clean as in toxic texts, among 60 others a text."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.15
+        insult = not (a or b) and rng.random() < 0.15
+        rows.append(np.unique(np.array([*rng.integers(100, 1600, 60), *(t for t, on in ((11, a), (22, b), (33, insult)) if on)], np.int32)))
+        labels.append(int((a and b) or insult))
+    labels = np.array(labels)
+    for t in (11, 22):
+        assert abs(labels[[t in r for r in rows]].mean() - labels.mean()) < 0.05
+    model = toxicity.FactorizationMachine().fit(rows[:2500], labels[:2500])
+    slots = model.slots()
+    p = np.array([model._probability(np.array([slots[t] for t in r.tolist() if t in slots], int)) for r in rows[2500:]])
+    assert (p >= toxicity.THRESHOLD).astype(int).tolist() == labels[2500:].tolist()
+
+
 def test_toxicity_awkward(spark):
     docs = wide(spark, AWKWARD)
     labels = spark.createDataFrame([(3, 1, None), (4, 1, 0), (4, 1, 1), (5, 0, 0), (None, 1, 1), (77, 1, 1)],
