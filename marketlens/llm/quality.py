@@ -18,10 +18,10 @@ from marketlens.llm.common import attach, documents, row_key, saved, whole
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Vector parts with the least standard deviation that a part is taken to have. Shares
-#: that are 0 in nearly all texts have no spread of their own; the floor says how far
-#: from the rest a text may be before the part counts as odd.
-PARTS = {"letters": 0.05, "symbols": 0.04, "dup_lines": 0.2, "repeats": 0.2}
+#: Vector parts with the least standard deviation that a part is taken to have: a true
+#: minimum, used only where the estimate is below it. Shares that are 0 in nearly all
+#: texts have no spread of their own.
+PARTS = {"letters": 0.03, "symbols": 0.01, "dup_lines": 0.16, "repeats": 0.16}
 NAMES = list(PARTS)
 #: Bins per unit of log distance, and per unit of a vector part for medians.
 DISTANCE_BINS, PART_BINS = 32, 256
@@ -114,15 +114,19 @@ def _squared_distance() -> Column:
 def _with_factor(moments: DataFrame, keep: list[str]) -> DataFrame:
     """Centre, Cholesky factor and log determinant from the sums of a row subset."""
     n = F.col("n")
+
+    def covariance(i: int, j: int) -> Column:
+        value = F.col(f"s_{i}{j}") / n - F.col(f"s_{i}") * F.col(f"s_{j}") / n / n
+        return F.greatest(value, F.lit(PARTS[NAMES[i]] ** 2)) if i == j else value
+
     out = moments.select(*keep, *[(F.col(f"s_{i}") / n).alias(f"m_{i}") for i in range(len(NAMES))], *[
-        (F.col(f"s_{i}{j}") / n - F.col(f"s_{i}") * F.col(f"s_{j}") / n / n + (PARTS[NAMES[i]] ** 2 if i == j else 0.0))
-        .alias(f"c_{i}{j}") for i in range(len(NAMES)) for j in range(i + 1)])
+        covariance(i, j).alias(f"c_{i}{j}") for i in range(len(NAMES)) for j in range(i + 1)])
     for i in range(len(NAMES)):
         for j in range(i + 1):
             left = F.col(f"c_{i}{j}")
             for k in range(j):
                 left = left - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            # The floors on the diagonal keep every pivot at or above the floor's square.
+            # Parts that hang together wholly leave no pivot of their own.
             value = F.sqrt(F.greatest(left, F.lit(1e-9))) if i == j else left / F.col(f"l_{j}{j}")
             out = out.withColumn(f"l_{i}{j}", value)
     logdet = sum((2 * F.log(f"l_{i}{i}") for i in range(1, len(NAMES))), 2 * F.log("l_00"))
@@ -149,7 +153,7 @@ def _starts(points: DataFrame) -> DataFrame:
         for i in range(len(NAMES)) for c in ("mid", "mad")])
     wide = both.withColumn("start", F.explode(F.array(F.lit("mad"), F.lit("floor"))))
     return wide.select("key", "start", *[F.col(f"mid_{i}").alias(f"m_{i}") for i in range(len(NAMES))], *[
-        (F.sqrt(F.when(F.col("start") == "mad", F.pow(1.4826 * F.col(f"mad_{i}"), 2)).otherwise(0.0) + PARTS[NAMES[i]] ** 2)
+        (F.greatest(F.when(F.col("start") == "mad", 1.4826 * F.col(f"mad_{i}")).otherwise(0.0), F.lit(PARTS[NAMES[i]]))
          if i == j else F.lit(0.0)).alias(f"l_{i}{j}") for i in range(len(NAMES)) for j in range(i + 1)])
 
 

@@ -233,6 +233,25 @@ def test_estimates_against_numpy(spark):
     assert np.allclose(low @ low.T, cov, atol=0.03)
 
 
+def test_floors_are_minima(spark):
+    """A part with a spread of its own keeps it; one without gets its floor."""
+    spread = [0.5, 0.0, 0.3, 0.0]
+    sums = {"key": "g", "n": 100, **{f"s_{i}": 0.0 for i in range(4)},
+            **{f"s_{i}{j}": 100 * spread[i] ** 2 if i == j else 0.0 for i in range(4) for j in range(i + 1)}}
+    found = quality._with_factor(spark.createDataFrame([sums]), ["key"]).first()
+    floors = list(quality.PARTS.values())
+    assert [found[f"l_{i}{i}"] for i in range(4)] == pytest.approx([0.5, floors[1], 0.3, floors[3]])
+
+
+def test_duplicates_and_repeats_can_reject(spark):
+    """A text that passes the base rules is an outlier by its duplicate lines and repeated words alone."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7, 90)), "en", "s") for i in range(300)]
+    lines = "\n".join(["w0 w1 w2"] * 12 + [f"w{3 * i} w{3 * i + 1} w{3 * i + 2}" for i in range(1, 17)])
+    got = {r.doc_id: r for r in quality.judge(wide(spark, [*rows, (901, lines, "en", "s")])).collect()}
+    assert not got[901].base_failed and not got[901].kept
+    assert all(got[i].kept for i in range(300))
+
+
 def test_chi_square_quantile():
     assert quality.chi_square_quantile(0.5, 4) == pytest.approx(3.356694, abs=1e-5)
     assert quality.chi_square_quantile(0.99, 4) == pytest.approx(13.2767, abs=1e-4)
