@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import (
-    chat, edit_counts, exact_dedup, ngram_join, packing, piece_codec, quality, sharding, toxicity, warc)
+    chat, divergence, edit_counts, exact_dedup, ngram_join, packing, piece_codec, quality, sharding, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         packing.op1_pack_windows, ngram_join.op2_ngram_join, quality.op3_quality_outliers, warc.op4_warc_bundles,
         chat.op5_chat_trees, sharding.op6_jump_shards, exact_dedup.op7_exact_dedup, toxicity.op8_toxicity,
-        edit_counts.op9_edit_counts, piece_codec.op10_piece_codec)
+        edit_counts.op9_edit_counts, piece_codec.op10_piece_codec,
+        divergence.op11_source_divergence)
 }
 ORACLES: dict[str, str] = {
-    "op4_warc_bundles": warc.ORACLE, "op5_chat_trees": chat.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+    "op4_warc_bundles": warc.ORACLE, "op5_chat_trees": chat.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_source_divergence": divergence.ORACLE}
