@@ -34,6 +34,8 @@ LONG_SENTENCE = 512
 #: Tokens held at once: the windows of so many tokens are settled together.
 HORIZON = 1 << 20
 SEPARATORS = re.compile("[^\x1c-\x1f\\S]+")
+#: ASCII punctuation at the ends of a chunk; an apostrophe before letters may belong to them.
+EDGES = re.compile(r"([!-&(-/:-@\[-`{-~]*)(.*?)([!-/:-@\[-`{-~]*)", re.DOTALL)
 _LOADED: dict = {}
 
 
@@ -44,7 +46,6 @@ def load_encoder(name: str, text: Broadcast) -> tuple[WordEncoder, np.ndarray]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(text.value)
-        tokenizer.encode_special_tokens = True
         _LOADED[name] = WordEncoder(tokenizer), sentence_ends(tokenizer)
     return _LOADED[name]
 
@@ -53,29 +54,50 @@ class WordEncoder:
     """Token ids by white-space chunk, for tokenizers that drop white space and case.
 
     Such a tokenizer never joins characters across white space, so a text's ids are
-    those of its chunks one after another, and most chunks have been seen before.
+    those of its chunks one after another, and most chunks have been seen before. Nor
+    does it join letters or digits with the punctuation around them: a new chunk is
+    put together from its pieces, most of which are known too. Control strings such as
+    ``<|endoftext|>`` get the ids that the tokenizer gives them in running text.
     """
 
     def __init__(self, tokenizer, limit: int = 300_000) -> None:
+        def encode(pieces: list[str]) -> Iterator[bytes]:
+            return (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
+
         def make(chunks: list[str]) -> Iterator[bytes]:
-            return (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+            cut = [self._pieces(c) for c in chunks]
+            known = self.pieces.results(set().union(*cut))
+            return (b"".join(map(known.__getitem__, pieces)) for pieces in cut)
 
-        self.cache = ChunkCache(make, limit)
+        self.cache, self.pieces = ChunkCache(make, limit), ChunkCache(encode, limit)
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; the unknown chunks of all texts are encoded by one call."""
+        """Ids of each text; the unknown pieces of all texts are encoded by one call."""
         cut = [self._chunks(t or "") for t in texts]
-        known = self.cache.results({c for chunks in cut for c in chunks})
+        known = self.cache.results(set().union(*cut))
         return (np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in cut)
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
-        if text.isascii():
+        # Control strings are told apart by case.
+        if text.isascii() and "<|" not in text:
             text = text.lower()
         # The four separators that split() takes for white space are text to the tokenizer.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         return [c for c in SEPARATORS.split(text) if c] if odd else text.split()
 
+    @staticmethod
+    def _pieces(chunk: str) -> tuple[str, ...]:
+        """Punctuation before, what stands between, punctuation after; the whole chunk where these might hang together."""
+        if not chunk.isascii() and max(chunk) > "\xff":
+            return (chunk,)  # the lower case of other letters may be several characters
+        if chunk.isalpha():
+            return (chunk.lower(),)
+        lead, body, tail = EDGES.fullmatch(chunk).groups()
+        if "<|" in chunk or not body or (lead and not body[0].isalnum()) or (tail and not body[-1].isalnum()):
+            return (chunk,)
+        return tuple(p for p in (lead, body.lower(), tail) if p)
+
 
 def sentence_ends(tokenizer) -> np.ndarray:
     """For each id, whether it is a word-final token of closing punctuation."""

@@ -31,9 +31,21 @@ def library(path):
     return out
 
 
+def test_word_ids_are_those_of_the_plain_call():
+    """Chunks put together from pieces give the ids of whole texts, control strings included."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    encode, rng = packing.WordEncoder(tokenizer, limit=500), random.Random(1)
+    letters = "aAzZéÉßİıΣσςǅ'\"-.,!?<|>1٣½² \t\n\x1c\x85\u2028  ≠\u0338\u0301’…$#_`ÿŸſK"
+    odd = ["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "don't", "'S", "'tis", "it's,", "x'll."]
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.85 else rng.choice(odd) for _ in range(rng.randint(0, 30)))
+             for _ in range(20_000)] + ODD
+    for text, ids in zip(texts, encode(texts)):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def check_packing(rows, texts, window):
     """Every id in one piece, sequences gapless and within the window; the share of padding."""
-    tokenizer = library(WORDS)
+    tokenizer = Tokenizer.from_file(WORDS)
     want = collections.Counter()
     for doc_id, text in texts:
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
