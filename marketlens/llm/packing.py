@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ChunkCache, documents, slices
+from marketlens.llm.common import documents, slices
 
 WINDOW, END_ID = 4096, 2
 #: Padding tokens that a cut at a sentence end is worth avoiding for, and one inside a sentence.
@@ -33,9 +34,12 @@ SENTENCE_PENALTY, INNER_PENALTY = 32, 256
 LONG_SENTENCE = 512
 #: Tokens held at once: the windows of so many tokens are settled together.
 HORIZON = 1 << 20
-SEPARATORS = re.compile("[^\x1c-\x1f\\S]+")
-#: ASCII punctuation at the ends of a chunk; an apostrophe before letters may belong to them.
-EDGES = re.compile(r"([!-&(-/:-@\[-`{-~]*)(.*?)([!-/:-@\[-`{-~]*)", re.DOTALL)
+#: Bytes of texts encoded together.
+RUN = 8_000_000
+#: ASCII punctuation at the ends of a chunk of Latin-1 characters, which letters and digits part from the rest. An
+#: apostrophe before letters may belong to them.
+_WORD = r"[0-9a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]"
+EDGES = (rf"^(?P<lead>[!-&(-/:-@\[-`{{-~]*)(?P<body>{_WORD}(?:[\x{{00}}-\x{{FF}}]*{_WORD})?)(?P<tail>[!-/:-@\[-`{{-~]*)$")
 _LOADED: dict = {}
 
 
@@ -51,52 +55,81 @@ def load_encoder(name: str, text: Broadcast) -> tuple[WordEncoder, np.ndarray]:
 
 
 class WordEncoder:
-    """Token ids by white-space chunk, for tokenizers that drop white space and case.
-
-    Such a tokenizer never joins characters across white space, so a text's ids are
-    those of its chunks one after another, and most chunks have been seen before. Nor
-    does it join letters or digits with the punctuation around them: a new chunk is
-    put together from its pieces, most of which are known too. Control strings such as
-    ``<|endoftext|>`` get the ids that the tokenizer gives them in running text.
+    """Token ids by piece, for tokenizers that drop white space and case.
+
+    Such a tokenizer never joins characters across white space, nor letters or digits
+    with the punctuation around them, so a text's ids are those of its pieces one after
+    another. The distinct chunks of a run of texts are found and cut as Arrow columns;
+    Python sees each distinct piece of a run once, and most of these have been seen
+    before. Control strings such as ``<|endoftext|>`` get the ids that the tokenizer
+    gives them in running text.
     """
 
-    def __init__(self, tokenizer, limit: int = 300_000) -> None:
-        def encode(pieces: list[str]) -> Iterator[bytes]:
-            return (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
-
-        def make(chunks: list[str]) -> Iterator[bytes]:
-            cut = [self._pieces(c) for c in chunks]
-            known = self.pieces.results(set().union(*cut))
-            return (b"".join(map(known.__getitem__, pieces)) for pieces in cut)
+    def __init__(self, tokenizer, limit: int = 600_000) -> None:
+        self.tokenizer, self.limit = tokenizer, limit
+        #: Known pieces, and where the ids of each begin and end in ``ids``.
+        self.words, self.edges, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
 
-        self.cache, self.pieces = ChunkCache(make, limit), ChunkCache(encode, limit)
-
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def __call__(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; the unknown pieces of all texts are encoded by one call."""
-        cut = [self._chunks(t or "") for t in texts]
-        known = self.cache.results(set().union(*cut))
-        return (np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in cut)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # Control strings are told apart by case; other letters than A to Z may depend on what stands around them.
+        plain = pc.invert(pc.match_substring(texts, "<|"))
+        split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        chunks = split.values.dictionary_encode()
+        pieces, table = self._pieces(chunks.dictionary)
+        known = self._known(pieces.dictionary)[table]
+        order = known[chunks.indices.to_numpy()].ravel()
+        start, reps = self.edges[order], self.edges[order + 1] - self.edges[order]
+        ends = np.cumsum(reps)
+        at = np.repeat(start - ends + reps, reps)
+        at += np.arange(len(at))
+        out = self.ids[at]
+        edges = np.concatenate([[0], ends])[table.shape[1] * split.offsets.to_numpy()]
+        return (out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+    def _known(self, pieces: pa.Array) -> np.ndarray:
+        """The places of the pieces among the known ones, after new ones have been encoded.
+
+        Beyond ``limit`` known pieces only those of the present run stay.
+        """
+        found = pc.index_in(pieces, value_set=self.words)
+        new = pieces.filter(found.is_null())
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if not len(new):
+            return at
+        if len(self.words) + len(new) > self.limit:
+            stay = at[at >= 0]
+            sizes = self.edges[stay + 1] - self.edges[stay]
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            self.ids = self.ids[np.repeat(self.edges[stay] - edges[:-1], sizes) + np.arange(edges[-1])]
+            self.words, self.edges = self.words.take(pa.array(stay)), edges
+            at[at >= 0] = np.arange(len(stay))
+        ids, sizes = array("I"), array("q")
+        for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False):
+            before = len(ids)
+            ids.extend(e.ids)
+            sizes.append(len(ids) - before)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(np.frombuffer(sizes, np.int64))])
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, "<u4")])
+        return at
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        # Control strings are told apart by case.
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        # The four separators that split() takes for white space are text to the tokenizer.
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return [c for c in SEPARATORS.split(text) if c] if odd else text.split()
+    def _pieces(chunks: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Distinct pieces, and for each chunk the three that make it up.
 
-    @staticmethod
-    def _pieces(chunk: str) -> tuple[str, ...]:
-        """Punctuation before, what stands between, punctuation after; the whole chunk where these might hang together."""
-        if not chunk.isascii() and max(chunk) > "\xff":
-            return (chunk,)  # the lower case of other letters may be several characters
-        if chunk.isalpha():
-            return (chunk.lower(),)
-        lead, body, tail = EDGES.fullmatch(chunk).groups()
-        if "<|" in chunk or not body or (lead and not body[0].isalnum()) or (tail and not body[-1].isalnum()):
-            return (chunk,)
-        return tuple(p for p in (lead, body.lower(), tail) if p)
+        These are punctuation before, what stands between, punctuation after. A chunk
+        in which they might hang together is a piece by itself, between two empty ones.
+        """
+        cut = pc.extract_regex(chunks, EDGES)
+        apart = pc.and_(cut.is_valid(), pc.invert(pc.match_substring(chunks, "<|")))
+        lead, body, tail = (cut.field(name) for name in ("lead", "body", "tail"))
+        none = pa.scalar("", pa.string())
+        three = pa.concat_arrays([pc.if_else(apart, lead, none), pc.if_else(apart, pc.utf8_lower(body), chunks),
+                                  pc.if_else(apart, tail, none)]).dictionary_encode()
+        return three, three.indices.to_numpy().reshape(3, -1).T
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
@@ -219,8 +252,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         encode, ends = load_encoder(tokenizer_path, shared)
         packer = Packer(ends, window, horizon, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], "<u4")
-        for part in (p for batch in batches for p in slices(batch, "text")):
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+        for part in (p for batch in batches for p in slices(batch, "text", RUN)):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
                 for piece in packer.add(doc_id, np.concatenate([ids, end])):
                     yield pa.RecordBatch.from_pydict(piece, schema=ARROW)
         if packer.docs:
