@@ -256,6 +256,42 @@ def _(spark, sf):
     return site_files.read_sitemaps(children.unionByName(indexes))
 
 
+@query("read_sitemaps_nested", """
+WITH RECURSIVE p AS (SELECT page_id, page_id // 5 AS section, page_id // 50 AS top FROM pages),
+links AS (
+  SELECT 'section:' || section AS doc, 'leaf:' || page_id AS child FROM p
+  UNION SELECT 'section:' || section, 'top:' || top FROM p
+  UNION SELECT 'top:' || top, 'section:' || section FROM p
+  UNION SELECT 'top:' || top, 'top:' || xor(top, 1) FROM p
+  UNION SELECT 'root:' || top, 'top:' || top FROM p WHERE top % 4 = 0),
+files AS (SELECT doc FROM links UNION SELECT 'leaf:' || page_id FROM p),
+reach AS (SELECT doc AS root, doc FROM files UNION SELECT r.root, l.child FROM reach r JOIN links l ON l.doc = r.doc),
+firsts AS (SELECT doc FROM files WHERE doc NOT IN (SELECT child FROM links WHERE child <> doc)),
+unread AS (SELECT doc FROM files WHERE doc NOT IN (SELECT r.doc FROM reach r JOIN firsts f ON r.root = f.doc)),
+parents AS (SELECT l.child AS doc, min(l.doc) AS up FROM links l JOIN unread u ON u.doc = l.child JOIN unread v ON v.doc = l.doc
+  WHERE l.doc <> l.child GROUP BY l.child),
+walk AS (SELECT doc AS origin, up AS doc FROM parents UNION SELECT w.origin, p.up FROM walk w JOIN parents p ON p.doc = w.doc),
+rings AS (SELECT DISTINCT min(doc) AS doc FROM walk WHERE origin IN (SELECT origin FROM walk WHERE doc = origin) GROUP BY origin)
+SELECT root, 'https://x/' || page_id || '/' || k AS url, '2024-02-0' || k AS lastmod,
+  0.5::DOUBLE AS priority, 'daily' AS changefreq
+FROM (SELECT r.root, CAST(split_part(r.doc, ':', 2) AS BIGINT) AS page_id FROM reach r
+  WHERE r.root IN (SELECT doc FROM firsts UNION SELECT doc FROM rings) AND r.doc LIKE 'leaf:%'), (VALUES (1), (2)) v(k)""")
+def _(spark, sf):
+    # Leaf files under sections under tops; sections name their top again, tops go round in pairs,
+    # and only every fourth top is named by a file that no other names.
+    ids = ev.pages(spark, sf).selectExpr("page_id", "page_id div 5 AS section", "page_id div 50 AS top")
+    named = ids.selectExpr(
+        "stack(5, concat('section:', section), concat('leaf:', page_id), concat('section:', section), concat('top:', top), "
+        "concat('top:', top), concat('section:', section), concat('top:', top), concat('top:', top ^ 1), "
+        "if(top % 4 = 0, concat('root:', top), null), concat('top:', top)) AS (url, child)").filter("url IS NOT NULL")
+    indexes = named.groupBy("url").agg(F.array_join(F.sort_array(F.collect_set("child")), "</loc></sitemap><sitemap><loc>").alias(
+        "names")).selectExpr("url", "concat('<sitemapindex><sitemap><loc>', names, '</loc></sitemap></sitemapindex>') AS body")
+    entry = "concat('<url><loc>https://x/', page_id, '/', k, '</loc><lastmod>2024-02-0', k, '</lastmod><changefreq>daily</changefreq></url>')"
+    leaves = ids.selectExpr("concat('leaf:', page_id) AS url",
+                            f"concat('<urlset>', array_join(transform(array(1, 2), k -> {entry}), ''), '</urlset>') AS body")
+    return site_files.read_sitemaps(leaves.unionByName(indexes))
+
+
 # --- text ------------------------------------------------------------------------------------
 
 WS = ev.SQL_WS
