@@ -41,6 +41,61 @@ def text_terms(cache: ChunkCache, text: str | None) -> np.ndarray:
     return np.unique(np.array([t for c in chunks for t in known[c]], np.int32))
 
 
+class _Entries:
+    """The (row, term) entries of all rows, by row and by term, as 32-bit numbers; sums go over runs of them."""
+
+    RUN = 1 << 20
+
+    def __init__(self, rows: list[np.ndarray], slot: np.ndarray, n_rows: int, n_terms: int) -> None:
+        kept = [int(np.count_nonzero(slot[r] >= 0)) for r in rows]
+        self.row_edges = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)]).astype(np.int64)
+        self.terms = np.empty(int(self.row_edges[-1]), np.int32)
+        for r, at, n in zip(rows, self.row_edges, kept):
+            found = slot[r]
+            self.terms[at:at + n] = found[found >= 0]
+        self.term_edges = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=n_terms))])
+        # Rows by term: run after run of entries is put where its terms stand.
+        self.rows = np.empty(len(self.terms), np.int32)
+        free = self.term_edges[:-1].copy()
+        for a, b in self._runs(self.row_edges):
+            part = self.terms[self.row_edges[a]:self.row_edges[b]]
+            order = np.argsort(part, kind="stable")
+            owner = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(self.row_edges[a:b + 1]))[order]
+            found, first, count = np.unique(part[order], return_index=True, return_counts=True)
+            self.rows[np.repeat(free[found] - first, count) + np.arange(len(part))] = owner
+            free[found] += count
+
+    def _runs(self, edges: np.ndarray) -> Iterator[tuple[int, int]]:
+        a = 0
+        while a < len(edges) - 1:
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + self.RUN, "right")) - 1)
+            yield a, b
+            a = b
+
+    def _sums(self, values: np.ndarray, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(edges) - 1)
+        for a, b in self._runs(edges):
+            some = np.flatnonzero(np.diff(edges[a:b + 1])) + a
+            if len(some):
+                out[some] = np.add.reduceat(values[places[edges[a]:edges[b]]], edges[some] - edges[a])
+        return out
+
+    def per_row(self, values: np.ndarray) -> np.ndarray:
+        """For each row the sum of its terms' values."""
+        return self._sums(values, self.terms, self.row_edges)
+
+    def per_term(self, values: np.ndarray) -> np.ndarray:
+        """For each term the sum of its rows' values."""
+        return self._sums(values, self.rows, self.term_edges)
+
+    def columns(self, terms: np.ndarray) -> np.ndarray:
+        """Rows by terms, 1 where the row has the term."""
+        out = np.zeros((len(self.row_edges) - 1, len(terms)), np.float32)
+        for k, t in enumerate(terms):
+            out[self.rows[self.term_edges[t]:self.term_edges[t + 1]], k] = 1
+        return out
+
+
 class FactorizationMachine:
     """Weights and factors of all terms that stand in ``least`` of the texts or more.
 
@@ -61,24 +116,14 @@ class FactorizationMachine:
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
         n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
-        seen = np.zeros(1 << BITS, np.int64)
+        seen = np.zeros(1 << BITS, np.int32)
         for terms in rows:
             seen[terms] += 1
         self.terms = np.flatnonzero(seen >= self.least).astype(np.int32)
-        slot = np.full(1 << BITS, -1, np.int64)
-        slot[self.terms] = np.arange(len(self.terms))
-        kept = [s[s >= 0] for s in (slot[r] for r in rows)]
-        terms = np.concatenate([*kept, np.empty(0, np.int64)])
-        owner = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-        size = len(self.terms)
-
-        def per_row(values: np.ndarray) -> np.ndarray:
-            return np.bincount(owner, values[terms], len(kept))
-
-        def per_term(values: np.ndarray) -> np.ndarray:
-            return np.bincount(terms, values[owner], size)
-
-        roots = np.sqrt(seen[self.terms])
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[self.terms] = np.arange(len(self.terms), dtype=np.int32)
+        size, roots = len(self.terms), np.sqrt(seen[self.terms])
+        entries = _Entries(rows, slot, len(rows), size)
 
         def step(values: np.ndarray, slope: np.ndarray, squares: np.ndarray, shrink: np.ndarray) -> np.ndarray:
             squares += slope * slope
@@ -90,51 +135,43 @@ class FactorizationMachine:
         self.weights, self.vectors = np.zeros(size), np.zeros((size, self.factors))
         squares = [1e-6, np.full(size, 1e-6), np.full((self.factors, size), 1e-6)]
         for k in range(self.steps):
-            value = self.bias + per_row(self.weights)
+            value = self.bias + entries.per_row(self.weights)
             if k == self.alone:
-                self._start_factors(kept, 1 / (1 + np.exp(-np.clip(value, -30, 30))), labels)
+                self._start_factors(entries, 1 / (1 + np.exp(-np.clip(value, -30, 30))), labels)
             active = [f for f in range(self.factors) if self.vectors[:, f].any()]
-            sums = {f: per_row(self.vectors[:, f]) for f in active}
+            sums = {f: entries.per_row(self.vectors[:, f]) for f in active}
             for f in active:
-                value += 0.5 * (sums[f] ** 2 - per_row(self.vectors[:, f] ** 2))
+                value += 0.5 * (sums[f] ** 2 - entries.per_row(self.vectors[:, f] ** 2))
             error = 1 / (1 + np.exp(-np.clip(value, -30, 30))) - labels
-            total, each = error.sum(), per_term(error)
+            total, each = error.sum(), entries.per_term(error)
             squares[0] += total * total
             self.bias -= self.rate * total / np.sqrt(squares[0])
             self.weights = step(self.weights, each, squares[1], self.decay * roots)
             for f in active:
-                slope = per_term(error * sums[f]) - self.vectors[:, f] * each
+                slope = entries.per_term(error * sums[f]) - self.vectors[:, f] * each
                 self.vectors[:, f] = step(self.vectors[:, f], slope, squares[2][f], self.factor_decay * roots)
         some = (self.weights != 0) | (self.vectors != 0).any(1)
         self.terms, self.weights, self.vectors = self.terms[some], self.weights[some], self.vectors[some]
         return self
 
-    def _start_factors(self, kept: list[np.ndarray], p: np.ndarray, labels: np.ndarray, width: int = 512) -> None:
+    def _start_factors(self, entries: _Entries, p: np.ndarray, labels: np.ndarray, width: int = 256) -> None:
         """Give factors to both terms of each pair whose texts have other labels than ``p`` says.
 
         A pair counts when three texts or more are in the way. Only terms with as many
         such texts can be in one, so the pairs of all terms need not be counted.
         """
-        size, rest = len(self.terms), labels - p
-        spread, at = p * (1 - p) + 1e-3, 0
+        rest = labels - p
+        spread, at = np.sqrt(p * (1 - p) + 1e-3).astype(np.float32)[:, None], 0
         for sign in (1, -1):
-            open_rows = np.flatnonzero(sign * rest > 0.1)
-            sums = np.zeros(size)
-            for k in open_rows:
-                sums[kept[k]] += abs(rest[k])
-            among = np.flatnonzero(sums >= 3)
-            column = np.full(size, -1, np.int64)
-            column[among] = np.arange(len(among))
-            table = np.zeros((len(kept), len(among)), np.bool_)
-            for k, terms in enumerate(kept):
-                c = column[terms]
-                table[k, c[c >= 0]] = True
+            way = np.where(sign * rest > 0.1, np.abs(rest), 0)
+            among = np.flatnonzero(entries.per_term(way) >= 3)
+            gain = (sign * rest).astype(np.float32)[:, None]
             for left in range(0, len(among), width):
-                one = table[:, left:left + width].astype(np.float32)
+                one = entries.columns(among[left:left + width])
                 for right in range(left, len(among), width):
-                    other = table[:, right:right + width].astype(np.float32)
-                    found = (one * (sign * rest)[:, None].astype(np.float32)).T @ other
-                    error = np.sqrt((one * spread[:, None].astype(np.float32)).T @ other)
+                    other = one if right == left else entries.columns(among[right:right + width])
+                    found = (one * gain).T @ other
+                    error = np.sqrt((one * spread).T @ (other * spread))
                     for i, j in zip(*np.nonzero((found >= 3) & (found > self.z * error))):
                         if left + i < right + j:
                             self.vectors[among[left + i], at % self.factors] = 0.3
@@ -161,8 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Fac
 
     At most ``max_labels`` of them, those with the smallest hash of their id, so the
     sample and its join are bounded. A document with several labels is toxic if one
-    says so; null labels and ids count for nothing. Without labels the score is 0.5
-    before rounding of the prior.
+    says so; of several rows with one id the text with the least terms in byte order is
+    used, so that a repeated id sends one row. Null labels and ids count for nothing,
+    null texts are empty, other columns are not read. Without labels, or on empty
+    tables, every score is 0.5.
     """
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -179,16 +218,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Fac
                 [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())],
                 ["doc_id", "toxic", "terms"])
 
-    got = texts.mapInArrow(terms, "doc_id long, toxic int, terms binary").toArrow().sort_by("doc_id")
-    rows = [np.frombuffer(t.as_py(), np.int32) for t in got.column("terms")]
-    return FactorizationMachine().fit(rows, np.array(got.column("toxic").to_pylist(), np.int64).reshape(-1))
+    got = texts.mapInArrow(terms, "doc_id long, toxic int, terms binary").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min("terms").alias("terms")).toArrow()
+    # Terms stay where Arrow has them; the fit lays them out once.
+    rows = [np.frombuffer(t.as_buffer(), np.int32) for chunk in got.column("terms").chunks for t in chunk]
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    return FactorizationMachine().fit([rows[k] for k in order], got.column("toxic").to_numpy()[order].astype(np.int64))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1. Null and empty texts get the score of no terms.
+    """``docs`` with a score from 0 to 1 in the new column ``out``.
 
-    Whole texts are read. The model has at most 2^20 terms whatever the corpus.
+    Null and empty texts get the score of no terms, repeated rows and ties equal
+    scores. Whole texts are read, of any length. The model has at most 2^20 terms
+    whatever the corpus. A column that is called ``out`` already, in any case, is an
+    error. An empty table gives no rows.
     """
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {out} already; name another with out")
     slots = model.slots()
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
@@ -209,12 +256,20 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
 
 
 def keep_clean(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` scored below ``threshold``, with their own columns only."""
+    """Rows of ``docs`` scored below ``threshold``, with their own columns only, whatever these are called.
+
+    Null and empty texts are scored as texts without terms; repeated rows stay or go
+    together. An empty table gives no rows.
+    """
     name, = fresh(docs, "_score")
     return score(docs, model, out=name).filter(F.col(name) < threshold).select(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model fitted on the labelled rows that are not held out.
+
+    Null and empty texts are scored as texts without terms, repeated rows each get a row.
+    """
     docs = documents(spark, sf_dir)
     model = fit(docs, documents(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text"), model).select(

@@ -161,6 +161,35 @@ def test_factorization_learns_pairs_of_neutral_terms():
     assert (p >= toxicity.THRESHOLD).astype(int).tolist() == labels[2500:].tolist()
 
 
+def test_factorization_scores_against_all_pairs():
+    """The score is the sum over all weights and all pairs of terms, and sums by row and by term are plain sums."""
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 25))).astype(np.int32) for _ in range(4000)]
+    labels = np.array([int({3, 5} <= set(r.tolist()) or 7 in r) for r in rows])
+    model = toxicity.FactorizationMachine().fit(rows, labels)
+    assert (model.vectors != 0).any()
+    slots = model.slots()
+    for r in rows[:100]:
+        at = [slots[t] for t in r.tolist() if t in slots]
+        value = model.bias + sum(model.weights[i] for i in at) + sum(
+            float(model.vectors[i] @ model.vectors[j]) for n, i in enumerate(at) for j in at[:n])
+        assert math.isclose(model._probability(np.array(at, int)), 1 / (1 + math.exp(-value)), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("run", [3, 40, 1 << 20])
+def test_entries_by_row_and_term(monkeypatch, run):
+    monkeypatch.setattr(toxicity._Entries, "RUN", run)
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 12))).astype(np.int32) for _ in range(60)]
+    slot = np.full(40, -1, np.int32)
+    slot[5:30] = np.arange(25)
+    entries = toxicity._Entries(rows, slot, 60, 25)
+    table = np.array([[t in r for t in range(5, 30)] for r in rows])
+    assert (entries.columns(np.arange(25)) == table).all()
+    assert np.allclose(entries.per_row(np.arange(25) + 0.5), table @ (np.arange(25) + 0.5))
+    assert np.allclose(entries.per_term(np.arange(60) - 9.0), (np.arange(60) - 9.0) @ table)
+
+
 def test_toxicity_awkward(spark):
     docs = wide(spark, AWKWARD)
     labels = spark.createDataFrame([(3, 1, None), (4, 1, 0), (4, 1, 1), (5, 0, 0), (None, 1, 1), (77, 1, 1)],
@@ -170,6 +199,11 @@ def test_toxicity_awkward(spark):
     assert scored.columns == [*docs.drop("score").columns, "score"]
     assert all(0 <= r.score <= 1 for r in scored.collect())
     assert toxicity.keep_clean(docs, model, 1.1).count() == len(AWKWARD)
+    with pytest.raises(ValueError):
+        toxicity.score(docs.drop("score").withColumn("Score", F.lit(1)), model)
+    repeated = docs.unionByName(docs.filter("doc_id = 4")).unionByName(docs.filter("doc_id = 4"))
+    again = toxicity.fit(repeated, labels)
+    assert (again.weights == model.weights).all() and again.bias == model.bias
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
