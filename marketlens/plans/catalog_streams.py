@@ -11,6 +11,7 @@ from marketlens.plans.skew import latest_per_key
 from marketlens.session import scratch_dir
 from marketlens.streaming import changes as st
 from marketlens.streaming import runs
+from marketlens.streaming.corrections import settle
 
 LINEITEM = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
             "l_extendedprice double, l_discount double, l_shipdate timestamp_ntz")
@@ -106,6 +107,75 @@ def _(spark, sf):
         "went_unavailable")
 
 
+# --- the same changes from rows in no order of time, some without a time: late rows correct the ones after them ---
+
+_NO_TIME = "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_shipdate END"
+
+
+@query("stream_price_corrections", f"""
+WITH price_history AS (SELECT l_suppkey AS competitor_id, l_partkey AS product_id, {_NO_TIME} AS captured_at,
+    l_orderkey AS order_key, l_linenumber AS line_number, CAST(l_extendedprice AS DECIMAL(12,2)) AS price FROM lineitem),
+linked AS (SELECT *, lag(price) OVER (PARTITION BY competitor_id, product_id
+    ORDER BY captured_at NULLS FIRST, order_key, line_number, price) AS old_price FROM price_history),
+cents AS (SELECT *, CAST(price * 100 AS BIGINT) AS nc, CAST(old_price * 100 AS BIGINT) AS oc FROM linked)
+SELECT competitor_id, product_id, captured_at, order_key, line_number, price, old_price,
+  CASE WHEN oc IS NULL THEN 'new' WHEN oc = nc OR abs(nc - oc) * 100 < oc THEN 'unchanged'
+    WHEN nc > oc THEN 'increase' ELSE 'decrease' END AS status,
+  CASE WHEN oc IS NOT NULL AND oc <> nc AND abs(nc - oc) * 100 >= oc
+    THEN CAST(CAST({_half_even(2)} AS DECIMAL(18,2)) / 100 AS DECIMAL(10,2)) END AS change_percentage FROM cents""")
+def _(spark, sf):
+    snapshots = _lines(spark, sf, _shares("l_orderkey")).selectExpr(
+        "l_suppkey AS competitor_id", "l_partkey AS product_id", f"CAST({_NO_TIME} AS TIMESTAMP) AS captured_at",
+        "l_orderkey AS order_key", "l_linenumber AS line_number", "CAST(l_extendedprice AS DECIMAL(12,2)) AS price")
+    now = settle(snapshots, "price-corrections", lambda path, schema: st.price_corrections(
+        path, schema, ("competitor_id", "product_id"), tie=("order_key", "line_number", "price")))
+    return now.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+
+
+@query("stream_content_corrections", f"""
+WITH crawls AS ({_TWO_CRAWLS}), kept AS (SELECT *, {ev.sql_content_hash('text_content')} AS new_hash FROM crawls
+  WHERE length(text_content) >= 100),
+linked AS (SELECT *, lag(new_hash) OVER (PARTITION BY competitor_id, url ORDER BY crawl) AS old_hash FROM kept)
+SELECT competitor_id, url, crawl, new_hash, old_hash, CASE WHEN old_hash IS NULL THEN 'new'
+  WHEN new_hash <> old_hash THEN 'updated' ELSE 'unchanged' END AS status FROM linked""")
+def _(spark, sf):
+    # Of many documents the second crawl comes first.
+    crawls = ev.raw(spark, sf, "documents").withColumn("crawl", F.explode(F.when(F.col("lang") == "es", F.array(
+        F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2))))).selectExpr("doc_id", "text", "lang", "source", "crawl")
+    folder = scratch_dir(spark, "arriving-crawls")
+    for part in range(3):
+        crawls.filter(f"pmod(hash(doc_id, crawl), 3) = {part}").write.mode("append").parquet(folder)
+    docs = runs.read_stream(spark, folder, DOCUMENTS + ", crawl int", per_trigger=1)
+    pages = docs.selectExpr(
+        "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
+        "concat('https://', source, '.example.com/', lang, '/', doc_id) AS url",
+        "CASE WHEN crawl = 2 AND lang = 'de' THEN concat(text, ' Neu im Angebot.') ELSE text END AS text_content",
+        "crawl", "CAST(make_timestamp_ntz(2024, crawl, 1, 0, 0, 0) AS TIMESTAMP) AS checked_at")
+    return settle(st.hashed_pages(pages), "content-corrections", st.content_corrections).select(
+        "competitor_id", "url", "crawl", "new_hash", "old_hash", "status")
+
+
+@query("stream_product_corrections", f"""
+WITH cards AS (SELECT l_suppkey AS competitor_id, l_partkey AS product_id, {_NO_TIME} AS checked_at, l_orderkey AS k,
+    l_linenumber AS n, l_extendedprice AS p, l_quantity > 5 AS is_available,
+    sha256('pack of ' || CASE WHEN l_discount > 0.05 THEN 2 ELSE 1 END) AS h FROM lineitem),
+linked AS (SELECT *, lag(h) OVER w AS old_h, lag(is_available) OVER w AS was FROM cards
+  WINDOW w AS (PARTITION BY competitor_id, product_id ORDER BY checked_at NULLS FIRST, k, n, p))
+SELECT competitor_id, product_id AS name, k AS order_key, n AS line_number, h AS description_hash, is_available,
+  CASE WHEN old_h IS NULL THEN 'new' WHEN old_h <> h OR was <> is_available THEN 'updated' ELSE 'unchanged' END AS status,
+  coalesce(was AND NOT is_available, false) AS went_unavailable FROM linked""")
+def _(spark, sf):
+    cards = _lines(spark, sf, _shares("l_orderkey")).selectExpr(
+        "l_suppkey AS competitor_id", "l_partkey AS name", f"CAST({_NO_TIME} AS TIMESTAMP) AS checked_at",
+        "l_orderkey AS order_key", "l_linenumber AS line_number", "l_extendedprice AS shown",
+        "l_quantity > 5 AS is_available",
+        "concat('pack of ', CASE WHEN l_discount > 0.05 THEN 2 ELSE 1 END) AS description")
+    now = settle(st.hashed_cards(cards), "product-corrections", lambda path, schema: st.product_corrections(
+        path, schema, tie=("order_key", "line_number", "shown")))
+    return now.select("competitor_id", "name", "order_key", "line_number", "description_hash", "is_available", "status",
+                      "went_unavailable")
+
+
 @query("changes_per_day", """
 WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) AS changes FROM events
   WHERE event_type IN ('view', 'click') GROUP BY 1),

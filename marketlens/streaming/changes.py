@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.functions import text as tx
 from marketlens.functions.prices import percent_change
 from marketlens.operators.changes import MIN_CONTENT_CHARS, content_status
 from marketlens.operators.prices import price_status
+from marketlens.streaming.corrections import CorrectedLag
 from marketlens.streaming.previous import with_previous_stream
 
 
@@ -63,6 +65,55 @@ def stream_product_changes(cards: DataFrame, keys: Sequence[str] = ("competitor_
     }).drop("_card", "_old")
 
 
+def price_corrections(path: str, schema: T.StructType, keys: Sequence[str] = ("competitor_id", "product_name"),
+                      time: str = "captured_at", tie: Sequence[str] = ("id",), min_pct: float = 1.0) -> CorrectedLag:
+    """Price captures as in :func:`stream_price_changes`, late ones setting right the captures after them."""
+    def finish(linked: DataFrame) -> DataFrame:
+        status = price_status(F.col("old_price"), F.col("price"), min_pct)
+        return linked.withColumns({"status": status, "change_percentage": F.when(
+            status.isin("increase", "decrease"), F.bround(percent_change(F.col("old_price"), F.col("price")), 2).cast(
+                "decimal(10,2)"))}).drop("known")
+
+    return CorrectedLag(path, schema, keys, time, tie, "price", "old_price", finish)
+
+
+def hashed_pages(pages: DataFrame) -> DataFrame:
+    """Pages with a length and a hash instead of their texts; short ones are left out."""
+    return pages.filter(F.length("text_content") >= MIN_CONTENT_CHARS).select(
+        *[c for c in pages.columns if c != "text_content"], F.length("text_content").alias("char_count"),
+        tx.content_hash(F.col("text_content")).alias("new_hash"))
+
+
+def content_corrections(path: str, schema: T.StructType, keys: Sequence[str] = ("competitor_id", "url"),
+                        time: str = "checked_at", tie: Sequence[str] = ()) -> CorrectedLag:
+    """Pages of :func:`hashed_pages` with a status against the text before, set right by late ones."""
+    def finish(linked: DataFrame) -> DataFrame:
+        return linked.withColumn("status", content_status(
+            F.col("char_count"), F.col("new_hash"), F.col("old_hash"), F.col("known"))).drop("known")
+
+    return CorrectedLag(path, schema, keys, time, tie, "new_hash", "old_hash", finish)
+
+
+def hashed_cards(cards: DataFrame) -> DataFrame:
+    """Product cards with a hash instead of their description, and what is compared in one column."""
+    return cards.withColumn("description_hash", F.sha2(F.coalesce("description", F.lit("")), 256)).withColumn(
+        "card", F.struct("description_hash", "is_available")).drop("description")
+
+
+def product_corrections(path: str, schema: T.StructType, keys: Sequence[str] = ("competitor_id", "name"),
+                        time: str = "checked_at", tie: Sequence[str] = ()) -> CorrectedLag:
+    """Cards of :func:`hashed_cards` with a status against the card before, set right by late ones."""
+    def finish(linked: DataFrame) -> DataFrame:
+        differs = (F.col("old_card.description_hash") != F.col("description_hash")) | F.coalesce(
+            F.col("old_card.is_available") != F.col("is_available"), F.lit(False))
+        return linked.withColumns({
+            "status": F.when(~F.col("known"), "new").when(differs, "updated").otherwise("unchanged"),
+            "went_unavailable": F.coalesce(F.col("old_card.is_available") & ~F.col("is_available"), F.lit(False)),
+        }).drop("card", "old_card", "known")
+
+    return CorrectedLag(path, schema, keys, time, tie, "card", "old_card", finish)
+
+
 def changes_per_day(changes: DataFrame, time: str = "detected_at", delay: str | None = None) -> DataFrame:
     """Changes per 24 hours; run in update mode.
 

@@ -23,9 +23,9 @@ class _RememberLast(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         at, value = self.last.get() or (None, None)
-        # Rows of one key in one micro-batch; the source's per-trigger limit bounds them.
-        for row in sorted(rows, key=lambda r: (r[self.time], *[r[t] for t in self.tie])):
-            late = at is not None and row[self.time] < at
+        # Rows of one key in one micro-batch; the source's per-trigger limit bounds them. Nulls come first, as in the batch form.
+        for row in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in (self.time, *self.tie)]):
+            late = at is not None and (row[self.time] is None or row[self.time] < at)
             yield Row(**row.asDict(), **{self.name: None if late else value, self.late: late})
             if not late:
                 at, value = row[self.time], row[self.value]
@@ -42,7 +42,8 @@ def with_previous_stream(stream: DataFrame, keys: Sequence[str], time: str, tie:
     A row older than the stored one of its key says nothing about the present: it is
     marked in ``late``, has no value before it and leaves the state as it is. No row
     is lost; :func:`late_rows` and :func:`rows_in_time` tell the two apart. Within a
-    micro-batch rows are taken in (time, tie) order. Hand over narrow rows: all
+    micro-batch rows are taken in (time, tie) order, nulls first. Where late rows have
+    to set right what was said before, take ``corrections.CorrectedLag``. Hand over narrow rows: all
     columns pass through the state processor.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

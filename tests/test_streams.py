@@ -1,7 +1,9 @@
 """Streams against the batch rules: several batches, disorder, late rows, duplicates."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.operators.prices import detect_price_changes
@@ -9,6 +11,7 @@ from marketlens.plans.skew import latest_per_key
 from marketlens.session import scratch_dir
 from marketlens.streaming import changes as st
 from marketlens.streaming import runs
+from marketlens.streaming.corrections import CorrectedLag, settle
 from marketlens.streaming.previous import late_rows, rows_in_time
 
 DAY = dt.datetime(2024, 1, 1)
@@ -94,3 +97,58 @@ def test_routing(spark):
     got = {(r.channel, r.message) for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {("alerts", '{"type":"new_alert","data":{"n":1}}'), ("scans", '{"type":"scan_progress","data":{"n":2}}'),
                    ("competitors", '{"type":"competitor_update","data":{"n":4}}')}
+
+
+LAG = "k string, at timestamp, tie int, v string, extra int"
+
+
+def _lag_rows(rng, size):
+    """Rows of few keys over three years, some without key or time, hot days, equal instants and null values."""
+    keys, times = ["a", "b", "c", None], [None, *[DAY + dt.timedelta(days=d) for d in (0, 1, 40, 300, 500, 900)]]
+    return [(rng.choice(keys + ["a"] * 4), rng.choice(times + times[1:3] * 2), i, rng.choice(["x", "y", "z", None]), i % 3)
+            for i in range(size)]
+
+
+def _lagged(rows):
+    order = sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or DAY, r[2]))
+    out, last = [], {}
+    for r in order:
+        out.append((*r, last.get(r[0], (None,))[0], r[0] in last))
+        last[r[0]] = (r[3],)
+    return sorted(out, key=str)
+
+
+def test_corrected_lag_in_any_order(spark):
+    rng = random.Random(8)
+    rows = _lag_rows(rng, 160)
+    for order in (sorted(rows, key=lambda r: (r[1] is None, r[1] or DAY), reverse=True), rng.sample(rows, len(rows))):
+        parts = [order[i:i + 45] for i in range(0, len(order), 45)]
+        stream, _ = _stream(spark, parts, LAG, "corrected")
+        lag = CorrectedLag(scratch_dir(spark, "t-corrected"), stream.schema, ["k"], "at", ["tie"], "v", "before")
+        lag.start(stream, scratch_dir(spark, "t-cp")).awaitTermination()
+        assert sorted((tuple(r) for r in lag.current(spark).collect()), key=str) == _lagged(rows)
+    versions = lag.versions(spark)
+    # Only rows whose predecessor changed are put out again, each with another predecessor than before.
+    assert len(rows) < versions.count() < 2 * len(rows)
+    # The last batch once more, as after a failure: nothing changes.
+    last = spark.createDataFrame(parts[-1], LAG).coalesce(1)
+    before = sorted(versions.collect(), key=str)
+    lag.apply(last, len(parts) - 1)
+    assert sorted(lag.versions(spark).collect(), key=str) == before
+
+
+def test_corrected_lag_edges(spark):
+    stream, _ = _stream(spark, [[], [("a", None, 1, "x", 0)], [("a", None, 0, "y", 0), ("a", DAY, 5, None, 1)]], LAG, "edges")
+    got = settle(stream, "t-edges", lambda path, schema: CorrectedLag(path, schema, ["k"], "at", ["tie"], "v", "before", grain="day"))
+    assert sorted((r.tie, r.before, r.known) for r in got.collect()) == [(0, None, False), (1, "y", True), (5, "x", True)]
+    stream, _ = _stream(spark, [[]], LAG, "nothing")
+    assert settle(stream, "t-nothing", lambda path, schema: CorrectedLag(path, schema, ["k"], "at", ["tie"], "v", "before")).count() == 0
+    with pytest.raises(ValueError):
+        CorrectedLag("x", stream.schema, ["k"], "at", ["tie"], "v", "EXTRA")
+
+
+def test_state_form_takes_null_times(spark):
+    rows = [[(1, "p", None, None, 1), (1, "p", None, None, 2), _row(1, "3", 3)], [(1, "p", None, None, 4), _row(2, "6", 5)]]
+    stream, _ = _stream(spark, rows, SCHEMA, "null-times")
+    got = runs.drain(st.stream_price_changes(stream), "t-null-times").collect()
+    assert sorted((r.id, r.status) for r in got) == [(1, "new"), (2, "new"), (3, "new"), (4, "late"), (5, "increase")]
