@@ -12,6 +12,7 @@ from marketlens.session import scratch_dir
 from marketlens.streaming import changes as st
 from marketlens.streaming import runs
 from marketlens.streaming.corrections import settle
+from marketlens.streaming.seen import SeenTable, dedupe_stored
 
 LINEITEM = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
             "l_extendedprice double, l_discount double, l_shipdate timestamp_ntz")
@@ -214,6 +215,19 @@ def _(spark, sf):
     return runs.drain(st.dedupe_pages(crawled), "dedupe-pages").select("scan_id", "url")
 
 
+@query("dedupe_pages_stored", """
+SELECT DISTINCT CASE WHEN l_suppkey % 50 > 0 THEN l_suppkey END AS scan_id, '/p/' || l_partkey AS url FROM lineitem""")
+def _(spark, sf):
+    # Some pages belong to no scan.
+    crawled = _lines(spark, sf, _shares("l_orderkey")).selectExpr(
+        "CASE WHEN l_suppkey % 50 > 0 THEN l_suppkey END AS scan_id", "concat('/p/', l_partkey) AS url",
+        "l_shipdate AS crawled_at")
+    base = scratch_dir(spark, "dedupe-stored")
+    seen = SeenTable(spark, f"{base}/seen", crawled.select("scan_id", "url").schema, buckets=8)
+    dedupe_stored(crawled, seen, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out/*").select("scan_id", "url")
+
+
 @query("route_alerts", r"""
 SELECT CASE event_type WHEN 'view' THEN 'scans' WHEN 'error' THEN 'alerts' ELSE 'competitors' END AS channel,
   count(*) AS messages, CAST(sum(user_id) AS BIGINT) AS user_sum FROM events WHERE event_type IN ('view', 'error', 'signup') GROUP BY 1""")

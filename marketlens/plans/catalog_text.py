@@ -92,6 +92,49 @@ def _(spark, sf):
     return fr.registrable_domain(hosts, "host", suffixes)
 
 
+_RULES = ["com", "net", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "io", "a.b.io"]
+_PRIVATE_RULES = ["blogspot.com", "*.apps.io"]
+_ENDS = ["com", "shop.co.uk", "uk", "a.ck", "www.ck", "x.www.ck", "ck", "city.kawasaki.jp", "b.kawasaki.jp", "kawasaki.jp",
+         "blogspot.com", "me.apps.io", "z.a.b.io", "b.io", "intranet", "COM:8080", "co.uk."]
+_RULES_SQL = ", ".join(f"('{r}', {p})" for rules, p in ((_RULES, "false"), (_PRIVATE_RULES, "true")) for r in rules)
+
+
+def _by_rules_sql(private):
+    return f"""
+WITH rules(rule, private) AS (VALUES {_RULES_SQL}),
+hosts AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN e ELSE 'p' || page_id || '.' || e END AS host
+  FROM pages, unnest({ev.sql_list(_ENDS)}) t(e)),
+l AS (SELECT page_id, host, list_reverse(string_split(regexp_replace(regexp_replace(lower(host), ':[0-9]*$', ''), '\.$', ''), '.')) AS labels
+  FROM hosts),
+names AS (SELECT page_id, host, labels, n, array_to_string(list_reverse(labels[1:n]), '.') AS name
+  FROM l, unnest(range(1, len(labels) + 1)) t(n)),
+hits AS (SELECT page_id, host, labels, max(CASE WHEN rule = '!' || name THEN n - 1 END) AS e,
+    max(CASE WHEN rule = name THEN n WHEN rule = '*.' || name AND n < len(labels) THEN n + 1 END) AS r
+  FROM names LEFT JOIN (SELECT rule FROM rules WHERE {"true" if private else "NOT private"}) q
+    ON rule IN (name, '*.' || name, '!' || name) GROUP BY ALL)
+SELECT page_id, host, CASE WHEN len(labels) > coalesce(e, r, 1)
+  THEN array_to_string(list_reverse(labels[1:coalesce(e, r, 1) + 1]), '.') END AS domain FROM hits"""
+
+
+def _by_rules(spark, sf, private):
+    rules = spark.createDataFrame(
+        [(r, False) for r in _RULES] + [(r, True) for r in _PRIVATE_RULES], "rule string, private boolean")
+    ends = F.explode(F.array(*[F.lit(e) for e in _ENDS]))
+    hosts = ev.pages(spark, sf).select("page_id", ends.alias("e")).selectExpr(
+        "page_id", "CASE WHEN page_id % 3 = 0 THEN e ELSE concat('p', page_id, '.', e) END AS host")
+    return fr.registrable_by_rules(hosts, "host", rules, private)
+
+
+@query("registrable_by_rules", _by_rules_sql(False))
+def _(spark, sf):
+    return _by_rules(spark, sf, False)
+
+
+@query("registrable_by_private_rules", _by_rules_sql(True))
+def _(spark, sf):
+    return _by_rules(spark, sf, True)
+
+
 @query("url_depth", f"SELECT page_id, {sql_depth('url')} AS depth FROM pages")
 def _(spark, sf):
     return ev.pages(spark, sf).select("page_id", urls.url_depth(F.col("url")).alias("depth"))
@@ -215,6 +258,31 @@ def _(spark, sf):
     return fr.robots_allowed(ev.pages(spark, sf).select("page_id", "url"), rules)
 
 
+@query("robots_allowed_many_rules", """
+WITH rules AS (
+  SELECT 'shop' || c_custkey % 3 AS host, 'disallow' AS kind, '/p/' || c_custkey || '/' AS pattern FROM customer WHERE c_custkey % 4 < 3
+  UNION ALL SELECT 'shop' || c_custkey % 3, 'allow', '/p/' || c_custkey || '/x' FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'shop' || c_custkey % 3, 'wild', '/' || c_custkey FROM customer WHERE c_custkey % 50 = 7),
+targets AS (
+  SELECT p_partkey, 'shop' || p_size % 4 AS host, CASE p_partkey % 3 WHEN 0 THEN '/p/' || p_partkey || '/x' || p_size
+    WHEN 1 THEN '/p/' || p_partkey || '/y' ELSE '/q/' || p_size || '/' || p_partkey END AS path FROM part)
+SELECT p_partkey, 'http://' || t.host || path AS url, t.host,
+  EXISTS (SELECT 1 FROM rules r WHERE r.host = t.host AND kind = 'allow' AND starts_with(path, pattern))
+  OR NOT EXISTS (SELECT 1 FROM rules r WHERE r.host = t.host
+    AND (kind = 'disallow' AND starts_with(path, pattern) OR kind = 'wild' AND starts_with(path, '/q/') AND ends_with(path, pattern))) AS allowed
+FROM targets t""")
+def _(spark, sf):
+    rules = ev.raw(spark, sf, "customer").selectExpr(
+        "concat('shop', c_custkey % 3) AS host",
+        "stack(3, 'disallow', if(c_custkey % 4 < 3, concat('/p/', c_custkey, '/'), null), "
+        "'allow', if(c_custkey % 2 = 0, concat('/p/', c_custkey, '/x'), null), "
+        "'disallow', if(c_custkey % 50 = 7, concat('/q/*/', c_custkey, '$'), null)) AS (kind, pattern)").filter("pattern IS NOT NULL")
+    targets = ev.raw(spark, sf, "part").selectExpr("p_partkey", """concat('http://shop', p_size % 4, CASE p_partkey % 3
+        WHEN 0 THEN concat('/p/', p_partkey, '/x', p_size) WHEN 1 THEN concat('/p/', p_partkey, '/y')
+        ELSE concat('/q/', p_size, '/', p_partkey) END) AS url""")
+    return fr.robots_allowed(targets, rules)
+
+
 @query("merge_sitemap_sources", f"""
 WITH p AS (SELECT DISTINCT lower({_sql_part('url', 1)}) AS scheme, {sql_host('url')} AS host FROM pages)
 SELECT host, 'https://' || host || '/map.xml' AS sitemap_url FROM p
