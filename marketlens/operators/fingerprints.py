@@ -6,31 +6,48 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.functions import text as tx
-from marketlens.plans.components import components
+from marketlens.plans.components import components, written
 
 
-@F.pandas_udf(T.LongType())
-def _vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """64-bit simhash of each array of tokens, without leaving the row.
+#: Tokens whose votes are counted at a time, and how many a 16-bit counter takes.
+RUN, MOST_VOTES = 1 << 17, (1 << 16) - 1
+
+
+def votes(tokens: pa.ListArray) -> np.ndarray:
+    """64-bit simhash of each list of tokens, as signed numbers.
 
     Each token adds one to the bits set in the last half of its MD5 and takes one
-    from the others; a bit is set in the result where the sum is not negative, so
-    no tokens set all.
+    from the others; a bit is set in the result where the sum is not negative, so no
+    tokens set all. A distinct token of a batch is hashed once; its 64 votes are 16-bit
+    counters, four to a machine word, which are added up along the texts.
     """
+    words = tokens.values.dictionary_encode()
+    hashed = b"".join(hashlib.md5(t).digest()[8:] for t in words.dictionary.cast(pa.binary()).to_pylist())
+    bits = np.unpackbits(np.frombuffer(hashed, np.uint8)).astype("<u2").reshape(-1, 64).view("<u8")
+    which, edges = words.indices.to_numpy(), tokens.offsets.to_numpy().astype(np.int64)
+    # Runs end where texts do, where counters are full and where enough tokens are held.
+    cuts = np.unique(np.concatenate([edges, np.arange(edges[0], edges[-1], MOST_VOTES)]))
+    sums = np.zeros((len(edges) - 1, 64), np.int64)
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + RUN, "right")) - 1)
+        counted = np.add.reduceat(bits[which[cuts[a]:cuts[b]]], cuts[a:b] - cuts[a], axis=0).view("<u2")
+        np.add.at(sums, np.searchsorted(edges, cuts[a:b], "right") - 1, counted)
+        a = b
+    kept = 2 * sums >= np.diff(edges)[:, None]
+    return np.packbits(kept, axis=1).view(">i8").astype(np.int64).reshape(-1)
+
+
+@F.arrow_udf(T.LongType())
+def _vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        out = []
-        for tokens in batch:
-            hashes = b"".join(hashlib.md5(t.encode()).digest()[8:] for t in tokens)
-            bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
-            kept = 2 * bits.sum(0, dtype=np.int64) >= len(bits)
-            out.append(int(np.packbits(kept).view(">i8")[0]))
-        yield pd.Series(out, dtype="int64")
+        yield pa.array(votes(batch), pa.int64())
 
 
 def _as_hex(bits: str) -> Column:
@@ -113,20 +130,38 @@ def near_duplicates(simhashes: DataFrame, key: str, max_distance: int = 3) -> Da
     de-duplicating shuffle. Only longs travel through the join; AQE splits a
     bucket that is still large.
     """
-    values = simhashes.groupBy("simhash_bits").agg(
-        F.min(key).alias("first_key"), F.count(F.lit(1)).alias("texts"))
-    masks = [f"{_signed(m)}L" for m in band_masks(max_distance)]
-    band_keys = ", ".join(f"simhash_bits & {m}" for m in masks)
-    keyed = values.select(
-        "simhash_bits", "first_key", "texts", F.posexplode(F.expr(f"array({band_keys})")).alias("band", "band_key"))
+    # Written once: both sides of the join read the values, not the texts they come from.
+    return _value_pairs(written(_values(simhashes, key), "simhash-values"), max_distance)
+
+
+def _values(simhashes: DataFrame, key: str) -> DataFrame:
+    return simhashes.groupBy("simhash_bits").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("texts"))
+
+
+def _masks(max_distance: int) -> list[str]:
+    return [f"{_signed(m)}L" for m in band_masks(max_distance)]
+
+
+def _keyed(values: DataFrame, max_distance: int) -> DataFrame:
+    """A row for each value and mask: the columns of ``values``, band, band_key."""
+    band_keys = ", ".join(f"simhash_bits & {m}" for m in _masks(max_distance))
+    return values.select(*values.columns, F.posexplode(F.expr(f"array({band_keys})")).alias("band", "band_key"))
+
+
+def _first_band(max_distance: int) -> Column:
+    """The first mask on which the two values of a pair agree."""
+    return F.expr("CASE " + " ".join(
+        f"WHEN (simhash_bits_a ^ simhash_bits_b) & {m} = 0 THEN {i}" for i, m in enumerate(_masks(max_distance))) + " END")
+
+
+def _value_pairs(values: DataFrame, max_distance: int) -> DataFrame:
+    keyed = _keyed(values, max_distance)
     a = keyed.select("band", "band_key", *[F.col(c).alias(f"{c}_a") for c in values.columns])
     b = keyed.select("band", "band_key", *[F.col(c).alias(f"{c}_b") for c in values.columns])
     diff = F.col("simhash_bits_a").bitwiseXOR(F.col("simhash_bits_b"))
-    first = F.expr("CASE " + " ".join(
-        f"WHEN (simhash_bits_a ^ simhash_bits_b) & {m} = 0 THEN {i}" for i, m in enumerate(masks)) + " END")
     pairs = a.join(b, ["band", "band_key"]).filter(
         (F.col("simhash_bits_a") < F.col("simhash_bits_b")) & (F.bit_count(diff) <= max_distance)
-        & (first == F.col("band")))
+        & (_first_band(max_distance) == F.col("band")))
     distance = F.bit_count(diff)
     return pairs.select(
         "simhash_bits_a", "simhash_bits_b", "first_key_a", "first_key_b", "texts_a", "texts_b",
@@ -140,11 +175,75 @@ def near_duplicate_groups(simhashes: DataFrame, key: str, max_distance: int = 3)
     ``max_distance`` bits apart are linked, and groups are what links join. One row
     per text, so the output grows with the texts, not with the pairs.
     """
-    values = simhashes.groupBy("simhash_bits").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("texts"))
-    linked = components(near_duplicates(simhashes, key, max_distance).select(
+    hashed = written(simhashes.select(key, "simhash_bits"), "simhashes")
+    values = written(_values(hashed, key), "simhash-values")
+    linked = components(_value_pairs(values, max_distance).select(
         F.col("simhash_bits_a").alias("src"), F.col("simhash_bits_b").alias("dst")))
     rooted = values.join(linked, values["simhash_bits"] == linked["node"], "left").select(
         "simhash_bits", "first_key", "texts", F.coalesce("root", "simhash_bits").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first_key").alias("group_key"), F.sum("texts").alias("group_texts"))
-    return simhashes.select(key, "simhash_bits").join(
-        rooted.join(groups, "root").select("simhash_bits", "group_key", "group_texts"), "simhash_bits")
+    return hashed.join(rooted.join(groups, "root").select("simhash_bits", "group_key", "group_texts"), "simhash_bits")
+
+
+class SimhashIndex:
+    """Near duplicates over batches: new texts are hashed and looked up, old ones are not touched.
+
+    Two tables under ``location``: the values of each batch with their least key and
+    number of texts, and for every value its masked keys, as parquet bucketed and
+    sorted by the hash of (band, key). A batch is dealt out by that hash and joined to
+    the index bucket by bucket, without an exchange of the index; links go to a third
+    table. Links are found once, in the batch that brings the later of two values. A
+    batch that is repeated after a failure finds and adds the same.
+    """
+
+    def __init__(self, spark: SparkSession, location: str, max_distance: int = 3, buckets: int = 64) -> None:
+        self.spark, self.location, self.max_distance, self.buckets = spark, location.rstrip("/"), max_distance, buckets
+        self.table = "simhash_keys_" + hashlib.md5(self.location.encode()).hexdigest()
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} (_hash BIGINT, band INT, band_key BIGINT, simhash_bits BIGINT, _batch BIGINT) "
+            f"USING parquet CLUSTERED BY (_hash) SORTED BY (_hash) INTO {buckets} BUCKETS LOCATION '{self.location}/keys'")
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.location}/{name}/batch={batch}")
+
+    def add(self, simhashes: DataFrame, key: str, batch: int) -> None:
+        """Take in the texts of one batch (``key``, simhash_bits); batches are numbered in any rising order."""
+        self._write(_values(simhashes, key), "values", batch)
+        own = self.spark.read.parquet(f"{self.location}/values/batch={batch}").select("simhash_bits")
+        known = self.spark.table(self.table).filter(F.col("_batch") < batch)
+        keyed = _keyed(own, self.max_distance).withColumn("_hash", F.xxhash64("band", "band_key"))
+        old = self.spark.read.parquet(f"{self.location}/values").filter(F.col("batch") < batch).select("simhash_bits")
+        fresh = written(keyed.join(old, "simhash_bits", "left_anti").repartition(self.buckets, "_hash"), "simhash-keys")
+        new = fresh.select("_hash", F.col("band").alias("_band"), F.col("band_key").alias("_key"), F.col("simhash_bits").alias("_new"))
+        found = []
+        for side in (known, fresh):
+            met = new.join(side.select("_hash", "band", "band_key", "simhash_bits").hint("merge"), "_hash").filter(
+                "band = _band AND band_key = _key AND simhash_bits <> _new")
+            pair = met.select("band", F.least("simhash_bits", "_new").alias("simhash_bits_a"),
+                              F.greatest("simhash_bits", "_new").alias("simhash_bits_b"), "_new")
+            found.append(pair if side is known else pair.filter("_new = simhash_bits_a"))
+        distance = F.bit_count(F.col("simhash_bits_a").bitwiseXOR(F.col("simhash_bits_b")))
+        self._write(found[0].unionByName(found[1]).withColumn("distance", distance).filter(
+            (F.col("distance") <= self.max_distance) & (_first_band(self.max_distance) == F.col("band"))).select(
+            "simhash_bits_a", "simhash_bits_b", "distance"), "links", batch)
+        again = self.spark.table(self.table).filter(F.col("_batch") == batch)
+        if again.isEmpty():
+            fresh.select("_hash", "band", "band_key", "simhash_bits", F.lit(batch).cast("long").alias("_batch")).repartition(
+                self.buckets, "_hash").write.insertInto(self.table)
+            self.spark.catalog.refreshTable(self.table)
+
+    def values(self) -> DataFrame:
+        """simhash_bits, first_key, texts over all batches."""
+        return self.spark.read.parquet(f"{self.location}/values").groupBy("simhash_bits").agg(
+            F.min("first_key").alias("first_key"), F.sum("texts").alias("texts"))
+
+    def links(self) -> DataFrame:
+        """simhash_bits_a, simhash_bits_b, distance of all pairs of values of all batches, the smaller value first."""
+        return self.spark.read.parquet(f"{self.location}/links").drop("batch")
+
+    def pairs(self) -> DataFrame:
+        """All links with the first key and the number of texts of both values, as :func:`near_duplicates` gives them."""
+        values, out = self.values(), self.links()
+        for side in ("a", "b"):
+            out = out.join(values.select(*[F.col(c).alias(f"{c}_{side}") for c in values.columns]), f"simhash_bits_{side}")
+        return out.withColumn("similarity", F.lit(1.0) - F.col("distance") / F.lit(64))

@@ -11,6 +11,7 @@ from marketlens.operators import fingerprints as fp
 from marketlens.operators import frontier as fr
 from marketlens.plans import entity_views as ev
 from marketlens.plans.registry import query
+from marketlens.session import scratch_dir
 from marketlens.sources import site_files
 
 _URI = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -542,15 +543,16 @@ def _(spark, sf):
     return fp.copy_groups(hashed, "doc_id")
 
 
-@query("near_duplicates", f"""
+_NEAR_SQL = f"""
 WITH {_SIMHASH_SQL},
 v AS (SELECT hi, lo, min(doc_id) AS first_key, count(*) AS texts FROM simhashes GROUP BY hi, lo),
 d AS (SELECT a.first_key AS ka, b.first_key AS kb, a.texts AS ta, b.texts AS tb,
     bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS distance FROM v a JOIN v b ON a.first_key < b.first_key)
 SELECT ka AS first_key, kb AS other_key, ta AS first_texts, tb AS other_texts, CAST(distance AS INTEGER) AS distance
-FROM d WHERE distance <= 3""")
-def _(spark, sf):
-    pairs = fp.near_duplicates(_simhashes(spark, sf), "doc_id")
+FROM d WHERE distance <= 3"""
+
+
+def _by_first_key(pairs):
     ahead = F.col("first_key_a") < F.col("first_key_b")
 
     def pick(name: str, first: bool):
@@ -562,6 +564,21 @@ def _(spark, sf):
         pick("texts", True).alias("first_texts"), pick("texts", False).alias("other_texts"), "distance")
 
 
+@query("near_duplicates", _NEAR_SQL)
+def _(spark, sf):
+    return _by_first_key(fp.near_duplicates(_simhashes(spark, sf), "doc_id"))
+
+
+@query("near_duplicates_incremental", _NEAR_SQL)
+def _(spark, sf):
+    # The documents in three batches; a batch hashes its own texts only.
+    index = fp.SimhashIndex(spark, scratch_dir(spark, "simhash-index"), buckets=8)
+    for batch in range(3):
+        part = _docs(spark, sf).filter(F.pmod(F.hash("doc_id"), F.lit(3)) == batch)
+        index.add(fp.simhash64(part, "doc_id", "text"), "doc_id", batch)
+    return _by_first_key(index.pairs())
+
+
 @query("near_duplicate_groups", f"""
 WITH RECURSIVE {_SIMHASH_SQL},
 v AS (SELECT hi, lo, min(doc_id) AS first_key, count(*) AS texts FROM simhashes GROUP BY hi, lo),

@@ -110,3 +110,47 @@ def test_near_duplicates_equal_brute_force(spark):
             if d <= 3:
                 want[(a, b)] = (d, n[a], n[b])
     assert got == want and want
+
+
+def test_votes_of_long_and_empty_texts(monkeypatch):
+    """Full counters, runs that end inside texts, empty lists and sliced arrays give the plain sums."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(50)}é" for _ in range(n)] for n in (0, 3, 70, 0, 1, 25, 0)]
+    want = [_simhash(" ".join(t)) for t in texts]
+    for run, most in ((1 << 17, (1 << 16) - 1), (5, 4), (30, 7), (1, 1)):
+        monkeypatch.setattr(fp, "RUN", run)
+        monkeypatch.setattr(fp, "MOST_VOTES", most)
+        for cut in (0, 2):
+            got = fp.votes(pa.array(texts, pa.list_(pa.string()))[cut:])
+            assert [f"{v & (1 << 64) - 1:016x}" for v in got.tolist()] == want[cut:]
+    monkeypatch.undo()
+    long = ["same"] * 70_000 + ["other"] * 69_000
+    assert f"{fp.votes(pa.array([long], pa.list_(pa.string()))).tolist()[0] & (1 << 64) - 1:016x}" == _simhash(" ".join(long))
+    assert fp.votes(pa.array([], pa.list_(pa.string()))).tolist() == []
+
+
+def test_simhash_index_batches(spark):
+    """Batches in any cut give the links of one run; a repeated batch adds nothing."""
+    import random
+
+    from marketlens.session import scratch_dir
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    values = base + [b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(8)]
+    rows = list(enumerate(v - (1 << 64) if v >> 63 else v for v in values + [base[0]] * 40))
+    rng.shuffle(rows)
+    columns = ["simhash_bits_a", "simhash_bits_b", "first_key_a", "first_key_b", "texts_a", "texts_b", "distance", "similarity"]
+    want = sorted(map(tuple, fp.near_duplicates(spark.createDataFrame(rows, "id long, simhash_bits long"), "id").select(columns).collect()))
+    index = fp.SimhashIndex(spark, scratch_dir(spark, "t-simhash"), buckets=4)
+    parts = [rows[:30], rows[30:31], [], rows[31:]]
+    for batch, part in enumerate(parts):
+        index.add(spark.createDataFrame(part, "id long, simhash_bits long"), "id", batch)
+    assert sorted(map(tuple, index.pairs().select(columns).collect())) == want
+    index.add(spark.createDataFrame(parts[-1], "id long, simhash_bits long"), "id", 3)
+    assert sorted(map(tuple, index.pairs().select(columns).collect())) == want
+    assert spark.table(index.table).count() == 16 * len({v for _, v in rows})
