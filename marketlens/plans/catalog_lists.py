@@ -323,3 +323,20 @@ def _(spark, sf):
     sinks.append_snapshot(history.filter("NOT is_on_sale"), path, "month")
     return spark.read.parquet(path).groupBy(F.to_date("captured_at").cast("string").alias("snapshot_date")).agg(
         F.count(F.lit(1)).alias("captures"), F.sum("price").alias("total"))
+
+
+@query("append_snapshot_once", """
+SELECT CAST(captured_at AS DATE)::VARCHAR AS snapshot_date, count(*) AS captures, sum(price)::DECIMAL(22,2) AS total
+FROM price_history GROUP BY 1""", "price_history")
+def _(spark, sf):
+    history = ev.price_history(spark, sf).withColumn("month", F.trunc("captured_at", "month"))
+    log = sinks.SnapshotLog(spark, scratch_dir(spark, "snapshot-log"), "month")
+    sale, rest = history.filter("is_on_sale"), history.filter("NOT is_on_sale")
+    log.append(sale, "1")
+    log.append(sale, "1")  # the same batch again
+    log._put(rest.filter("price > 1000"), "b-2")  # a batch that broke off before its entry
+    log.append(rest, "2")
+    log.compact("all")
+    log.append(rest, "2")
+    return log.read().groupBy(F.to_date("captured_at").cast("string").alias("snapshot_date")).agg(
+        F.count(F.lit(1)).alias("captures"), F.sum("price").alias("total"))

@@ -10,6 +10,8 @@ from marketlens.operators import changes as ch
 from marketlens.operators import prices as pr
 from marketlens.plans import entity_views as ev
 from marketlens.plans.registry import query
+from marketlens.session import scratch_dir
+from marketlens.sources.state_table import StateTable
 
 TIE = ("order_key", "line_number", "price")
 _ORDER = "captured_at, order_key, line_number, price"
@@ -294,7 +296,7 @@ def _(spark, sf):
     return ch.content_change_log(_content_changes(spark, sf))
 
 
-@query("apply_content_changes", _CONTENT_SQL + f""",
+_NEXT_STATE_SQL = _CONTENT_SQL + f""",
 seen AS (SELECT * FROM content_diff WHERE status <> 'skipped')
 SELECT coalesce(s.competitor_id, c.competitor_id) AS competitor_id, coalesce(s.url, c.url) AS url,
   CASE WHEN s.status = 'new' THEN s.title ELSE c.title END AS title,
@@ -307,12 +309,28 @@ SELECT coalesce(s.competitor_id, c.competitor_id) AS competitor_id, coalesce(s.u
     ELSE c.readability_score END AS readability_score,
   CASE WHEN s.status = 'new' THEN {ev.sql_category('s.url', 's.title')} ELSE c.content_type END AS content_type,
   coalesce(c.first_seen, s.checked_at) AS first_seen, coalesce(s.checked_at, c.last_checked) AS last_checked
-FROM seen s FULL JOIN current_contents c ON c.competitor_id = s.competitor_id AND c.url = s.url""",
-       "next_contents current_contents")
+FROM seen s FULL JOIN current_contents c ON c.competitor_id = s.competitor_id AND c.url = s.url"""
+_STATE_COLUMNS = ["competitor_id", "url", "title", "text_content", "content_hash", "previous_hash", "has_changed", "word_count",
+                  "readability_score", "content_type", "first_seen", "last_checked"]
+
+
+@query("apply_content_changes", _NEXT_STATE_SQL, "next_contents current_contents")
+def _(spark, sf):
+    return ch.apply_content_changes(ev.next_contents(spark, sf), ev.current_contents(spark, sf)).select(_STATE_COLUMNS)
+
+
+@query("apply_content_deltas", _NEXT_STATE_SQL, "next_contents current_contents")
 def _(spark, sf):
-    state = ch.apply_content_changes(ev.next_contents(spark, sf), ev.current_contents(spark, sf))
-    return state.select("competitor_id", "url", "title", "text_content", "content_hash", "previous_hash", "has_changed", "word_count",
-                        "readability_score", "content_type", "first_seen", "last_checked")
+    # The crawl in three parts, each written as a delta of the rows that it touches.
+    base, crawl = ev.current_contents(spark, sf), ev.next_contents(spark, sf)
+    state = StateTable(spark, scratch_dir(spark, "contents"), ch.apply_content_changes(crawl, base).schema,
+                       ["competitor_id", "url"], buckets=8)
+    # A crawl without pages brings the base to the columns of the state.
+    state.upsert(ch.apply_content_changes(crawl.limit(0), base), 0)
+    for part in range(3):
+        pages = crawl.filter(F.pmod(F.hash("url"), F.lit(3)) == part)
+        state.upsert(ch.apply_content_changes(pages, state.lookup(pages)), part + 1)
+    return state.current().select(_STATE_COLUMNS)
 
 
 @query("text_word_delta", """

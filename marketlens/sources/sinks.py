@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.functions.times import before
 from marketlens.plans.skew import top_n_per_key
@@ -12,7 +15,8 @@ from marketlens.plans.skew import top_n_per_key
 def append_snapshot(df: DataFrame, path: str, ts: str, fmt: str = "parquet") -> None:
     """Append rows to a table laid out by day.
 
-    Rows of one day are spread over tasks by AQE after the rebalance, so a day
+    An append that is repeated writes its rows twice; where batches can be repeated,
+    take :class:`SnapshotLog`. Rows of one day are spread over tasks by AQE after the rebalance, so a day
     holding most rows yields several files of even size, not one writer.
     """
     (
@@ -22,6 +26,71 @@ def append_snapshot(df: DataFrame, path: str, ts: str, fmt: str = "parquet") ->
     )
 
 
+class SnapshotLog:
+    """Snapshots appended batch by batch, each counted once however often it is written.
+
+    Rows go to a folder of their batch, laid out by day; the batch counts from the
+    moment its entry stands in the ledger, one small file that is put in place by a
+    rename. A batch that broke off has no entry: nobody reads its rows, and the next
+    try replaces them. A batch with an entry is left as it is. ``compact`` writes
+    several batches as one whose entry takes their place.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ts: str) -> None:
+        self.spark, self.path, self.ts = spark, path.rstrip("/"), ts
+        # An empty ledger is a ledger.
+        spark.createDataFrame([], "batch string, replaces array<string>").write.mode("append").parquet(f"{self.path}/ledger/none")
+
+    def ledger(self) -> DataFrame:
+        """batch, replaces: the entries so far."""
+        return self.spark.read.schema("batch string, replaces array<string>").parquet(f"{self.path}/ledger/*")
+
+    def batches(self) -> DataFrame:
+        """batch: those that count."""
+        gone = self.ledger().select(F.explode("replaces").alias("batch"))
+        return self.ledger().select("batch").distinct().join(gone, "batch", "left_anti")
+
+    def _put(self, df: DataFrame, batch: str) -> None:
+        """The rows of a batch, without an entry; days with most rows give several files of even size."""
+        df.withColumn("snapshot_date", F.to_date(self.ts)).hint("rebalance", "snapshot_date").write.mode(
+            "overwrite").partitionBy("snapshot_date").parquet(f"{self.path}/data/batch={batch}")
+
+    def _enter(self, batch: str, replaces: list[str]) -> None:
+        self.spark.createDataFrame([(batch, replaces)], "batch string, replaces array<string>").coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.path}/ledger/{batch}")
+
+    def append(self, df: DataFrame, batch: str) -> bool:
+        """Write a batch under a name of letters, digits and dashes; False where it counts already."""
+        name = self._name(batch)
+        if not self.ledger().filter(F.col("batch") == name).isEmpty():
+            return False
+        self._put(df, name)
+        self._enter(name, [])
+        return True
+
+    @staticmethod
+    def _name(batch: str) -> str:
+        if not re.fullmatch(r"[A-Za-z0-9-]+", batch):
+            raise ValueError(f"not a batch name: {batch!r}")
+        # A letter in front keeps names that are numbers as they are.
+        return f"b-{batch}"
+
+    def read(self, schema: str | T.StructType | None = None) -> DataFrame:
+        """Rows of all batches that count, with snapshot_date; ``schema`` is needed where no batch has rows."""
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if fields is not None and self.batches().isEmpty():
+            return self.spark.createDataFrame([], T.StructType([*fields.fields, T.StructField("snapshot_date", T.DateType())]))
+        reader = self.spark.read if fields is None else self.spark.read.schema(
+            T.StructType([*fields.fields, T.StructField("batch", T.StringType()), T.StructField("snapshot_date", T.DateType())]))
+        return reader.parquet(f"{self.path}/data").join(self.batches(), "batch", "left_semi").drop("batch")
+
+    def compact(self, batch: str) -> None:
+        """All batches that count now as one."""
+        name, old = self._name(batch), sorted(r.batch for r in self.batches().collect())
+        self._put(self.read().drop("snapshot_date"), name)
+        self._enter(name, old)
+
+
 def replace_state(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write the next state to a new folder; readers switch to it once it is complete.
 
