@@ -180,6 +180,40 @@ def score_trend(analyses: DataFrame, as_of: str, days: int = 30) -> DataFrame:
         .when(change < -5, "declining").otherwise("stable")})
 
 
+def daily_scores(analyses: DataFrame) -> DataFrame:
+    """One row per competitor and day: first and last score with their time and id, number of points, their sum.
+
+    Summaries of the same day merge, so those of late or further analyses are simply
+    appended to the ones that are stored.
+    """
+    at = F.struct("analyzed_at", "id", F.col("overall_score").alias("score"))
+    return analyses.filter("analyzed_at IS NOT NULL").groupBy("competitor_id", F.to_date("analyzed_at").alias("day")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("points"),
+        F.sum(F.col("overall_score").cast("long")).alias("total"))
+
+
+def rolling_trend(daily: DataFrame, edge: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """``score_trend`` with the mean score, from daily summaries instead of the series.
+
+    Whole days of the window come from ``daily``. Of the analyses themselves only those
+    of the day in which the window begins are read, from ``edge``; a table laid out by
+    day reads just that day. Any number of summaries of one day will do.
+    """
+    start = before(edge, "analyzed_at", as_of, days=days)
+    first_day = F.to_date(F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    begun = daily_scores(edge.filter((F.to_date("analyzed_at") == first_day) & (F.col("analyzed_at") >= start)))
+    folded = daily.filter(F.col("day") > first_day).unionByName(begun).groupBy("competitor_id").agg(
+        F.sum("points").alias("points"), F.min("first").alias("_first"), F.max("last").alias("_last"),
+        F.sum("total").alias("_total"))
+    change = F.col("_last.score") - F.col("_first.score")
+    return folded.select(
+        "competitor_id", "points", F.col("_first.score").alias("first_score"), F.col("_last.score").alias("last_score"),
+        (F.col("_total") / F.col("points")).alias("mean_score"),
+        F.when(F.col("points") >= 2, change).otherwise(0).alias("change"),
+        F.when(F.col("points") < 2, "neutral").when(change > 5, "improving").when(change < -5, "declining")
+        .otherwise("stable").alias("trend"))
+
+
 def market_positioning(competitors: DataFrame, ids: list | None = None) -> DataFrame:
     """Chart points: seo strength, content quality and health; active competitors or the given ones."""
     chosen = competitors.filter("is_active") if ids is None else competitors.filter(F.col("id").isin(ids))

@@ -117,16 +117,16 @@ def _matrix(rows: DataFrame, competitors: DataFrame, value: Column) -> DataFrame
 
 
 def feature_presence(features: DataFrame, competitors: DataFrame, category: str | None = None,
-                     n: int = 20) -> DataFrame:
-    """Matrix over all competitors for the first ``n`` features by name."""
+                     n: int | None = None) -> DataFrame:
+    """Matrix over all competitors for all features, or the first ``n`` by name."""
     kept = features if category is None else features.filter(F.col("feature_category") == category)
-    first = kept.select("feature_name").distinct().orderBy("feature_name").limit(n)
-    # The list holds n names at most.
-    return _matrix(kept.join(F.broadcast(first), "feature_name"), competitors,
-                   F.coalesce(F.nullif("feature_value", F.lit("")), F.lit("Present")))
+    if n is not None:
+        # The list holds n names at most.
+        kept = kept.join(F.broadcast(kept.select("feature_name").distinct().orderBy("feature_name").limit(n)), "feature_name")
+    return _matrix(kept, competitors, F.coalesce(F.nullif("feature_value", F.lit("")), F.lit("Present")))
 
 
-def _topics(contents: DataFrame, n: int | None = 5) -> DataFrame:
+def _topics(contents: DataFrame, n: int | None = None) -> DataFrame:
     return read_keywords_json(contents.select("competitor_id", "keywords"), "keywords", "topic", n)
 
 
@@ -156,10 +156,10 @@ def _missing_topics(users: DataFrame, competitors: DataFrame, you, ids: list | N
 
 
 def content_gaps(contents: DataFrame, competitors: DataFrame, you=None, ids: list | None = None,
-                 n: int | None = None, top_topics: int | None = None, per_page: int | None = 5) -> DataFrame:
+                 n: int | None = None, top_topics: int | None = None, per_page: int | None = None) -> DataFrame:
     """Topics two or more others cover and you do not, best opportunities first, all or the first ``n``.
 
-    Topics are the first ``per_page`` keywords of each page, or all. Longer title
+    Topics are all keywords of each page, or the first ``per_page``. Longer title
     words add to coverage but not to the ranking of topics. With ``top_topics`` only
     that many missing topics, the most mentioned, are ranked.
     """
@@ -172,7 +172,7 @@ def content_gaps(contents: DataFrame, competitors: DataFrame, you=None, ids: lis
 
 
 def content_gap_coverage(contents: DataFrame, competitors: DataFrame, you=None, ids: list | None = None,
-                         per_page: int | None = 5) -> DataFrame:
+                         per_page: int | None = None) -> DataFrame:
     """(topic, competitor_id): who covers each missing topic."""
     users = _topic_users(contents, ids, per_page)
     missing = _missing_topics(users, competitors, you, ids).select("topic")
@@ -186,24 +186,24 @@ def _partly_covered(pairs: DataFrame, competitors: DataFrame, ids: list | None)
 
 
 def topic_coverage(contents: DataFrame, competitors: DataFrame, ids: list | None = None,
-                   per_page: int | None = 5) -> DataFrame:
+                   per_page: int | None = None) -> DataFrame:
     """Topics covered by some competitors but not by all."""
     pairs = _topics(_chosen(contents, ids), per_page).select("topic", "competitor_id").distinct()
     return _partly_covered(pairs, competitors, ids)
 
 
 def topic_coverage_rows(contents: DataFrame, competitors: DataFrame, ids: list | None = None,
-                        per_page: int | None = 5) -> DataFrame:
+                        per_page: int | None = None) -> DataFrame:
     """(topic, competitor_id): who covers each topic that not all cover."""
     pairs = _topics(_chosen(contents, ids), per_page).select("topic", "competitor_id").distinct()
     return pairs.join(_partly_covered(pairs, competitors, ids).select("topic"), "topic")
 
 
 def topic_matrix(contents: DataFrame, competitors: DataFrame, content_type: str | None = None,
-                 n: int | None = 20) -> DataFrame:
-    """(topic, competitor) pairs covered, for the first ``n`` topics by name or for all."""
+                 n: int | None = None, per_page: int | None = None) -> DataFrame:
+    """(topic, competitor) pairs covered, for all topics or the first ``n`` by name."""
     kept = contents if content_type is None else contents.filter(F.col("content_type") == content_type)
-    pairs = _topics(kept).select("topic", "competitor_id").distinct()
+    pairs = _topics(kept, per_page).select("topic", "competitor_id").distinct()
     if n is not None:
         # The list holds n topics at most.
         pairs = pairs.join(F.broadcast(pairs.select("topic").distinct().orderBy("topic").limit(n)), "topic")
@@ -212,12 +212,15 @@ def topic_matrix(contents: DataFrame, competitors: DataFrame, content_type: str
 
 
 def keyword_opportunities(analyses: DataFrame, competitors: DataFrame, ids: list | None = None,
-                          n: int | None = None, newest_of_each: int = 5, per_analysis: int | None = 10) -> DataFrame:
-    """Keywords few competitors use, all or the first ``n``: ten keywords of each of the five newest analyses.
+                          n: int | None = None, newest_of_each: int | None = None,
+                          per_analysis: int | None = None) -> DataFrame:
+    """Keywords few competitors use, all or the first ``n``, of all analyses or the newest of each competitor.
 
-    100 less 15 per competitor, 10 at least.
+    ``per_analysis`` reads so many keywords of an analysis. 100 less 15 per competitor,
+    10 at least.
     """
-    newest = seo_history(_chosen(analyses, ids), newest_of_each).join(
+    own = _chosen(analyses, ids)
+    newest = (own if newest_of_each is None else seo_history(own, newest_of_each)).join(
         competitors.select(F.col("id").alias("competitor_id")), "competitor_id", "left_semi")
     words = read_keywords_json(
         newest.filter(F.col("keyword_density").rlike(r"^\s*\{")).select("competitor_id", "keyword_density"),
@@ -229,19 +232,21 @@ def keyword_opportunities(analyses: DataFrame, competitors: DataFrame, ids: list
     return scored if n is None else scored.orderBy(F.col("opportunity_score").desc(), "keyword").limit(n)
 
 
-def keyword_opportunities_recent(analyses: DataFrame, competitors: DataFrame, limit: int = 20,
-                                 window: int = 100) -> DataFrame:
-    """Keywords of the newest ``window`` analyses, the first ``limit`` seen.
+def keyword_opportunities_recent(analyses: DataFrame, competitors: DataFrame, limit: int | None = None,
+                                 window: int | None = None) -> DataFrame:
+    """Keywords of all analyses or the newest ``window``; all of them, or the first ``limit`` seen.
 
     100 less 10 per occurrence, 20 at least.
     """
     known = analyses.join(competitors.select(F.col("id").alias("competitor_id")), "competitor_id", "left_semi")
-    newest = known.select("id", "analyzed_at", "keyword_density").orderBy(
-        F.col("analyzed_at").desc(), F.col("id").desc()).limit(window)
+    newest = known.select("id", "analyzed_at", "keyword_density")
+    if window is not None:
+        newest = newest.orderBy(F.col("analyzed_at").desc(), F.col("id").desc()).limit(window)
     words = read_keywords_json(newest.filter(F.col("keyword_density").rlike(r"^\s*\{")), "keyword_density")
     seen = F.max(F.struct("analyzed_at", "id", (-F.col("keyword_pos")).alias("back")))
-    first = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("occurrences"), seen.alias("seen")).orderBy(
-        F.col("seen").desc(), "keyword").limit(limit)
+    first = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("occurrences"), seen.alias("seen"))
+    if limit is not None:
+        first = first.orderBy(F.col("seen").desc(), "keyword").limit(limit)
     return first.select("keyword", "occurrences", F.greatest(
         F.lit(100) - F.col("occurrences") * 10, F.lit(20)).cast("int").alias("opportunity_score"))
 

@@ -11,6 +11,7 @@ from marketlens.operators import gaps as ga
 from marketlens.operators import seo
 from marketlens.operators import seo_reports as sr
 from marketlens.plans import entity_views as ev
+from marketlens.plans.components import written
 from marketlens.plans.registry import query
 
 YOU = 7
@@ -389,6 +390,27 @@ def _(spark, sf):
     return co.score_trend(_analyses(spark, sf), ev.AS_OF_EVENTS, days=14)
 
 
+_WINDOWS = ((3, "2024-01-30 12:00:00"), (14, "2024-01-30 12:00:00"), (400, "2024-01-25 00:00:00"))
+
+
+@query("rolling_trend", " UNION ALL ".join(f"""
+SELECT {days} AS days, competitor_id, points, first_score, last_score, mean_score,
+  CASE WHEN points >= 2 THEN last_score - first_score ELSE 0 END AS change,
+  CASE WHEN points < 2 THEN 'neutral' WHEN last_score - first_score > 5 THEN 'improving'
+    WHEN last_score - first_score < -5 THEN 'declining' ELSE 'stable' END AS trend
+FROM (SELECT competitor_id, count(*) AS points, first(overall_score ORDER BY analyzed_at, id) AS first_score,
+  last(overall_score ORDER BY analyzed_at, id) AS last_score, sum(overall_score)::DOUBLE / count(*) AS mean_score
+  FROM seo_analyses WHERE analyzed_at >= TIMESTAMP '{as_of}' - INTERVAL {days} DAYS GROUP BY 1)""" for days, as_of in _WINDOWS),
+       "seo_analyses")
+def _(spark, sf):
+    # Two sets of summaries, as if half of the analyses had come later, stored once for all windows.
+    analyses = _analyses(spark, sf)
+    halves = [co.daily_scores(analyses.filter(F.pmod(F.hash("id"), F.lit(2)) == k)) for k in (0, 1)]
+    daily = written(halves[0].unionByName(halves[1]), "daily-scores")
+    trends = [co.rolling_trend(daily, analyses, as_of, days).withColumn("days", F.lit(days)) for days, as_of in _WINDOWS]
+    return trends[0].unionByName(trends[1]).unionByName(trends[2])
+
+
 @query("market_positioning", """
 SELECT name, seo_score AS x, content_score AS y, health_score AS size, competitor_type AS type
 FROM competitors WHERE is_active""", "competitors")
@@ -467,7 +489,13 @@ WITH {_SELLERS}, k AS (SELECT * FROM product_features WHERE feature_category = '
 r AS (SELECT * FROM k WHERE feature_name IN (SELECT DISTINCT feature_name FROM k ORDER BY feature_name LIMIT 20))
 """ + _sql_matrix("r", "coalesce(feature_value, 'Present')"), "product_features")
 def _(spark, sf):
-    return ga.feature_presence(ev.product_features(spark, sf), _sellers(spark, sf), "general")
+    return ga.feature_presence(ev.product_features(spark, sf), _sellers(spark, sf), "general", n=20)
+
+
+@query("feature_presence_full", f"WITH {_SELLERS} " + _sql_matrix("product_features", "coalesce(feature_value, 'Present')"),
+       "product_features")
+def _(spark, sf):
+    return ga.feature_presence(ev.product_features(spark, sf), _sellers(spark, sf))
 
 
 _SITES = "sites AS (SELECT DISTINCT competitor_id AS id, 'Site ' || competitor_id AS name FROM content_base)"
@@ -493,8 +521,13 @@ content_top AS (SELECT *, CAST(trunc(competitors_with::DOUBLE / competitors_tota
   FROM content_gap)"""
 
 
-def _content_gaps(spark, sf):
-    return ga.content_gaps(ev.contents(spark, sf), _sites(spark, sf), YOU)
+_ALL_TOPICS = _TOPICS.replace(" WHERE keyword_pos < 5", "")
+#: The short lists read so many keywords of a page; the full ones all.
+SHORT = 5
+
+
+def _content_gaps(spark, sf, per_page=SHORT):
+    return ga.content_gaps(ev.contents(spark, sf), _sites(spark, sf), YOU, per_page=per_page)
 
 
 @query("content_gaps", f"""
@@ -504,9 +537,23 @@ def _(spark, sf):
     return _content_gaps(spark, sf)
 
 
+@query("content_gaps_full", f"""
+WITH {_SITES}, {_ALL_TOPICS}, {_CONTENT_GAPS} SELECT upper(topic[1]) || topic[2:] AS topic, false AS your_coverage,
+  competitors_with, competitors_total, opportunity_score FROM content_top""", "content_keywords contents")
+def _(spark, sf):
+    return _content_gaps(spark, sf, None)
+
+
 @query("content_gap_coverage", f"""
 WITH {_SITES}, {_TOPICS}, {_CONTENT_GAPS} SELECT upper(topic[1]) || topic[2:] AS topic, competitor_id
 FROM covering JOIN content_top USING (topic)""", "content_keywords contents")
+def _(spark, sf):
+    return ga.content_gap_coverage(ev.contents(spark, sf), _sites(spark, sf), YOU, per_page=SHORT)
+
+
+@query("content_gap_coverage_full", f"""
+WITH {_SITES}, {_ALL_TOPICS}, {_CONTENT_GAPS} SELECT upper(topic[1]) || topic[2:] AS topic, competitor_id
+FROM covering JOIN content_top USING (topic)""", "content_keywords contents")
 def _(spark, sf):
     return ga.content_gap_coverage(ev.contents(spark, sf), _sites(spark, sf), YOU)
 
@@ -515,6 +562,14 @@ def _(spark, sf):
 WITH {_SITES}, {_TOPICS} SELECT topic, count(DISTINCT competitor_id) AS competitors_with,
   (SELECT count(*) FROM sites) AS competitors_total FROM topics GROUP BY topic
 HAVING count(DISTINCT competitor_id) < (SELECT count(*) FROM sites)""", "content_keywords contents")
+def _(spark, sf):
+    return ga.topic_coverage(ev.contents(spark, sf), _sites(spark, sf), per_page=SHORT)
+
+
+@query("topic_coverage_full", f"""
+WITH {_SITES}, {_ALL_TOPICS} SELECT topic, count(DISTINCT competitor_id) AS competitors_with,
+  (SELECT count(*) FROM sites) AS competitors_total FROM topics GROUP BY topic
+HAVING count(DISTINCT competitor_id) < (SELECT count(*) FROM sites)""", "content_keywords contents")
 def _(spark, sf):
     return ga.topic_coverage(ev.contents(spark, sf), _sites(spark, sf))
 
@@ -523,6 +578,14 @@ def _(spark, sf):
 WITH {_SITES}, {_TOPICS} SELECT DISTINCT topic, competitor_id FROM topics WHERE topic IN (
   SELECT topic FROM topics GROUP BY topic HAVING count(DISTINCT competitor_id) < (SELECT count(*) FROM sites))""",
        "content_keywords contents")
+def _(spark, sf):
+    return ga.topic_coverage_rows(ev.contents(spark, sf), _sites(spark, sf), per_page=SHORT)
+
+
+@query("topic_coverage_rows_full", f"""
+WITH {_SITES}, {_ALL_TOPICS} SELECT DISTINCT topic, competitor_id FROM topics WHERE topic IN (
+  SELECT topic FROM topics GROUP BY topic HAVING count(DISTINCT competitor_id) < (SELECT count(*) FROM sites))""",
+       "content_keywords contents")
 def _(spark, sf):
     return ga.topic_coverage_rows(ev.contents(spark, sf), _sites(spark, sf))
 
@@ -532,7 +595,14 @@ WITH {_SITES}, {_TOPICS}, k AS (SELECT DISTINCT topic, competitor_id FROM topics
 SELECT topic, s.name AS competitor_name FROM k JOIN sites s ON s.id = competitor_id
 WHERE topic IN (SELECT DISTINCT topic FROM k ORDER BY topic LIMIT 20)""", "content_keywords contents")
 def _(spark, sf):
-    return ga.topic_matrix(ev.contents(spark, sf), _sites(spark, sf), "other")
+    return ga.topic_matrix(ev.contents(spark, sf), _sites(spark, sf), "other", n=20, per_page=SHORT)
+
+
+@query("topic_matrix_full", f"""
+WITH {_SITES}, {_ALL_TOPICS} SELECT DISTINCT topic, s.name AS competitor_name FROM topics JOIN sites s ON s.id = competitor_id""",
+       "content_keywords contents")
+def _(spark, sf):
+    return ga.topic_matrix(ev.contents(spark, sf), _sites(spark, sf))
 
 
 _HISTORY_KW = """recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY competitor_id
@@ -544,8 +614,11 @@ keyword_gap AS (SELECT keyword, count(*) AS competitors_ranking, CAST(greatest(1
 keyword_top AS (SELECT * FROM keyword_gap)"""
 
 
-def _keyword_gaps(spark, sf):
-    return ga.keyword_opportunities(_analyses(spark, sf), ev.competitors(spark, sf))
+_ALL_KW = _HISTORY_KW.replace(" WHERE rn <= 5)", ")")
+
+
+def _keyword_gaps(spark, sf, newest=SHORT, keywords=10):
+    return ga.keyword_opportunities(_analyses(spark, sf), ev.competitors(spark, sf), newest_of_each=newest, per_analysis=keywords)
 
 
 @query("keyword_opportunities", f"WITH {_HISTORY_KW} SELECT * FROM keyword_top", "seo_analyses competitors")
@@ -553,6 +626,11 @@ def _(spark, sf):
     return _keyword_gaps(spark, sf)
 
 
+@query("keyword_opportunities_full", f"WITH {_ALL_KW} SELECT * FROM keyword_top", "seo_analyses competitors")
+def _(spark, sf):
+    return _keyword_gaps(spark, sf, None, None)
+
+
 @query("keyword_opportunities_recent", """
 WITH newest AS (SELECT * FROM seo_analyses WHERE competitor_id IN (SELECT id FROM competitors)
   ORDER BY analyzed_at DESC, id DESC LIMIT 100),
@@ -560,6 +638,17 @@ w AS (SELECT id, analyzed_at, unnest([keyword_1, keyword_2, keyword_3]) AS keywo
   WHERE has_keywords),
 g AS (SELECT keyword, count(*) AS occurrences, max({'a': analyzed_at, 'i': id, 'b': -kpos}) AS seen FROM w GROUP BY keyword
   ORDER BY seen DESC, keyword LIMIT 20)
+SELECT keyword, occurrences, CAST(greatest(100 - occurrences * 10, 20) AS INTEGER) AS opportunity_score FROM g""",
+       "seo_analyses competitors")
+def _(spark, sf):
+    return ga.keyword_opportunities_recent(_analyses(spark, sf), ev.competitors(spark, sf), limit=20, window=100)
+
+
+@query("keyword_opportunities_recent_full", """
+WITH newest AS (SELECT * FROM seo_analyses WHERE competitor_id IN (SELECT id FROM competitors)),
+w AS (SELECT id, analyzed_at, unnest([keyword_1, keyword_2, keyword_3]) AS keyword, unnest([0, 1, 2]) AS kpos FROM newest
+  WHERE has_keywords),
+g AS (SELECT keyword, count(*) AS occurrences, max({'a': analyzed_at, 'i': id, 'b': -kpos}) AS seen FROM w GROUP BY keyword)
 SELECT keyword, occurrences, CAST(greatest(100 - occurrences * 10, 20) AS INTEGER) AS opportunity_score FROM g""",
        "seo_analyses competitors")
 def _(spark, sf):
@@ -575,3 +664,14 @@ SELECT f AS feature_gaps, c AS content_gaps, k AS keyword_opportunities,
        "product_features content_keywords contents seo_analyses competitors")
 def _(spark, sf):
     return ga.gap_summary(_feature_gaps(spark, sf), _content_gaps(spark, sf), _keyword_gaps(spark, sf))
+
+
+@query("gap_summary_full", f"""
+WITH {_SELLERS}, {_FEATURE_GAPS}, {_SITES}, {_ALL_TOPICS}, {_CONTENT_GAPS}, {_ALL_KW},
+n AS (SELECT (SELECT count(*) FROM ({_FEATURE_TOP})) AS f, (SELECT count(*) FROM content_top) AS c,
+  (SELECT count(*) FROM keyword_top) AS k)
+SELECT f AS feature_gaps, c AS content_gaps, k AS keyword_opportunities,
+  greatest(0, 100 - (f + c + k) * 2) AS overall_opportunity_score FROM n""",
+       "product_features content_keywords contents seo_analyses competitors")
+def _(spark, sf):
+    return ga.gap_summary(_feature_gaps(spark, sf), _content_gaps(spark, sf, None), _keyword_gaps(spark, sf, None, None))

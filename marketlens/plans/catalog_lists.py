@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from marketlens.operators import dashboards as da
 from marketlens.operators import listings as li
+from marketlens.operators.search import TrigramIndex
 from marketlens.plans import entity_views as ev
 from marketlens.plans.registry import query
 from marketlens.session import scratch_dir
@@ -84,6 +87,23 @@ def _(spark, sf):
     return li.search_competitors(ev.competitors(spark, sf), "SITE7", "indirect").select(*_COMPETITOR)
 
 
+_SEARCHED = ["BOLT", "old w", "customer#00000012", "rin", "t", "Nowhere", "#%_", "0000"]
+
+
+@query("search_by_trigrams", " UNION ALL ".join(f"""
+SELECT '{t}' AS text, id, name FROM (SELECT p_partkey AS id, p_name AS name, p_type AS kind FROM part
+  UNION ALL SELECT c_custkey + 1000000, c_name, c_mktsegment FROM customer)
+WHERE contains(lower(name), lower('{t}')) OR contains(lower(kind), lower('{t}'))""" for t in _SEARCHED))
+def _(spark, sf):
+    named = ev.raw(spark, sf, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_type AS kind").unionByName(
+        ev.raw(spark, sf, "customer").selectExpr("c_custkey + 1000000 AS id", "c_name AS name", "c_mktsegment AS kind"))
+    index = TrigramIndex(spark, scratch_dir(spark, "trigrams"), named.schema["id"], ["name", "kind"], buckets=8)
+    index.add(named.filter("id < 1000000"), "parts")
+    index.add(named.filter("id >= 1000000"), "customers")
+    found = [index.search(named, t).select(F.lit(t).alias("text"), "id", "name") for t in _SEARCHED]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query("list_content", """
 SELECT id, competitor_id, url, content_type, word_count, has_changed, last_checked FROM contents
 WHERE has_changed AND content_type = 'other' ORDER BY last_checked DESC, id DESC LIMIT 100""", "contents")
