@@ -579,30 +579,37 @@ def price_mentions(pages: DataFrame, key: str = "page_id", mode: str = "first",
         F.transform(distinct, lambda c: F.struct(c.alias("c"), extract_price_values(c["text"], mode).alias("prices"))),
         lambda c: F.size(c["prices"]) > 0)
 
-    def context(c: Column) -> Column:
-        parent = F.get(nodes, F.when(c["c"]["parent"] >= 0, c["c"]["parent"]))
+    def about(place: Column) -> Column:
+        """What the enclosing element says of its prices; worked out once for all of them."""
+        parent = F.get(nodes, F.when(place >= 0, place))
         strike = dom.first_under(nodes, parent, dom.tag_in("s", "strike", "del"), dom.class_like("original|was|old"))
         shown = F.array_join(F.transform(F.filter(dom.texts_under(texts, parent), lambda t: ~dom.in_zone(
             t, *dom.RAW_TEXT)), lambda t: t["text"]), "")
+        struck = let(strike, lambda s: F.when(s.isNotNull(), dom.raw_text_of(texts, s)))
+        original = let(struck, lambda s: F.when(s.isNotNull(), normalize_price(F.get(first_price_text(s), F.lit(0)))))
+        worded = let(shown, lambda around: F.coalesce(*[
+            F.nullif(F.regexp_extract(around, f"(?i){p}", 1), F.lit("")) for p in DISCOUNT_PATTERNS]).try_cast("int"))
         return F.struct(
-            c["c"]["id"].alias("element"), c["c"]["text"].alias("text"), c["prices"].alias("prices"),
-            _product_name(nodes, texts, F.col("_headings"), F.col("_titled"), c["c"]).alias("name"), shown.alias("around"),
-            let(strike, lambda s: F.when(s.isNotNull(), dom.raw_text_of(texts, s))).alias("struck"))
-
-    shown = unnest(flat, [key, "url"], F.transform(priced, context), "m").select(key, "url", "m.*")
+            _product_name(nodes, texts, F.col("_headings"), F.col("_titled"), F.struct(place.alias("parent"))).alias("name"),
+            F.nullif(original, F.lit(0).cast("decimal(12,2)")).alias("original_price"), worded.alias("worded"))
+
+    def with_places(found: Column) -> Column:
+        places = F.array_distinct(F.transform(found, lambda c: c["c"]["parent"]))
+        return let(let(places, lambda p: F.map_from_arrays(p, F.transform(p, about))), lambda known: F.transform(
+            found, lambda c: F.struct(
+                c["c"]["id"].alias("element"), c["c"]["text"].alias("text"), c["prices"].alias("prices"),
+                F.element_at(known, c["c"]["parent"]).alias("about"))))
+
+    shown = unnest(flat, [key, "url"], let(priced, with_places), "m").select(
+        key, "url", "m.element", "m.text", "m.prices", "m.about.*")
     rows = unnest(shown, ["*"], "prices", "price", "pos")
-    original = F.when(F.col("struck").isNotNull(), normalize_price(
-        F.get(first_price_text(F.col("struck")), F.lit(0))))
-    original = F.nullif(original, F.lit(0).cast("decimal(12,2)"))
-    worded = F.coalesce(*[
-        F.nullif(F.regexp_extract("around", f"(?i){p}", 1), F.lit("")) for p in DISCOUNT_PATTERNS]).try_cast("int")
     saved = sale_from_original(F.col("price"), F.col("original_price"))
-    return rows.withColumn("original_price", original).select(
+    return rows.select(
         key, "element", "pos",
         F.coalesce("name", F.concat(F.lit("Product on "), "url")).alias("product_name"), "price", "original_price",
         detect_currency(F.col("text")).alias("currency"),
-        (saved.isNotNull() | worded.isNotNull()).alias("is_on_sale"),
-        F.coalesce(worded, saved).alias("discount_percent"), F.col("url").alias("source_url"))
+        (saved.isNotNull() | F.col("worded").isNotNull()).alias("is_on_sale"),
+        F.coalesce("worded", saved).alias("discount_percent"), F.col("url").alias("source_url"))
 
 
 def _card_rule(n: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,33 +20,38 @@ def trigrams(text: Column) -> Column:
 
 
 class TrigramIndex:
-    """Postings (trigram, column, key) of text columns, as parquet bucketed and sorted by trigram.
+    """Postings (trigram, place, item) of text columns, as parquet laid out by a hash of the trigram and sorted by it.
 
-    A search reads the buckets of its trigrams only, and in them, by the statistics of
+    A search reads the folders of its trigrams only, and in them, by the statistics of
     sorted files, little else. How often each trigram stands is kept beside, so that
     of a text's trigrams the rarest are read: one that a third of all names hold is
-    left out where another will do. New rows are appended; keys may be of any type
-    and should be unique.
+    left out where another will do. New rows come in batches, each in folders of its
+    own that a repeated batch replaces; keys may be of any type and should be unique.
     """
 
     def __init__(self, spark: SparkSession, location: str, key: T.StructField, columns: Sequence[str], buckets: int = 64) -> None:
-        self.spark, self.location, self.key, self.columns, self.buckets = spark, location.rstrip("/"), key.name, list(columns), buckets
-        self.table = "trigrams_" + hashlib.md5(self.location.encode()).hexdigest()
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (trigram STRING, place INT, item {key.dataType.simpleString()}) USING parquet "
-            f"CLUSTERED BY (trigram) SORTED BY (trigram) INTO {buckets} BUCKETS LOCATION '{self.location}/postings'")
+        self.spark, self.location, self.key, self.columns, self.buckets = spark, location.rstrip("/"), key, list(columns), buckets
+
+    def _bucket(self, trigram: Column) -> Column:
+        return F.pmod(F.xxhash64(trigram), F.lit(self.buckets)).cast("int")
 
     def add(self, rows: DataFrame, batch: str) -> None:
         """Index rows under the name of their batch; a batch whose counts stand is left as it is."""
         if not self._counts().filter(F.col("batch") == f"b-{batch}").isEmpty():
             return
         places = F.array(*[F.struct(F.lit(i).alias("place"), trigrams(F.col(c)).alias("found")) for i, c in enumerate(self.columns)])
-        found = rows.select(F.col(self.key).alias("item"), F.explode(places).alias("p")).select(
+        found = rows.select(F.col(self.key.name).alias("item"), F.explode(places).alias("p")).select(
             F.explode("p.found").alias("trigram"), F.col("p.place").alias("place"), "item")
-        found.repartition(self.buckets, "trigram").write.insertInto(self.table)
-        self.spark.catalog.refreshTable(self.table)
-        found.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
-            f"{self.location}/counts/batch=b-{batch}")
+        folder = f"{self.location}/postings/batch=b-{batch}"
+        found.withColumn("bucket", self._bucket(F.col("trigram"))).repartition("bucket").sortWithinPartitions(
+            "bucket", "trigram").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        # The counts come last: with them the batch counts.
+        self.spark.read.schema(self._schema()).parquet(folder).groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).write.mode(
+            "overwrite").parquet(f"{self.location}/counts/batch=b-{batch}")
+
+    def _schema(self, *more: T.StructField) -> T.StructType:
+        return T.StructType([T.StructField("trigram", T.StringType()), T.StructField("place", T.IntegerType()),
+                             T.StructField("item", self.key.dataType), T.StructField("bucket", T.IntegerType()), *more])
 
     def _counts(self) -> DataFrame:
         # An empty table is a table.
@@ -65,15 +69,22 @@ class TrigramIndex:
         return sorted(wanted, key=lambda t: (counts[t], t))[:most] if len(counts) == len(wanted) else []
 
     def postings(self, chosen: list[str]) -> DataFrame:
-        return self.spark.table(self.table).filter(F.col("trigram").isin(chosen))
+        """Rows of the chosen trigrams; the folders to read are known when the query is planned."""
+        rows = self.spark.read.schema(self._schema(T.StructField("batch", T.StringType()))).parquet(f"{self.location}/postings")
+        wanted = F.lit(False)
+        for t in chosen:
+            wanted |= (F.col("bucket") == self._bucket(F.lit(t))) & (F.col("trigram") == t)
+        return rows.filter(wanted)
 
     def candidates(self, text: str, most: int = MOST) -> DataFrame | None:
         """Keys of rows of which one column holds all chosen trigrams; None where the text has none."""
         chosen = self.chosen(text, most)
         if chosen is None:
             return None
+        if not chosen:
+            return self.spark.createDataFrame([], T.StructType([self.key]))
         met = self.postings(chosen).groupBy("place", "item").agg(F.count_distinct("trigram").alias("n"))
-        return met.filter(F.col("n") == max(1, len(chosen))).select(F.col("item").alias(self.key)).distinct()
+        return met.filter(F.col("n") == len(chosen)).select(F.col("item").alias(self.key.name)).distinct()
 
     def search(self, rows: DataFrame, text: str) -> DataFrame:
         """Rows of which a column contains the text, in any case; texts of under three characters read all rows."""
@@ -82,4 +93,4 @@ class TrigramIndex:
         for c in self.columns:
             hit |= F.coalesce(F.contains(F.lower(c), low), F.lit(False))
         found = self.candidates(text)
-        return rows.filter(hit) if found is None else rows.join(found, self.key, "left_semi").filter(hit)
+        return rows.filter(hit) if found is None else rows.join(found, self.key.name, "left_semi").filter(hit)

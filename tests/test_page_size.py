@@ -11,6 +11,8 @@ MAKERS = {
     "anchors": (4000, lambda n: "".join(f'<p><a href="/p{i}">link {i}</a></p>' for i in range(n))),
     "prices": (800, lambda n: "".join(
         f'<div class="card"><h3>Item {i}</h3><div><span class="price">${i + 1}.50</span></div></div>' for i in range(n))),
+    "prices_of_one_parent": (2000, lambda n: "<div><h3>All</h3><s>$9999</s> save 10%" + "".join(
+        f'<span class="price">${i + 1}.50</span> ' for i in range(n)) + "</div>"),
     "cards": (400, lambda n: "".join(
         f'<div class="product"><h3>Thing {i}</h3><ul class="features"><li>first part</li><li>second part</li></ul></div>'
         for i in range(n))),
@@ -20,6 +22,7 @@ MAKERS = {
 RUNS = {
     "anchors": lambda df: html.extract_links(html.extract_page_facts(df)),
     "prices": html.price_mentions,
+    "prices_of_one_parent": html.price_mentions,
     "cards": html.extract_products,
     "microdata": lambda df: html.microdata_items(html.extract_page_facts(df)),
 }

@@ -28,7 +28,7 @@ def test_search_equals_contains(spark):
     assert index.postings(index.chosen("aaaaaa")).count() <= 4
     plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
         index.postings(["abc"])._jdf.queryExecution(), "formatted")
-    assert "SelectedBucketsCount: 1 out of 4" in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(trigram,abc)" in plan
 
 
 def test_rolling_trend_equals_series(spark):
