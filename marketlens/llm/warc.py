@@ -24,6 +24,8 @@ from marketlens.llm.common import documents, saved, whole
 #: Fixed values of the seekable format: skippable frame magic, table magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, LEVEL = 1 << 18, 3
+#: Compressed bytes of frames that one task reads back.
+TASK_BYTES = 4_000_000
 #: Smaller payloads are always stored.
 MIN_SHARED = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -219,8 +221,15 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                     yield _rows(list(parse_records(zstandard.decompress(file.read_at(size, start)))))
 
     # A bundle is named by every record of its index: taken once each.
-    listed = bundles.select("bundle").distinct().mapInArrow(frames, "bundle string, frame_start long, frame_bytes long")
-    return listed.repartition("bundle", "frame_start").mapInArrow(records, RECORD)
+    listed = saved(bundles.select("bundle").distinct().mapInArrow(
+        frames, "bundle string, frame_start long, frame_bytes long"), "warc-frames")
+    return listed.repartition(_parts(listed), "bundle", "frame_start").mapInArrow(records, RECORD)
+
+
+def _parts(frames: DataFrame) -> int:
+    """Tasks to read so many frames with: a row of a frame is small, so its bytes count, not those that are shuffled."""
+    total = frames.agg(F.coalesce(F.sum("frame_bytes"), F.lit(0))).first()[0]
+    return max(1, -(-total // TASK_BYTES))
 
 
 def fetch(index: DataFrame) -> DataFrame:
@@ -239,7 +248,8 @@ def fetch(index: DataFrame) -> DataFrame:
             yield _rows(found)
 
     wanted = index.select("bundle", "frame_start", "frame_bytes", "start", "length")
-    dealt = wanted.repartition("bundle", "frame_start").sortWithinPartitions("bundle", "frame_start", "start")
+    parts = _parts(wanted.select("bundle", "frame_start", "frame_bytes").distinct())
+    dealt = wanted.repartition(parts, "bundle", "frame_start").sortWithinPartitions("bundle", "frame_start", "start")
     return dealt.mapInArrow(run, RECORD)
 
 

@@ -295,3 +295,13 @@ def test_packing_digests(spark):
     text = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("doc_id") == row.doc_id).first().text
     ids = np.array(library(WORDS).encode(text, add_special_tokens=False).ids + [2], "<u4")
     assert row.ids_crc32 == zlib.crc32(ids.tobytes())
+
+
+def test_bundles_are_read_by_bytes(spark, monkeypatch):
+    """The tasks that read frames grow with the frames' bytes, not with the few bytes of their rows."""
+    rng = np.random.default_rng(1)
+    pages = spark.createDataFrame([(i, f"u{i}", rng.bytes(300).hex()) for i in range(200)], "page_id long, url string, html string")
+    index = warc.write_bundles(pages, session.scratch_dir(spark, "t-warc-bytes"), frame_bytes=2000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 5000)
+    for found in (warc.read_bundles(index), warc.fetch(index)):
+        assert found.rdd.getNumPartitions() > 5 and found.count() == 200
