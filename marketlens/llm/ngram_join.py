@@ -400,21 +400,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of near copies, the one with the least id (null ids last); texts without words all stay."""
     found = saved(near_copies(docs, id_col, text_col), "near-copies")
-    # The limit of one row per class is applied in every task before rows are dealt out.
-    first = Window.partitionBy("class_node").orderBy(F.col("doc_id").asc_nulls_last(), "row_high", "row_low")
-    stay = found.filter("class_node IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter("_n = 1").unionByName(
-        found.filter("class_node IS NULL").withColumn("_n", F.lit(1))).select(
-        F.col("row_high").alias("key_high"), F.col("row_low").alias("key_low"), (F.col("class_node").isNull()).alias("key_all"))
     base = docs.select("*", *[F.col(c).cast(t).alias(n) for c, t, n in zip(
         (id_col, text_col), ("long", "string"), fresh(docs, "_id", "_text"))])
     names = base.columns[-2:]
     keyed = base.select("*", *row_key(base, names))
     high, low = keyed.columns[-2:]
-    number, every = fresh(keyed, "_number", "_every")
-    kept = keyed.join(stay.distinct().withColumnRenamed("key_all", every),
-                      (keyed[high] == F.col("key_high")) & (keyed[low] == F.col("key_low")))
+    number, every, first_high, first_low = fresh(keyed, "_number", "_every", "_first_high", "_first_low")
+    # The limit of one row per class is applied in every task before rows are dealt out.
+    first = Window.partitionBy("class_node").orderBy(F.col("doc_id").asc_nulls_last(), "row_high", "row_low")
+    stay = found.filter("class_node IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter("_n = 1").unionByName(
+        found.filter("class_node IS NULL").withColumn("_n", F.lit(1))).select(
+        F.col("row_high").alias(first_high), F.col("row_low").alias(first_low), F.col("class_node").isNull().alias(every))
+    kept = keyed.join(stay.distinct(), (keyed[high] == F.col(first_high)) & (keyed[low] == F.col(first_low)))
     # Rows equal in id and text share a key; one of them stays.
-    same = Window.partitionBy("key_high", "key_low").orderBy(F.lit(1))
+    same = Window.partitionBy(first_high, first_low).orderBy(F.lit(1))
     return kept.withColumn(number, F.row_number().over(same)).filter(F.col(every) | (F.col(number) == 1)).select(*docs.columns)
 
 

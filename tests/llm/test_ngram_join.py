@@ -116,3 +116,14 @@ def test_minhash_is_close_to_the_similarity():
     same = np.mean([(nj.minhash(np.unique(a[i:i + 300])) == nj.minhash(np.unique(np.r_[a[i + 60:i + 300], b[i:i + 60]]))).mean()
                     for i in range(0, 2700, 300)])
     assert abs(same - 240 / 360) < 0.06
+
+
+def test_keep_one_with_clashing_names(spark):
+    """Columns that are called as the operator's own are carried through."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 5, 6, "a", 1), (2, text + " x", 7, 8, "b", 2), (3, "other words", 9, 9, "c", 3), (3, "other words", 9, 9, "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key_high long, KEY_LOW long, key_all string, _number int")
+    df = df.selectExpr("*", "1 AS _first_high", "2 AS node", "3 AS class_node", "4 AS row_high", "5 AS _Every")
+    kept = nj.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
