@@ -105,7 +105,7 @@ def _by_rules_sql(private):
 WITH rules(rule, private) AS (VALUES {_RULES_SQL}),
 hosts AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN e ELSE 'p' || page_id || '.' || e END AS host
   FROM pages, unnest({ev.sql_list(_ENDS)}) t(e)),
-l AS (SELECT page_id, host, list_reverse(string_split(regexp_replace(regexp_replace(lower(host), ':[0-9]*$', ''), '\.$', ''), '.')) AS labels
+l AS (SELECT page_id, host, list_reverse(string_split(regexp_replace(regexp_replace(lower(host), ':[0-9]*$', ''), '[.]$', ''), '.')) AS labels
   FROM hosts),
 names AS (SELECT page_id, host, labels, n, array_to_string(list_reverse(labels[1:n]), '.') AS name
   FROM l, unnest(range(1, len(labels) + 1)) t(n)),
