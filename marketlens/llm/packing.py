@@ -35,7 +35,7 @@ LONG_SENTENCE = 512
 #: Tokens held at once: the windows of so many tokens are settled together.
 HORIZON = 1 << 20
 #: Bytes of texts encoded together.
-RUN = 8_000_000
+RUN = 3_000_000
 #: ASCII punctuation at the ends of a chunk of Latin-1 characters, which letters and digits part from the rest. An
 #: apostrophe before letters may belong to them.
 _WORD = r"[0-9a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]"
@@ -65,7 +65,7 @@ class WordEncoder:
     gives them in running text.
     """
 
-    def __init__(self, tokenizer, limit: int = 600_000) -> None:
+    def __init__(self, tokenizer, limit: int = 400_000) -> None:
         self.tokenizer, self.limit = tokenizer, limit
         #: Known pieces, and where the ids of each begin and end in ``ids``.
         self.words, self.edges, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
@@ -78,14 +78,15 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
         chunks = split.values.dictionary_encode()
         pieces, table = self._pieces(chunks.dictionary)
-        known = self._known(pieces.dictionary)[table]
+        known = self._known(pieces.dictionary).astype(np.int32)[table]
         order = known[chunks.indices.to_numpy()].ravel()
-        start, reps = self.edges[order], self.edges[order + 1] - self.edges[order]
-        ends = np.cumsum(reps)
-        at = np.repeat(start - ends + reps, reps)
+        reps = (self.edges[order + 1] - self.edges[order]).astype(np.int32)
+        ends = np.cumsum(reps, dtype=np.int64)
+        at = np.repeat(self.edges[order] - ends + reps, reps)
         at += np.arange(len(at))
         out = self.ids[at]
         edges = np.concatenate([[0], ends])[table.shape[1] * split.offsets.to_numpy()]
+        del at, ends, reps, order
         return (out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
 
     def _known(self, pieces: pa.Array) -> np.ndarray:
