@@ -20,17 +20,26 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
 
 
-def _arriving(spark, sf, table, schema, parts):
-    """The table as a stream whose rows come part after part, in several micro-batches each.
+def _arriving(spark, sf, table, schema, parts, keys=()):
+    """The table as a stream whose rows come part after part, in as many micro-batches at most.
 
     ``parts`` are conditions that share the rows out; parts of a time order let a
-    key's rows come in time, parts by hash bring times in disorder.
+    key's rows come in time, parts by hash bring times in disorder. A part's rows of
+    the same ``keys`` lie in one file, so wherever a micro-batch ends, it takes them
+    together.
     """
     folder = scratch_dir(spark, f"arriving-{table}")
     rows = ev.raw(spark, sf, table).selectExpr(*[f"`{f.split()[0]}`" for f in schema.split(", ")])
     for part in parts:
-        rows.filter(part).write.mode("append").parquet(folder)
-    return runs.read_stream(spark, folder, schema, per_trigger=1)
+        arrived = rows.filter(part)
+        (arrived.repartition(*keys) if keys else arrived).write.mode("append").parquet(folder)
+    return _in_batches(spark, folder, schema, len(parts))
+
+
+def _in_batches(spark, folder, schema, batches):
+    """The files of a folder as a stream of at most ``batches`` micro-batches, however many files there are."""
+    files = len(spark.read.schema(schema).parquet(folder).inputFiles())
+    return runs.read_stream(spark, folder, schema, per_trigger=max(1, -(-files // batches)))
 
 
 def _shares(column, n=5):
@@ -41,7 +50,9 @@ _IN_TIME = ["year(l_shipdate) <= 1995", "year(l_shipdate) IN (1996, 1997)", "yea
 
 
 def _lines(spark, sf, parts=None):
-    return _arriving(spark, sf, "lineitem", LINEITEM, parts or _IN_TIME)
+    if parts:
+        return _arriving(spark, sf, "lineitem", LINEITEM, parts)
+    return _arriving(spark, sf, "lineitem", LINEITEM, _IN_TIME, ["l_suppkey", "l_partkey"])
 
 
 def _events(spark, sf):
@@ -75,16 +86,17 @@ linked AS (SELECT *, lag(new_hash) OVER (PARTITION BY competitor_id, url ORDER B
 SELECT competitor_id, url, crawl, new_hash, old_hash, CASE WHEN old_hash IS NULL THEN 'new'
   WHEN new_hash <> old_hash THEN 'updated' ELSE 'unchanged' END AS status FROM linked""")
 def _(spark, sf):
-    docs = _arriving(spark, sf, "documents", DOCUMENTS, _shares("doc_id", 4))
+    docs = _arriving(spark, sf, "documents", DOCUMENTS, _shares("doc_id", 4), ["doc_id"])
     crawls = docs.withColumn("crawl", F.explode(F.when(F.col("lang") == "es", F.array(F.lit(2))).otherwise(
         F.array(F.lit(1), F.lit(2))))).selectExpr(
         "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) AS url",
         "CASE WHEN crawl = 2 AND lang = 'de' THEN concat(text, ' Neu im Angebot.') ELSE text END AS text_content",
-        "crawl", "CAST(make_timestamp_ntz(2024, crawl, 1, 0, 0, 0) AS TIMESTAMP) AS checked_at")
-    changed = st.stream_content_changes(crawls)
-    return runs.drain(changed.select("competitor_id", "url", "crawl", "new_hash", "old_hash", "status"),
-                      "content-changes")
+        "crawl", "CAST(make_timestamp_ntz(2024, crawl, 1, 0, 0, 0) AS TIMESTAMP) AS checked_at", "doc_id")
+    # Documents without a url share one; they are taken in the order of doc_id.
+    changed = st.stream_content_changes(crawls, tie=("doc_id",))
+    return runs.drain(changed, "content-changes").select(
+        "competitor_id", "url", "crawl", "new_hash", "old_hash", "status")
 
 
 @query("stream_product_changes", """
@@ -146,7 +158,7 @@ def _(spark, sf):
     folder = scratch_dir(spark, "arriving-crawls")
     for part in range(3):
         crawls.filter(f"pmod(hash(doc_id, crawl), 3) = {part}").write.mode("append").parquet(folder)
-    docs = runs.read_stream(spark, folder, DOCUMENTS + ", crawl int", per_trigger=1)
+    docs = _in_batches(spark, folder, DOCUMENTS + ", crawl int", 3)
     pages = docs.selectExpr(
         "CAST(substring(source, 4) AS BIGINT) AS competitor_id",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) AS url",
@@ -223,7 +235,7 @@ def _(spark, sf):
         "CASE WHEN l_suppkey % 50 > 0 THEN l_suppkey END AS scan_id", "concat('/p/', l_partkey) AS url",
         "l_shipdate AS crawled_at")
     base = scratch_dir(spark, "dedupe-stored")
-    seen = SeenTable(spark, f"{base}/seen", crawled.select("scan_id", "url").schema, buckets=8)
+    seen = SeenTable(spark, f"{base}/seen", crawled.select("scan_id", "url").schema, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dedupe_stored(crawled, seen, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out/*").select("scan_id", "url")
 

@@ -33,13 +33,13 @@ class StateTable:
             f"CREATE TABLE IF NOT EXISTS {self.table} (_hash BIGINT, {columns}, _version BIGINT, _deleted BOOLEAN) USING parquet "
             f"CLUSTERED BY (_hash) SORTED BY (_hash) INTO {buckets} BUCKETS LOCATION '{self.location}'")
 
-    def _key_hash(self) -> Column:
+    def key_hash(self) -> Column:
         return F.xxhash64(*[x for k in self.keys for x in (F.col(k).isNull(), F.col(k))])
 
     def _append(self, rows: DataFrame, version: int, deleted: Column) -> None:
         if not self.versions().filter(F.col("_version") == version).isEmpty():
             return
-        rows.withColumn("_hash", self._key_hash()).select(
+        rows.withColumn("_hash", self.key_hash()).select(
             "_hash", *self.schema.names, F.lit(version).cast("long"), deleted).repartition(
             self.buckets, "_hash").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
@@ -65,9 +65,13 @@ class StateTable:
         """The state as it stands: one row per key."""
         return self._standing(self.versions()).select(*self.schema.names)
 
+    def before(self, version: int) -> DataFrame:
+        """The rows that stood when ``version`` was not yet written, with their ``_hash``."""
+        return self._standing(self.versions().filter(F.col("_version") < version)).select("_hash", *self.schema.names)
+
     def lookup(self, keys: DataFrame) -> DataFrame:
         """The rows that stand for the keys in ``keys``; only these are dealt out."""
-        wanted = keys.select(*self.keys).distinct().withColumn("_wanted", self._key_hash()).select(
+        wanted = keys.select(*self.keys).distinct().withColumn("_wanted", self.key_hash()).select(
             "_wanted", *[F.col(k).alias(f"_wanted_{k}") for k in self.keys]).hint("merge")
         rows = self.versions()
         same = rows["_hash"] == wanted["_wanted"]

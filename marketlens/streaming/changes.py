@@ -13,23 +13,22 @@ from marketlens.functions.prices import percent_change
 from marketlens.operators.changes import MIN_CONTENT_CHARS, content_status
 from marketlens.operators.prices import price_status
 from marketlens.streaming.corrections import CorrectedLag
-from marketlens.streaming.previous import with_previous_stream
+from marketlens.streaming.previous import ROCKSDB, ChangeStream, with_previous_stream
 
 
 def stream_price_changes(snapshots: DataFrame, keys: Sequence[str] = ("competitor_id", "product_name"),
-                         time: str = "captured_at", tie: Sequence[str] = ("id",), min_pct: float = 1.0) -> DataFrame:
+                         time: str = "captured_at", tie: Sequence[str] = ("id",), min_pct: float = 1.0) -> ChangeStream:
     """Price captures with the price before, status and percent change; late ones have status ``late``."""
-    linked = with_previous_stream(snapshots, keys, time, tie, "price", "old_price").withColumn(
-        "old_price", F.col("old_price").cast("decimal(12,2)"))
     status = F.when(F.col("late"), "late").otherwise(price_status(F.col("old_price"), F.col("price"), min_pct))
-    return linked.withColumns({
-        "status": status,
-        "change_percentage": F.when(status.isin("increase", "decrease"), F.bround(
-            percent_change(F.col("old_price"), F.col("price")), 2).cast("decimal(10,2)"))})
+    return with_previous_stream(snapshots, keys, time, tie, "price", "old_price").then(lambda linked: linked.withColumn(
+        "old_price", F.col("old_price").cast("decimal(12,2)")).withColumns({
+            "status": status,
+            "change_percentage": F.when(status.isin("increase", "decrease"), F.bround(
+                percent_change(F.col("old_price"), F.col("price")), 2).cast("decimal(10,2)"))}))
 
 
 def stream_content_changes(pages: DataFrame, keys: Sequence[str] = ("competitor_id", "url"),
-                           time: str = "checked_at", tie: Sequence[str] = ()) -> DataFrame:
+                           time: str = "checked_at", tie: Sequence[str] = ()) -> ChangeStream:
     """Pages with hash, length and a status against the text the page had before.
 
     Short texts are left out, late pages have status ``late``. Texts are hashed
@@ -38,14 +37,14 @@ def stream_content_changes(pages: DataFrame, keys: Sequence[str] = ("competitor_
     hashed = pages.filter(F.length("text_content") >= MIN_CONTENT_CHARS).select(
         *[c for c in pages.columns if c != "text_content"], F.length("text_content").alias("char_count"),
         tx.content_hash(F.col("text_content")).alias("new_hash"))
-    linked = with_previous_stream(hashed, keys, time, tie, "new_hash", "old_hash")
     known = F.col("old_hash").isNotNull()
     status = content_status(F.col("char_count"), F.col("new_hash"), F.col("old_hash"), known)
-    return linked.withColumn("status", F.when(F.col("late"), "late").otherwise(status))
+    return with_previous_stream(hashed, keys, time, tie, "new_hash", "old_hash").then(
+        lambda linked: linked.withColumn("status", F.when(F.col("late"), "late").otherwise(status)))
 
 
 def stream_product_changes(cards: DataFrame, keys: Sequence[str] = ("competitor_id", "name"),
-                           time: str = "checked_at", tie: Sequence[str] = ()) -> DataFrame:
+                           time: str = "checked_at", tie: Sequence[str] = ()) -> ChangeStream:
     """Product cards with a status against description and availability seen before.
 
     An unknown availability is a value of its own that differs from no other, as in
@@ -54,15 +53,15 @@ def stream_product_changes(cards: DataFrame, keys: Sequence[str] = ("competitor_
     shown = F.coalesce(F.col("is_available").cast("string"), F.lit(""))
     hashed = cards.withColumn("description_hash", F.sha2(F.coalesce("description", F.lit("")), 256)).withColumn(
         "_card", F.concat("description_hash", F.lit("|"), shown))
-    linked = with_previous_stream(hashed.drop("description"), keys, time, tie, "_card", "_old")
     old_hash, old_shown = F.substring_index("_old", "|", 1), F.substring_index("_old", "|", -1)
     differs = (old_hash != F.col("description_hash")) | F.coalesce(
         F.nullif(old_shown, F.lit("")) != F.nullif(shown, F.lit("")), F.lit(False))
-    return linked.withColumns({
-        "status": F.when(F.col("late"), "late").when(F.col("_old").isNull(), "new").when(differs, "updated")
-        .otherwise("unchanged"),
-        "went_unavailable": F.coalesce((old_shown == "true") & ~F.col("is_available"), F.lit(False)),
-    }).drop("_card", "_old")
+    return with_previous_stream(hashed.drop("description"), keys, time, tie, "_card", "_old").then(
+        lambda linked: linked.withColumns({
+            "status": F.when(F.col("late"), "late").when(F.col("_old").isNull(), "new").when(differs, "updated")
+            .otherwise("unchanged"),
+            "went_unavailable": F.coalesce((old_shown == "true") & ~F.col("is_available"), F.lit(False)),
+        }).drop("_card", "_old"))
 
 
 def price_corrections(path: str, schema: T.StructType, keys: Sequence[str] = ("competitor_id", "product_name"),
@@ -159,6 +158,8 @@ def dedupe_pages(pages: DataFrame, time: str = "crawled_at", delay: str | None =
     a ``delay`` only repeats within it are known, and pages older than the watermark
     are left out.
     """
+    # Every url stays in the state: on disk, not in the executors' heap.
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stamped = pages.withColumn(time, F.col(time).cast("timestamp"))
     if delay is None:
         return stamped.dropDuplicates(["scan_id", "url"])

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.session import scratch_dir
+from marketlens.streaming.previous import ChangeStream
 
 CHANNELS = {"scan_progress": "scans", "new_alert": "alerts", "competitor_update": "competitors"}
 
@@ -60,10 +61,14 @@ def route_alerts(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame | ChangeStream, purpose: str, mode: str = "append") -> DataFrame:
     """Run a stream over all data present and return what it wrote, from the shared scratch folder."""
     spark = stream.sparkSession
     base = scratch_dir(spark, purpose)
+    if isinstance(stream, ChangeStream):
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stream.start(base, f"{base}/checkpoint", buckets).awaitTermination()
+        return stream.written(base)
     if mode == "append":
         append_stream(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -152,3 +152,33 @@ def test_state_form_takes_null_times(spark):
     stream, _ = _stream(spark, rows, SCHEMA, "null-times")
     got = runs.drain(st.stream_price_changes(stream), "t-null-times").collect()
     assert sorted((r.id, r.status) for r in got) == [(1, "new"), (2, "new"), (3, "new"), (4, "late"), (5, "increase")]
+
+
+def test_parts_in_many_files_stay_whole(spark):
+    from marketlens.plans import catalog_streams as cs
+
+    folder = scratch_dir(spark, "t-lines")
+    lines = [(i, i % 5, 1, i % 3, 6.0, 100.0 + i, 0.0, dt.datetime(1995 + i % 6, 1 + i % 11, 1)) for i in range(120)]
+    spark.createDataFrame(lines, cs.LINEITEM.replace("timestamp_ntz", "timestamp")).withColumn(
+        "l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).repartition(6).write.parquet(f"{folder}/lineitem.parquet")
+    captured = cs._lines(spark, folder).selectExpr(
+        "l_suppkey AS competitor_id", "l_partkey AS product_id", "CAST(l_shipdate AS TIMESTAMP) AS captured_at",
+        "l_orderkey AS order_key", "CAST(l_extendedprice AS DECIMAL(12,2)) AS price")
+    changed = st.stream_price_changes(captured, ("competitor_id", "product_id"), tie=("order_key",))
+    base = scratch_dir(spark, "t-parts")
+    query = changed.start(base, f"{base}/checkpoint", buckets=4)
+    query.awaitTermination()
+    # Four parts of time in several files each: as many micro-batches at most, and no row comes late.
+    assert max(p["batchId"] for p in query.recentProgress) < 4
+    got = changed.written(base).collect()
+    assert len(got) == 120 and not any(r.late for r in got)
+    assert sum(r.status == "new" for r in got) == 5
+
+
+def test_change_stream_repeats_a_batch_and_takes_null_keys(spark):
+    rows = [[(None, "p", None, DAY, 1), (1, None, None, DAY, 2)],
+            [(None, "p", None, DAY + dt.timedelta(1), 3), (1, None, None, DAY - dt.timedelta(1), 4)]]
+    stream, _ = _stream(spark, rows, SCHEMA, "null-keys")
+    got = runs.drain(st.with_previous_stream(stream, ["competitor_id", "product_name"], "captured_at", ["id"], "id", "before"), "t-null-keys")
+    assert sorted((r.id, r.before, r.late) for r in got.collect()) == [
+        (1, None, False), (2, None, False), (3, "1", False), (4, None, True)]
