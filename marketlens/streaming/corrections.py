@@ -4,20 +4,22 @@ A lag over a stream is kept in three tables under one folder, all written batch
 batch and replaced where a batch is repeated:
 
 - ``rows``: every row that has come, laid out by span of time,
-- ``ends``: for each key and span its first and last row,
+- ``links``: rows of the spans that a batch reached, with what stood before them in
+  their span; the first row of a span also says what its last one said,
 - ``out``: rows with the value before them; a row whose predecessor changed is put out
   again under a newer version.
 
 A batch reads the rows of its own keys in its own spans, and of other spans of these
-keys only the ends. So a late row costs as much as one in time, and a key with a long
-history costs no more than one of its spans.
+keys only the first rows of ``links``. So a late row costs as much as one in time, and
+a key with a long history costs no more than one of its spans. Rows are dealt out once
+by a hash of key and span, the first rows once by a hash of the key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -48,11 +50,9 @@ class CorrectedLag:
     def _store(self, df: DataFrame, table: str, parts: Sequence[str]) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.path}/{table}")
 
-    def _same(self, a: DataFrame, b: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
-        """Join on columns of which nulls are equal; those of ``b`` are named anew and go."""
-        other = b.select(*[F.col(c).alias(f"_b_{c}") for c in columns], *[c for c in b.columns if c not in columns])
-        on = [a[c].eqNullSafe(other[f"_b_{c}"]) for c in columns]
-        return a.join(other, on, how).drop(*[f"_b_{c}" for c in columns])
+    @staticmethod
+    def _hash(columns: Sequence[str]) -> Column:
+        return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch; the same batch again changes nothing."""
@@ -68,40 +68,44 @@ class CorrectedLag:
         low, high = new.agg(F.min("_span"), F.max("_span")).first()
         if low is None:
             return
-        touched = new.select(*self.keys, "_span").distinct()
-        here = self._same(rows.filter(F.col("_span").between(low, high)), touched, [*self.keys, "_span"], "left_semi")
-
-        before = Window.partitionBy(*self.keys, "_span").orderBy(*order)
-        said = F.struct(F.col(self.value).alias("v"), F.col("_of").alias("of"))
-        linked = here.withColumn("_before", F.lag(said).over(before))
         columns = rows.columns
-        ends = here.withColumn("_said", said).groupBy(*self.keys, "_span").agg(
-            F.min(F.struct(*order, F.struct(*columns).alias("row"))).alias("_first"),
-            F.max(F.struct(*order, "_said")).alias("_last"))
-        ends = ends.select(*self.keys, "_span", F.col("_first.row").alias("first_row"), F.col("_last._said").alias("last_said"),
-                           F.lit(batch_id).alias("_version"))
-        self._store(ends, "ends", ["_version"])
-
-        known = spark.read.schema(ends.schema).parquet(f"{self.path}/ends").filter(F.col("_version") <= batch_id)
-        own = self._same(known, new.select(*self.keys).distinct(), self.keys, "left_semi")
-        newest = own.groupBy(*self.keys, "_span").agg(
-            F.max_by(F.struct("first_row", "last_said"), "_version").alias("ends"), F.max("_version").alias("_version"))
-        along = Window.partitionBy(*self.keys).orderBy("_span")
-        chain = newest.select(
-            *self.keys, "_span", "_version", "ends.last_said", F.lag("ends.last_said").over(along).alias("_earlier"),
-            F.lead("ends.first_row").over(along).alias("_next"), F.lead("_version").over(along).alias("_next_version"))
-        inside = linked.filter("_before IS NOT NULL").select(*columns, "_before")
-        first = self._same(linked.filter("_before IS NULL").drop("_before"), chain.select(
-            *self.keys, "_span", F.col("_earlier").alias("_before")), [*self.keys, "_span"], "left").select(*columns, "_before")
+
+        def within(*names: str) -> list[Column]:
+            return [F.col("row")[c] for c in names]
+
+        # Joined by hashes alone: a key of an equal hash would be worked out again and say the same.
+        place, key = self._hash([*self.keys, "_span"]), self._hash(self.keys)
+        here = rows.filter(F.col("_span").between(low, high)).select(F.struct(*columns).alias("row"), place.alias("place")).join(
+            new.select(place.alias("place")).distinct(), "place", "left_semi")
+        along = Window.partitionBy("place", *within(*self.keys, "_span")).orderBy(*within(*order))
+        said = F.struct(F.col("row")[self.value].alias("v"), F.col("row")["_of"].alias("of"))
+        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        linked = here.select("row", F.lag(said).over(along).alias("before"), F.last(said).over(whole).alias("last_said"))
+        ours = (F.col("row")["_of"] == batch_id) | (F.col("before.of") == batch_id)
+        first = F.col("before").isNull()
+        links = linked.filter(first | ours).select(
+            "row", "before", F.when(first, F.col("last_said")).alias("last_said"), first.cast("int").alias("_first"))
+        links.write.mode("overwrite").partitionBy("_first").parquet(f"{self.path}/links/_version={batch_id}")
+
+        known = spark.read.schema(T.StructType([*links.schema.fields, T.StructField("_version", T.IntegerType())])).parquet(
+            f"{self.path}/links").filter(F.col("_version") <= batch_id)
+        ends = known.filter("_first = 1").select("row", "last_said", "_version").withColumn(
+            "key", self._hash([f"row.`{k}`" for k in self.keys])).join(
+            new.select(key.alias("key")).distinct(), "key", "left_semi")
+        newest = Window.partitionBy("key", *within(*self.keys, "_span")).orderBy(F.desc("_version"))
+        spans = Window.partitionBy("key", *within(*self.keys)).orderBy(*within("_span"))
+        chain = ends.withColumn("n", F.row_number().over(newest)).filter("n = 1").select(
+            "row", "last_said", "_version", F.lag("last_said").over(spans).alias("earlier"),
+            F.lead("row").over(spans).alias("next"), F.lead("_version").over(spans).alias("next_version"))
         # The first row of a later span that the batch did not reach gets a new predecessor too.
-        later = chain.filter(
-            (F.col("_version") == batch_id) & F.col("_next").isNotNull() & (F.col("_next_version") < batch_id)).select(
-            "_next.*", F.col("last_said").alias("_before")).select(*columns, "_before")
-        changed = inside.unionByName(first).unionByName(later).filter(
-            (F.col("_of") == batch_id) | (F.col("_before.of") == batch_id))
-        self._store(self.finish(changed.withColumns({
-            self.name: F.col("_before.v"), "known": F.col("_before").isNotNull(), "_version": F.lit(batch_id)}).drop("_before")),
-            "out", ["_version"])
+        moved = chain.filter(F.col("_version") == batch_id).select(F.inline(F.array_compact(F.array(
+            F.struct("row", F.col("earlier").alias("before")),
+            F.when(F.col("next_version") < batch_id, F.struct(F.col("next").alias("row"), F.col("last_said").alias("before")))))))
+        inside = known.filter((F.col("_version") == batch_id) & (F.col("_first") == 0)).select("row", "before")
+        changed = inside.unionByName(moved).filter(ours).select(
+            *[F.col("row")[c].alias(c) for c in columns], F.col("before.v").alias(self.name),
+            F.col("before").isNotNull().alias("known"), F.lit(batch_id).alias("_version"))
+        self._store(self.finish(changed), "out", ["_version"])
 
     def _columns_out(self, spark: SparkSession) -> T.StructType:
         fields = [*self.schema.fields, T.StructField("_of", T.IntegerType()), T.StructField("_number", T.LongType()),

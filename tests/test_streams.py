@@ -147,6 +147,21 @@ def test_corrected_lag_edges(spark):
         CorrectedLag("x", stream.schema, ["k"], "at", ["tie"], "v", "EXTRA")
 
 
+def test_corrected_lag_deals_rows_out_once(spark):
+    """A batch keeps only the rows of spans it reached, one first row a span, and links them in a single pass over them."""
+    rows = [("a", None, 0, "x", 0), ("a", DAY, 1, "x", 0), ("a", DAY, 2, "y", 0), ("a", DAY + dt.timedelta(400), 3, "x", 0), (None, DAY, 4, "z", 0)]
+    folder = scratch_dir(spark, "t-once")
+    first, second = spark.createDataFrame(rows, LAG), spark.createDataFrame([("a", DAY, 9, "w", 0)], LAG)
+    lag = CorrectedLag(folder, first.schema, ["k"], "at", ["tie"], "v", "before")
+    lag.apply(first, 0)
+    lag.apply(second, 1)
+    links = spark.read.parquet(f"{folder}/links").select("_version", "_first", "row.tie").collect()
+    assert sorted((r._version, r._first, r.tie) for r in links) == [
+        (0, 0, 2), (0, 1, 0), (0, 1, 1), (0, 1, 3), (0, 1, 4), (1, 0, 9), (1, 1, 1)]
+    got = sorted((r.tie, r.before, r.known) for r in lag.current(spark).collect())
+    assert got == [(0, None, False), (1, "x", True), (2, "x", True), (3, "w", True), (4, None, False), (9, "y", True)]
+
+
 def test_state_form_takes_null_times(spark):
     rows = [[(1, "p", None, None, 1), (1, "p", None, None, 2), _row(1, "3", 3)], [(1, "p", None, None, 4), _row(2, "6", 5)]]
     stream, _ = _stream(spark, rows, SCHEMA, "null-times")
