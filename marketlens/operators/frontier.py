@@ -114,10 +114,22 @@ def frontier_stats(frontier: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_seen"))
 
 
-#: Rules of a host from which its urls are gathered in blocks, and urls of a block.
+#: Rules of a host from which they are joined to paths by their literal text; BLOCK_URLS no longer says anything.
 MANY_RULES, BLOCK_URLS = 256, 4096
 
 
+def _wanted_rules(rules: DataFrame) -> DataFrame:
+    return rules.filter(F.col("kind").isin("allow", "disallow")).select("host", "kind", "pattern").distinct()
+
+
+def _wildcards() -> tuple[Column, Column, Column]:
+    """Whether ``pattern`` holds a wildcard, its regular expression, and the literal text before the first wildcard."""
+    wild = F.col("pattern").contains("*") | F.endswith("pattern", F.lit("$"))
+    escaped = F.regexp_replace("pattern", r"([.\[\]{}()+?^|\\$])", r"\\$1")
+    regex = F.concat(F.lit("(?s)^"), F.regexp_replace(F.replace(escaped, F.lit("*"), F.lit(".*")), r"\\\$$", r"\$"))
+    return wild, regex, F.regexp_replace(F.substring_index("pattern", "*", 1), r"\$$", "")
+
+
 def robots_index(rules: DataFrame) -> DataFrame:
     """One row per host: for allow and disallow a sorted array of prefixes and an array of wildcard rules.
 
@@ -125,11 +137,8 @@ def robots_index(rules: DataFrame) -> DataFrame:
     not above a path is the only one it can begin with. Wildcard rules are regular
     expressions with the literal text before their first wildcard. ``n_rules`` counts both.
     """
-    wanted = rules.filter(F.col("kind").isin("allow", "disallow")).select("host", "kind", "pattern").distinct()
-    wild = F.col("pattern").contains("*") | F.endswith("pattern", F.lit("$"))
-    escaped = F.regexp_replace("pattern", r"([.\[\]{}()+?^|\\$])", r"\\$1")
-    regex = F.concat(F.lit("(?s)^"), F.regexp_replace(F.replace(escaped, F.lit("*"), F.lit(".*")), r"\\\$$", r"\$"))
-    literal = F.regexp_replace(F.substring_index("pattern", "*", 1), r"\$$", "")
+    wanted = _wanted_rules(rules)
+    wild, regex, literal = _wildcards()
     # All strings that begin with p stand from p to below p with the last code point behind it.
     before = Window.partitionBy("host", "kind").orderBy("pattern").rowsBetween(Window.unboundedPreceding, -1)
     plain = wanted.filter(~wild).withColumn("_open", F.max(F.concat("pattern", F.lit("\U0010ffff"))).over(before)).filter(
@@ -167,6 +176,62 @@ def _allowed(path: Column) -> Column:
     return hit("allow") | ~hit("disallow")
 
 
+def _rule_keys(rules: DataFrame) -> DataFrame:
+    """Rules as keys to look up: host, kind, the literal text they begin with, the longest one after a wildcard, and a regular expression.
+
+    ``place`` says where the second text must stand: at the ``end`` of a path,
+    ``inside`` it behind the first, or nowhere (``none``: it is empty).
+    """
+    wild, regex, literal = _wildcards()
+    closed = F.endswith("pattern", F.lit("$"))
+    body = F.when(closed, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern"))
+    pieces = F.split(body, r"\*")
+    later = F.slice(F.transform(pieces, lambda p, i: F.struct(
+        F.length(p).alias("size"), (closed & (i == F.size(pieces) - 1)).alias("last"), p.alias("text"))), F.lit(2), F.size(pieces))
+    longest = F.array_max(later)
+    text = F.when(wild, F.coalesce(longest["text"], F.lit(""))).otherwise(F.lit(""))
+    place = F.when(text == "", "none").when(longest["last"], "end").otherwise("inside")
+    return rules.select(
+        "host", "kind", F.when(wild, literal).otherwise(F.col("pattern")).alias("start"), text.alias("text"),
+        place.alias("place"), F.when(wild, regex).alias("regex"))
+
+
+def _allowed_by_keys(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, _path, allowed for distinct paths of hosts with many rules.
+
+    A path is asked for by the beginnings and pieces it could share with a rule, one for
+    each combination of lengths that its host's rules have; equal ones are joined and only
+    those rules tried. So neither all rules of a host nor all its urls meet in one row.
+    """
+    keys = _rule_keys(rules)
+    shapes = keys.select("host", "place", F.length("start").alias("a"), F.length("text").alias("b")).distinct().groupBy("host").agg(
+        F.collect_list(F.struct("place", "a", "b")).alias("_shapes"))
+    path = F.col("_path")
+    # A closing $ also stands before a line end that ends the path.
+    bare = F.regexp_replace(path, r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])\z", "")
+
+    def asked(s: Column) -> Column:
+        def found(text: Column) -> Column:
+            return F.struct(F.substring(path, F.lit(1), s["a"]).alias("start"), text.alias("text"), s["place"].alias("place"))
+
+        def ends(p: Column) -> Column:
+            return F.substring(p, F.length(p) - s["b"] + 1, s["b"])
+
+        last = F.length(path) - s["b"] + 1
+        pieces = F.array_distinct(F.transform(F.sequence(s["a"] + 1, last), lambda i: found(F.substring(path, i, s["b"]))))
+        return F.when(F.length(path) < s["a"] + s["b"], F.array().cast(
+            "array<struct<start:string,text:string,place:string>>")).when(
+            s["place"] == "none", F.array(found(F.lit("")))).when(
+            s["place"] == "end", F.array_distinct(F.array(found(ends(path)), found(ends(bare))))).otherwise(pieces)
+
+    asking = paths.join(shapes, "host").select("host", "_path", F.inline(F.flatten(F.transform("_shapes", asked))))
+    tried = asking.join(keys, ["host", "start", "text", "place"]).filter(
+        F.col("regex").isNull() | F.rlike(path, F.col("regex")))
+    hit = tried.groupBy("host", "_path").agg(
+        F.bool_or(F.col("kind") == "allow").alias("_allow"))
+    return hit.select("host", "_path", F.col("_allow").alias("allowed"))
+
+
 def robots_allowed(targets: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Whether each url may be fetched: any matching allow, else no matching disallow.
 
@@ -174,28 +239,25 @@ def robots_allowed(targets: DataFrame, rules: DataFrame, url: str = "url") -> Da
     (``read_robots`` takes one capture per host). A path is looked up among the plain
     prefixes, nearly all rules, in as many steps as their number has binary digits; a
     wildcard rule is tried only where the path begins with its literal part. A joined
-    row holds all rules of its host, so urls of hosts with ``MANY_RULES`` or more are
-    gathered in blocks first, which meet the rules once per block. The result is the
-    same either way.
+    row holds all rules of its host, so hosts with ``MANY_RULES`` or more are left out of
+    that: their paths and rules are joined by the literal text that both must have. The
+    result is the same either way.
     """
     columns = [*[c for c in targets.columns if c != "host"], "host"]
     checked = targets.withColumns({"host": urls.host(F.col(url)), "_path": urls.path(F.col(url))}).withColumn(
         "_path", F.when(F.col("_path") == "", "/").otherwise(F.col("_path")))
-    index = robots_index(rules)
-    many = index.filter(F.col("n_rules") >= MANY_RULES)
-    few = checked if many.isEmpty() else checked.join(many.select("host"), "host", "left_anti")
-    at_once = few.join(index.filter(F.col("n_rules") < MANY_RULES), "host", "left").withColumn(
+    wanted = _wanted_rules(rules)
+    many = wanted.groupBy("host").agg(F.count(F.lit(1)).alias("n_rules")).filter(
+        (F.col("n_rules") >= MANY_RULES) & F.col("host").isNotNull()).select("host")
+    if many.isEmpty():
+        return checked.join(robots_index(rules), "host", "left").withColumn("allowed", _allowed(F.col("_path"))).select(
+            *columns, "allowed")
+    few = checked.join(many, "host", "left_anti")
+    at_once = few.join(robots_index(rules.join(many, "host", "left_anti")), "host", "left").withColumn(
         "allowed", _allowed(F.col("_path"))).select(*columns, "allowed")
-    if few is checked:
-        return at_once
-    # Blocks by the number of urls of the host, so that a block has about BLOCK_URLS of them.
-    owned = checked.join(many.select("host"), "host", "left_semi")
-    blocks = owned.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BLOCK_URLS).alias("_blocks"))
-    gathered = owned.join(blocks, "host").groupBy(
-        "host", F.pmod(F.xxhash64(url), F.col("_blocks")).alias("_block")).agg(F.collect_list(F.struct(
-            *[c for c in columns if c != "host"], "_path")).alias("_rows"))
-    tried = gathered.join(many, "host").select("host", F.inline(F.transform("_rows", lambda r: F.struct(
-        *[r[c].alias(c) for c in columns if c != "host"], _allowed(r["_path"]).alias("allowed")))))
+    owned = checked.join(many, "host", "left_semi")
+    hits = _allowed_by_keys(owned.select("host", "_path").distinct(), wanted.join(many, "host", "left_semi"))
+    tried = owned.join(hits, ["host", "_path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True))).select(*columns, "allowed")
     return at_once.unionByName(tried)
 
 

@@ -83,6 +83,24 @@ def test_robots_host_of_very_many_rules(spark):
     assert seconds < 4 * few[1] + 10
 
 
+def test_robots_host_of_very_many_wildcards(spark):
+    """Wildcard rules with one beginning: a path meets those that share its end or a piece of it, not all of them."""
+    def timed(size):
+        rules = spark.range(size).selectExpr("'big.com' AS host", "'disallow' AS kind", """CASE id % 3
+            WHEN 0 THEN concat('/q/*/', id, '$') WHEN 1 THEN concat('/q/*/', id, '/*') ELSE concat('/q/*-', id, '-*x$') END AS pattern""")
+        targets = spark.range(0, 30_000, 1, 8).selectExpr("id", """concat('http://big.com/q/a', CASE id % 3
+            WHEN 0 THEN concat('/', id) WHEN 1 THEN concat('/', id, '/b') ELSE concat('-', id, '-c', if(id % 2 = 0, 'x', 'y')) END) AS url""")
+        start = time.perf_counter()
+        out = frontier.robots_allowed(targets, rules).agg(F.count_if("allowed"), F.sum(F.when(F.col("allowed"), F.col("id")))).first()
+        return tuple(out), time.perf_counter() - start
+
+    few = timed(300)
+    got, seconds = timed(15_000)
+    want = [i for i in range(30_000) if i >= 15_000 or (i % 3 == 2 and i % 2)]
+    assert got == (len(want), sum(want))
+    assert seconds < 4 * few[1] + 10
+
+
 def test_rules_of_suffixes(spark):
     rules = spark.createDataFrame([("com", False), ("*.ck", None), ("!www.ck", False), ("blogspot.com", True), ("UK", False),
                                    ("co.uk", False), (None, False), ("co.uk", False)], "rule string, private boolean")
