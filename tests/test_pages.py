@@ -1,3 +1,5 @@
+import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -171,3 +173,25 @@ def test_sitemaps(spark):
     rows = {(r.root, r.url): (r.priority, r.lastmod, r.changefreq) for r in site_files.read_sitemaps(docs).collect()}
     assert rows == {("i", "u1"): (0.9, "2024", None), ("i", "u2"): (0.5, None, None), ("b", "u3"): (0.5, None, "daily")}
     assert site_files.read_sitemaps(docs, max_urls=1).filter("root = 'i'").count() == 1
+
+
+def test_usual_markup_reads_as_with_the_standard_parser(monkeypatch):
+    """Pages whole and cut anywhere, with odd pieces put in: columns are those of the standard parser alone."""
+    rng = random.Random(4)
+    bits = ["<p>", "</p>", "<div class=a>", "<div class='b c' id=\"x&amp;y\">", "</div>", "<br/>", "<img src=/a/b/>", "<script>var t='</p>';</script>",
+            "<SCRIPT src=x>", "</ script >", "<style>", "</style>", "<!-- a -->", "<!--", "-- >", "<!-->", "<!DOCTYPE html>", "<![CDATA[x]]>", "<?x?>",
+            "text", "a &amp; b", "&#65", "&", "<", ">", "</", "</>", "<a href = 'x'>", "<a b=\"1\"c='2'>", "<a =b>", "<a b==c>", "<input disabled a a=2 A=3>",
+            "<li>", "</ul>", "<ul>", "<td>", "<tr>", "<nav>", "</nav>", "</p class=x>", "<p/>", "<script/>", "\n", "\x00", "<p\x0bq>", "<a b=\"", "<é>", "<a b=c/>"]
+    pages = ["", *["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]]
+
+    def columns():
+        flat = h._Flattener()
+        for page in pages:
+            flat.add(page)
+        return flat.columns()
+
+    usual = columns()
+    monkeypatch.setattr(h, "_TOKEN", re.compile(r"(?!)"))
+    plain = columns()
+    assert [c.type for c in usual] == [h._NODES, h._TEXTS]
+    assert usual[0].equals(plain[0]) and usual[1].equals(plain[1])
