@@ -15,8 +15,8 @@ from marketlens.functions import text as tx
 from marketlens.plans.components import components, written
 
 
-#: Tokens whose votes are counted at a time, and how many a 16-bit counter takes.
-RUN, MOST_VOTES = 1 << 17, (1 << 16) - 1
+#: Tokens whose votes are counted at a time, how many a 16-bit counter takes, and tokens of texts taken together.
+RUN, MOST_VOTES, TOGETHER = 1 << 17, (1 << 16) - 1, 1 << 19
 
 
 def votes(tokens: pa.ListArray) -> np.ndarray:
@@ -27,10 +27,11 @@ def votes(tokens: pa.ListArray) -> np.ndarray:
     tokens set all. A distinct token of a batch is hashed once; its 64 votes are 16-bit
     counters, four to a machine word, which are added up along the texts.
     """
-    words = tokens.values.dictionary_encode()
+    words = tokens.flatten().dictionary_encode()
     hashed = b"".join(hashlib.md5(t).digest()[8:] for t in words.dictionary.cast(pa.binary()).to_pylist())
     bits = np.unpackbits(np.frombuffer(hashed, np.uint8)).astype("<u2").reshape(-1, 64).view("<u8")
     which, edges = words.indices.to_numpy(), tokens.offsets.to_numpy().astype(np.int64)
+    edges = edges - edges[0]
     # Runs end where texts do, where counters are full and where enough tokens are held.
     cuts = np.unique(np.concatenate([edges, np.arange(edges[0], edges[-1], MOST_VOTES)]))
     sums = np.zeros((len(edges) - 1, 64), np.int64)
@@ -44,10 +45,21 @@ def votes(tokens: pa.ListArray) -> np.ndarray:
     return np.packbits(kept, axis=1).view(">i8").astype(np.int64).reshape(-1)
 
 
+def _voted(tokens: pa.ListArray) -> pa.Array:
+    """The votes of a batch, so many texts at a time that their words and bits stay few; a longer text is taken alone."""
+    edges = tokens.offsets.to_numpy()
+    done, parts = 0, []
+    while done < len(tokens):
+        to = max(done + 1, int(np.searchsorted(edges, edges[done] + TOGETHER, "right")) - 1)
+        parts.append(votes(tokens.slice(done, to - done)))
+        done = to
+    return pa.array(np.concatenate(parts) if parts else [], pa.int64())
+
+
 @F.arrow_udf(T.LongType())
 def _vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        yield pa.array(votes(batch), pa.int64())
+        yield _voted(batch)
 
 
 def _as_hex(bits: str) -> Column:
@@ -159,7 +171,8 @@ def _value_pairs(values: DataFrame, max_distance: int) -> DataFrame:
     a = keyed.select("band", "band_key", *[F.col(c).alias(f"{c}_a") for c in values.columns])
     b = keyed.select("band", "band_key", *[F.col(c).alias(f"{c}_b") for c in values.columns])
     diff = F.col("simhash_bits_a").bitwiseXOR(F.col("simhash_bits_b"))
-    pairs = a.join(b, ["band", "band_key"]).filter(
+    # A broadcast would be planned by the size of the values, but hold a row for each value and mask.
+    pairs = a.join(b.hint("merge"), ["band", "band_key"]).filter(
         (F.col("simhash_bits_a") < F.col("simhash_bits_b")) & (F.bit_count(diff) <= max_distance)
         & (_first_band(max_distance) == F.col("band")))
     distance = F.bit_count(diff)
