@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -154,3 +155,41 @@ def test_simhash_index_batches(spark):
     index.add(spark.createDataFrame(parts[-1], "id long, simhash_bits long"), "id", 3)
     assert sorted(map(tuple, index.pairs().select(columns).collect())) == want
     assert spark.table(index.table).count() == 16 * len({v for _, v in rows})
+
+
+def test_readability_is_that_of_its_words(spark):
+    """Syllables counted over the text are the sum over its words, which the plan no longer visits one by one."""
+    rng = random.Random(5)
+    bits = ["the", "e", "ae", "tree", "Xyz", "brr", "É", "a.b", "!", "?", " ", "\n", "\u00a0", "\x1c", "be", "queue", "İe", "MADE", "1.5e", "e.e", "_"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(20))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    spoken = F.aggregate(tx.words(F.col("t")), F.lit(0), lambda n, w: n + tx.syllables(w))
+    sentences = F.size(F.filter(F.split("t", "[.!?]+"), lambda s: s.rlike(tx.WORD)))
+    count = F.size(tx.words(F.col("t")))
+    want = F.coalesce(F.when(F.try_divide(count, sentences).isNotNull() & (count > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(206.835) - F.lit(
+        1.015) * F.try_divide(count, sentences) - F.lit(84.6) * F.try_divide(spoken, count)))), F.lit(0.0))
+    got = df.select(tx.readability(F.col("t")).alias("got"), want.alias("want"))
+    assert got.filter("NOT got <=> want").count() == 0
+    plan = df.select(tx.readability(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+
+
+def test_near_duplicate_join_is_not_broadcast(spark):
+    """Few values are many rows once keyed by all masks: both sides are dealt out and sorted."""
+    values = spark.range(50).selectExpr("id AS simhash_bits", "id AS first_key", "1L AS texts")
+    plan = fp._value_pairs(values, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_votes_are_counted_for_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    tokens = pa.array([[rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(40))] for _ in range(60)], pa.list_(pa.string()))
+    whole, sizes = fp.votes(tokens), []
+    monkeypatch.setattr(fp, "TOGETHER", 50)
+    monkeypatch.setattr(fp, "votes", lambda part, f=fp.votes: sizes.append(len(part.flatten())) or f(part))
+    for a in (0, 7):
+        assert fp._voted(tokens.slice(a)).to_pylist() == whole[a:].tolist()
+    assert max(sizes) <= 50 and sum(sizes) == len(tokens.flatten()) + len(tokens.slice(7).flatten())
+    assert fp._voted(tokens.slice(0, 0)).to_pylist() == []
