@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import text as tx
 from marketlens.functions.arrays import unnest
 from marketlens.operators.compare import seo_history
+from marketlens.plans.components import written
 from marketlens.sources.tables import read_keywords_json
 
 
@@ -174,7 +175,8 @@ def content_gaps(contents: DataFrame, competitors: DataFrame, you=None, ids: lis
 def content_gap_coverage(contents: DataFrame, competitors: DataFrame, you=None, ids: list | None = None,
                          per_page: int | None = None) -> DataFrame:
     """(topic, competitor_id): who covers each missing topic."""
-    users = _topic_users(contents, ids, per_page)
+    # Written once: texts are read and their topics counted for the missing ones and for those who cover them.
+    users = written(_topic_users(contents, ids, per_page), "topic-users")
     missing = _missing_topics(users, competitors, you, ids).select("topic")
     return users.join(missing, "topic").select(_title_case(F.col("topic")).alias("topic"), "competitor_id")
 

@@ -197,3 +197,12 @@ def test_insights_without_a_site(spark):
 
     metrics = spark.createDataFrame([], "key string")
     assert co.competitive_insights(metrics, metrics).first().type == "info"
+
+
+def test_topics_of_a_page_are_read_once_for_coverage(spark):
+    rows = [(c, '["Alpha", "beta"]' if c < 3 else '["gamma"]', "All about alpha") for c in range(4)] + [(9, '["beta"]', "x")]
+    contents = spark.createDataFrame(rows, "competitor_id long, keywords string, title string")
+    sites = contents.select(F.col("competitor_id").alias("id")).distinct()
+    covered = gaps.content_gap_coverage(contents, sites, you=9)
+    assert "from_json" not in covered._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, covered.collect())) == [("Alpha", 0), ("Alpha", 1), ("Alpha", 2), ("Alpha", 3)]
