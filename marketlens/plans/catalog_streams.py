@@ -49,9 +49,13 @@ def _shares(column, n=5):
 _IN_TIME = ["year(l_shipdate) <= 1995", "year(l_shipdate) IN (1996, 1997)", "year(l_shipdate) = 1998", "year(l_shipdate) >= 1999"]
 
 
-def _lines(spark, sf, parts=None):
+#: What a crawled page is made of.
+CRAWLED = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_shipdate timestamp_ntz"
+
+
+def _lines(spark, sf, parts=None, schema=LINEITEM):
     if parts:
-        return _arriving(spark, sf, "lineitem", LINEITEM, parts)
+        return _arriving(spark, sf, "lineitem", schema, parts)
     return _arriving(spark, sf, "lineitem", LINEITEM, _IN_TIME, ["l_suppkey", "l_partkey"])
 
 
@@ -211,7 +215,7 @@ WITH p AS (SELECT l_suppkey AS scan_id, count(*) AS pages_crawled,
 SELECT p.scan_id, pages_crawled, current_url, least(100, CAST(trunc(pages_crawled * 100.0 / total) AS INTEGER)) AS progress
 FROM p JOIN (SELECT s_suppkey AS scan_id, 500 + CAST(s_nationkey AS INTEGER) * 10 AS total FROM supplier) t ON t.scan_id = p.scan_id""")
 def _(spark, sf):
-    crawled = _lines(spark, sf, _shares("l_orderkey")).selectExpr(
+    crawled = _lines(spark, sf, _shares("l_orderkey"), CRAWLED).selectExpr(
         "l_suppkey AS scan_id", "concat('/p/', l_partkey) AS url", "l_shipdate AS crawled_at", "l_orderkey",
         "l_linenumber", "l_partkey")
     totals = ev.raw(spark, sf, "supplier").selectExpr("s_suppkey AS scan_id", "500 + s_nationkey * 10 AS total")

@@ -14,6 +14,7 @@ from marketlens.operators.changes import MIN_CONTENT_CHARS, content_status
 from marketlens.operators.prices import price_status
 from marketlens.streaming.corrections import CorrectedLag
 from marketlens.streaming.previous import ROCKSDB, ChangeStream, with_previous_stream
+from marketlens.streaming.progress import ScanProgress
 
 
 def stream_price_changes(snapshots: DataFrame, keys: Sequence[str] = ("competitor_id", "product_name"),
@@ -137,18 +138,13 @@ def compare_days(days: DataFrame) -> DataFrame:
                              F.when(now == 0, 0.0).otherwise(100.0))).drop("previous")
 
 
-def scan_progress(pages: DataFrame, totals: DataFrame, time: str = "crawled_at", tie: Sequence[str] = ()) -> DataFrame:
-    """Pages crawled, newest url and progress per scan; run in update mode.
+def scan_progress(pages: DataFrame, totals: DataFrame, time: str = "crawled_at", tie: Sequence[str] = ()) -> ScanProgress:
+    """Pages crawled, newest url and progress per scan; each micro-batch puts out the scans it touched.
 
     ``totals`` (scan_id, total) is fixed when the scan starts. Progress stays at
     100 when more pages turn up.
     """
-    counted = pages.groupBy("scan_id").agg(
-        F.count(F.lit(1)).alias("pages_crawled"),
-        F.max_by("url", F.struct(time, *tie)).alias("current_url"))
-    share = F.try_divide(F.col("pages_crawled") * 100, F.col("total"))
-    return counted.join(totals, "scan_id").withColumn(
-        "progress", F.least(F.lit(100), share.cast("int"))).drop("total")
+    return ScanProgress(pages, totals, time, tie)
 
 
 def dedupe_pages(pages: DataFrame, time: str = "crawled_at", delay: str | None = None) -> DataFrame:

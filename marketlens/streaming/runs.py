@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.session import scratch_dir
 from marketlens.streaming.previous import ChangeStream
+from marketlens.streaming.progress import ScanProgress
 
 CHANNELS = {"scan_progress": "scans", "new_alert": "alerts", "competitor_update": "competitors"}
 
@@ -61,11 +62,14 @@ def route_alerts(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def drain(stream: DataFrame | ChangeStream, purpose: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data present and return what it wrote, from the shared scratch folder."""
+def drain(stream: DataFrame | ChangeStream | ScanProgress, purpose: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all data present and return what it wrote, from the shared scratch folder.
+
+    ``mode`` is for plain streams; the others write in their own way.
+    """
     spark = stream.sparkSession
     base = scratch_dir(spark, purpose)
-    if isinstance(stream, ChangeStream):
+    if not isinstance(stream, DataFrame):
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         stream.start(base, f"{base}/checkpoint", buckets).awaitTermination()
         return stream.written(base)

@@ -89,6 +89,35 @@ def test_windows_progress_and_duplicates(spark):
         (1, "a"), (1, "b"), (2, "a")]
 
 
+def test_scans_need_no_state_store(spark):
+    """Counts stand in a table; null keys, a scan without a total, equal rows and repeated batches."""
+    schema = "scan_id int, url string, crawled_at timestamp, n int"
+    batches = [[(1, "a", DAY, 0), (None, "a", None, 1), (None, None, DAY, 2), (3, "c", DAY, 3)],
+               [(1, "b", None, 4), (1, "a", DAY, 5), (None, "a", DAY, 6), (2, None, DAY, 7)],
+               [(1, "z", DAY, 4), (None, None, None, 8), (2, "y", None, 9)]]
+    totals = spark.createDataFrame([(1, 8), (2, 0), (None, 1)], "scan_id int, total int")
+    stream, _ = _stream(spark, batches, schema, "no-state")
+    base = scratch_dir(spark, "t-no-state")
+    progress = st.scan_progress(stream, totals, tie=("n",))
+    progress.start(f"{base}/progress", f"{base}/cp").awaitTermination()
+    want = [(1, 0, 1, "a", 12), (1, 1, 3, "a", 37), (1, 2, 4, "a", 50), (2, 1, 1, None, None), (2, 2, 2, None, None)]
+
+    def rows():
+        out = progress.written(f"{base}/progress")
+        return sorted((r.scan_id, r.batch, r.pages_crawled, r.current_url, r.progress) for r in out.collect())
+
+    # Without a total there is no share, so progress is the bound alone.
+    want = [(*w[:4], 100 if w[4] is None else w[4]) for w in want]
+    assert rows() == want
+    last = spark.createDataFrame(batches[2], schema).select("scan_id", "url", F.struct("crawled_at", "n").alias("_at"))
+    again = {r.scan_id: r.pages_crawled for r in progress._folded(last, f"{base}/progress", 2).collect()}
+    assert again == {1: 4, 2: 2, 3: 1, None: 4}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    states = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{base}/*/state"))
+    assert len(states) == 0
+
+
 def test_routing(spark):
     events = [[("new_alert", 1), ("scan_progress", 2), ("unknown", 3)], [("competitor_update", 4)]]
     stream, _ = _stream(spark, events, "kind string, n int", "events")
