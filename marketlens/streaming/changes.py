@@ -15,6 +15,7 @@ from marketlens.operators.prices import price_status
 from marketlens.streaming.corrections import CorrectedLag
 from marketlens.streaming.previous import ROCKSDB, ChangeStream, with_previous_stream
 from marketlens.streaming.progress import ScanProgress
+from marketlens.streaming.seen import FirstArrivals
 
 
 def stream_price_changes(snapshots: DataFrame, keys: Sequence[str] = ("competitor_id", "product_name"),
@@ -147,16 +148,16 @@ def scan_progress(pages: DataFrame, totals: DataFrame, time: str = "crawled_at",
     return ScanProgress(pages, totals, time, tie)
 
 
-def dedupe_pages(pages: DataFrame, time: str = "crawled_at", delay: str | None = None) -> DataFrame:
+def dedupe_pages(pages: DataFrame, time: str = "crawled_at", delay: str | None = None) -> DataFrame | FirstArrivals:
     """First arrival of each url of a scan.
 
-    By default every url is remembered and none is lost, in any order of time. With
-    a ``delay`` only repeats within it are known, and pages older than the watermark
-    are left out.
+    By default every url is remembered, in a table, and none is lost, in any order
+    of time; of one micro-batch the oldest row of a url counts. With a ``delay`` only
+    repeats within it are known, and pages older than the watermark are left out.
     """
-    # Every url stays in the state: on disk, not in the executors' heap.
-    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stamped = pages.withColumn(time, F.col(time).cast("timestamp"))
     if delay is None:
-        return stamped.dropDuplicates(["scan_id", "url"])
+        return FirstArrivals(stamped, ["scan_id", "url"], time)
+    # The urls of the delay stay in the state: on disk, not in the executors' heap.
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return stamped.withWatermark(time, delay).dropDuplicatesWithinWatermark(["scan_id", "url"])

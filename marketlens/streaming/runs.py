@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from marketlens.session import scratch_dir
 from marketlens.streaming.previous import ChangeStream
 from marketlens.streaming.progress import ScanProgress
+from marketlens.streaming.seen import FirstArrivals
 
 CHANNELS = {"scan_progress": "scans", "new_alert": "alerts", "competitor_update": "competitors"}
 
@@ -62,7 +63,7 @@ def route_alerts(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def drain(stream: DataFrame | ChangeStream | ScanProgress, purpose: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame | ChangeStream | FirstArrivals | ScanProgress, purpose: str, mode: str = "append") -> DataFrame:
     """Run a stream over all data present and return what it wrote, from the shared scratch folder.
 
     ``mode`` is for plain streams; the others write in their own way.

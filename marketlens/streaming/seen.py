@@ -85,3 +85,26 @@ def dedupe_stored(pages: DataFrame, seen: SeenTable, path: str, checkpoint: str,
     return (
         pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+class FirstArrivals:
+    """A stream of which the first row of each key is put out; the keys stand in a :class:`SeenTable`.
+
+    Nothing is held in a stream's state, which every micro-batch would have to open,
+    to search key by key and to save again: a batch is joined with the table instead.
+    """
+
+    def __init__(self, stream: DataFrame, keys: Sequence[str], time: str) -> None:
+        self.stream, self.keys, self.time = stream, list(keys), time
+        self.sparkSession = stream.sparkSession
+
+    def start(self, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+        """Run over all data present; further runs with the same folders and buckets go on from there."""
+        spark = self.sparkSession
+        seen = SeenTable(spark, f"{path}/seen", T.StructType([self.stream.schema[k] for k in self.keys]), buckets)
+        spark.createDataFrame([], self.stream.schema).write.mode("overwrite").parquet(f"{path}/out/none")
+        return dedupe_stored(self.stream, seen, f"{path}/out", checkpoint, self.time)
+
+    def written(self, path: str) -> DataFrame:
+        """All rows that were put out so far."""
+        return self.sparkSession.read.schema(self.stream.schema).parquet(f"{path}/out/*")

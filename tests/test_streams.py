@@ -89,8 +89,8 @@ def test_windows_progress_and_duplicates(spark):
         (1, "a"), (1, "b"), (2, "a")]
 
 
-def test_scans_need_no_state_store(spark):
-    """Counts stand in a table; null keys, a scan without a total, equal rows and repeated batches."""
+def test_scans_and_seen_urls_need_no_state_store(spark):
+    """Counts and seen urls stand in tables; null keys, a scan without a total, equal rows and repeated batches."""
     schema = "scan_id int, url string, crawled_at timestamp, n int"
     batches = [[(1, "a", DAY, 0), (None, "a", None, 1), (None, None, DAY, 2), (3, "c", DAY, 3)],
                [(1, "b", None, 4), (1, "a", DAY, 5), (None, "a", DAY, 6), (2, None, DAY, 7)],
@@ -112,6 +112,11 @@ def test_scans_need_no_state_store(spark):
     last = spark.createDataFrame(batches[2], schema).select("scan_id", "url", F.struct("crawled_at", "n").alias("_at"))
     again = {r.scan_id: r.pages_crawled for r in progress._folded(last, f"{base}/progress", 2).collect()}
     assert again == {1: 4, 2: 2, 3: 1, None: 4}
+    pages = st.dedupe_pages(stream)
+    pages.start(f"{base}/pages", f"{base}/cp-pages", buckets=4).awaitTermination()
+    got = [(r.scan_id, r.url, r.n) for r in pages.written(f"{base}/pages").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a", 0), (None, "a", 1), (None, None, 2), (3, "c", 3), (1, "b", 4),
+                                           (2, None, 7), (1, "z", 4), (2, "y", 9)], key=str)
     folder = spark._jvm.org.apache.hadoop.fs.Path(base)
     states = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
         spark._jvm.org.apache.hadoop.fs.Path(f"{base}/*/state"))
