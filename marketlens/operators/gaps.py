@@ -113,7 +113,7 @@ def _matrix(rows: DataFrame, competitors: DataFrame, value: Column) -> DataFrame
     """One value per feature and competitor, the one of the largest product id."""
     names = competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor_name"))
     cells = rows.withColumn("_value", value).groupBy("feature_name", "competitor_id").agg(
-        F.max_by("_value", F.struct("product_id", "_value")).alias("value"))
+        F.max(F.struct("product_id", "_value"))["_value"].alias("value"))
     return cells.join(names, "competitor_id").select("feature_name", "competitor_name", "value")
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 import uuid
 
 import pytest
@@ -206,3 +207,40 @@ def test_topics_of_a_page_are_read_once_for_coverage(spark):
     covered = gaps.content_gap_coverage(contents, sites, you=9)
     assert "from_json" not in covered._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, covered.collect())) == [("Alpha", 0), ("Alpha", 1), ("Alpha", 2), ("Alpha", 3)]
+
+
+def test_dealt_rows_are_not_joined_by_bytes(spark):
+    keys = spark.range(6000).select((F.col("id") % 900).alias("k")).distinct()
+    got = tables.dealt(keys, 6000, "k", most=300).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r.k for r in got) == list(range(900)) and len({r.part for r in got}) > 15
+
+
+def test_features_are_folded_in_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    from marketlens.plans import entity_views
+
+    monkeypatch.setitem(tables.dealt.__kwdefaults__, "most", 20)
+    folder = scratch_dir(spark, "features")
+    lines = [(i % 7, i % 50) for i in range(400)] + [(None, 1), (1, None), (None, None), (3, 999)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(k, "Brand#1", None if k == 9 else "SMALL" if k % 2 else "LARGE", k % 5) for k in range(50)],
+                          "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    features = entity_views.product_features(spark, folder)
+    assert re.search(r"hashpartitioning\(l_partkey#\d+L?, 21\), REPARTITION_BY_NUM", _plan(features))  # 404 lines, 20 to a task
+    pairs = {(s, p) for s, p in lines if p is not None and p < 50}
+    assert sorted((r.competitor_id, r.product_id) for r in features.collect() if r.competitor_id is not None) == sorted(
+        (s, f"{s}-{p}") for s, p in pairs if s is not None)
+    assert features.filter("competitor_id IS NULL").count() == 1
+    sellers = spark.createDataFrame([(s, f"S{s}") for s in range(7)], "id long, name string")
+    want = {}
+    for s, p in sorted(((s, p) for s, p in pairs if s is not None), key=lambda x: f"{x[0]}-{x[1]}"):
+        want[f"Brand#1 {p % 5}", f"S{s}"] = "Present" if p == 9 or p % 2 else "LARGE"
+    assert {(r.feature_name, r.competitor_name): r.value for r in gaps.feature_presence(features, sellers).collect()} == want
+
+
+def test_the_largest_product_without_a_value_wins(spark):
+    rows = [("1", 1, "f", "a"), ("2", 1, "f", None), (None, 1, "f", "z"), ("1", 2, "f", "b"), ("1", 2, "f", "c"),
+            (None, 3, "f", "d"), (None, 3, "f", None)]
+    features = spark.createDataFrame(rows, "product_id string, competitor_id long, feature_name string, feature_value string")
+    sellers = spark.createDataFrame([(s, f"S{s}") for s in (1, 2, 3)], "id long, name string")
+    cells = gaps._matrix(features, sellers, F.col("feature_value")).collect()
+    assert {r.competitor_name: r.value for r in cells} == {"S1": None, "S2": "c", "S3": "d"}
